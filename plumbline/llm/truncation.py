@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.ranking import cut
+
 MARK = re.compile(r"(?:…|\.{3,}|\[\s*(?:…|\.{3}|truncated|cut|more)\s*\]|\(\s*(?:…|\.{3}|continued|more)\s*\))[\s\"'”»“’)\]*_]*$", re.I)
 CLOSERS = " \t\"'”»“’‘)]}*_`›」』】）"
 TERMINAL = ".!?。！？｡؟।"
@@ -149,7 +151,8 @@ def detect(sources: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
     for df, key, text, name in sources:
         e = ends(df, key, text, name)
         judged = e if judged is None else judged.unionByName(e)
-    words = vocabulary(*[df.where(F.col(text).isNotNull()).select(F.col(text).alias("text")) for df, _, text, _ in sources])
+    judged = cut(judged)  # a few dozen bytes a text; read by each of the joins below
+    words = cut(vocabulary(*[df.where(F.col(text).isNotNull()).select(F.col(text).alias("text")) for df, _, text, _ in sources]))
     asked = judged.where(F.col("verdict") == ASK).select(F.col("last_word").alias("w")).distinct()
     known = words.join(asked, F.col("word") == F.col("w"), "left_semi").select(F.col("word").alias("last_word"), F.lit(True).alias("is_word"))
     nodes = trie_nodes(words).join(asked, F.col("node") == F.col("w"), "left_semi").select(F.col("node").alias("last_word"), F.lit(True).alias("is_node"))
