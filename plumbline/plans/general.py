@@ -1,0 +1,43 @@
+"""Queries of the general record operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.operators import drift, nested
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.payload_levels(_t(spark, sf, "raw_payloads"))
+
+
+def p4_path_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """How many rows each repeated ancestor's table has."""
+    t = nested.explode_triples(_t(spark, sf, "raw_payloads"), "payload_id", "payload", nested.REPEATED, nested.ITEMS.values(), "platform")
+    return t.where("kind = 'element'").select("payload_id", "path", "ordinals").distinct().groupBy("path").agg(F.count("*").alias("n_rows"), F.countDistinct("payload_id").alias("n_payloads"))
+
+
+def _profiles(spark: SparkSession, sf: str) -> DataFrame:
+    return drift.profiles(_t(spark, sf, "export_records"), "feed_id", "file_no", "body")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return drift.report(_profiles(spark, sf))
+
+
+def p6_consistent(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _t(spark, sf, "export_records")
+    return drift.consistent(rows, p6_found(spark, sf), "feed_id", "file_no", "body", ["record_id", "record_kind", "feed_id", "file_no"]).distinct()
+
+
+def queries() -> dict:
+    return {f.__name__: f for f in (p4_found, p4_path_groups, p6_found, p6_consistent)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}

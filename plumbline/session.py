@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -19,3 +22,20 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     if master or "SPARK_MASTER" in os.environ:
         builder = builder.master(master or os.environ["SPARK_MASTER"])
     return builder.getOrCreate()
+
+
+_SHIPPED = "plumbline.shipped"
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once for each session's context, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if sc.getLocalProperty(_SHIPPED) != sc.applicationId:
+        here = Path(__file__).parent
+        target = Path(tempfile.mkdtemp()) / "plumbline.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(here.rglob("*.py")):
+                z.write(f, f.relative_to(here.parent))
+        sc.addPyFile(str(target))
+        sc.setLocalProperty(_SHIPPED, sc.applicationId)
+    return spark
