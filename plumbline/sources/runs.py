@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 ANSWER_FILE = r"^q\d{2,}_r\d+\.json$"
 CITATION = "struct<url:string,title:string,domain:string,is_cited:boolean,position:int,cited_text:string>"
 #: Records of the first version lack the fields after retrieved_set_available; read as null, never as 0.
-ANSWER = T.StructType.fromDDL(
+ANSWER = (
     f"""schema string, run_id string, engine string, model string, model_requested string, model_reported_by_platform boolean,
     params struct<no_fixture:boolean,search_ran:boolean,empty_citation_channel:boolean>, query_index int, repeat int, query_text string, intent string,
     requested_at timestamp, observed_at timestamp, answer_text string, citations array<{CITATION}>, cited_sources_available boolean, retrieved_set_available boolean,
@@ -18,15 +17,15 @@ ANSWER = T.StructType.fromDDL(
     usage struct<input_tokens:bigint,output_tokens:bigint,reasoning_tokens:bigint,total_tokens:bigint,output_includes_reasoning:boolean>,
     raw_status string, raw_file string, raw_sha256 string, raw_bytes bigint, cost_estimate_usd double"""
 )
-ERROR = T.StructType.fromDDL("schema string, run_id string, engine string, query_index int, repeat int, requested_at timestamp, error_type string, message string")
-MANIFEST = T.StructType.fromDDL(
+ERROR = "schema string, run_id string, engine string, query_index int, repeat int, requested_at timestamp, error_type string, message string"
+MANIFEST = (
     """run_id string, tool_version string, mode string, started_at timestamp, finished_at timestamp, status string, brand string, config_hash string,
     prompt_set struct<version:int,hash:string,n_queries:int>, repeats int, recommendation_intents array<string>,
     engines map<string,struct<status:string,planned:int,done:int,failed:int>>, calls struct<planned:int,made:int,failed:int,cap:int>"""
 )
 
 
-def _json(spark: SparkSession, path: str, schema: T.StructType, glob: str) -> DataFrame:
+def _json(spark: SparkSession, path: str, schema: str, glob: str) -> DataFrame:
     reader = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
     return reader.json(path).select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_name").alias("_name"))
 

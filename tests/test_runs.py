@@ -1,0 +1,58 @@
+import json
+
+from plumbline.operators import rates
+from plumbline.sources import runs
+from plumbline.streaming import answers as stream
+
+
+def write(path, doc):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(json.dumps(doc, indent=2))
+
+
+def test_answers_of_a_run(spark, tmp_path):
+    base = tmp_path / "answers" / "openai"
+    cite = [{"url": "https://a.example/x", "title": None, "domain": "a.example", "is_cited": True, "position": 0, "cited_text": None}]
+    write(base / "q00_r0.json", {"schema": "answer-2", "run_id": "r", "engine": "openai", "query_index": 0, "repeat": 0, "answer_text": " 你好 ", "citations": cite, "searches": []})
+    write(base / "q100_r1.json", {"schema": "answer-1", "run_id": "r", "engine": "openai", "query_index": 100, "repeat": 1, "answer_text": "old"})
+    for name in ("q00_r0.raw.json", "q00_r0.json.tmp", "notes.json", "q1_r0.json"):
+        write(base / name, {"schema": "stray"})
+    write(base / "q02_r0.error.json", {"schema": "error-1", "engine": "openai", "query_index": 2, "repeat": 0, "error_type": "Timeout"})
+    write(tmp_path / "manifest.json", {"run_id": "r", "mode": "live", "engines": {"openai": {"status": "ok", "planned": 3}}})
+    got = {r.query_index: r for r in runs.answers(spark, str(tmp_path)).collect()}
+    assert set(got) == {0, 100} and got[0].answer_text == " 你好 " and got[0].searches == [] and got[100].searches is None
+    assert got[0].source_file.endswith("q00_r0.json")
+    assert [r.error_type for r in runs.errors(spark, str(tmp_path)).collect()] == ["Timeout"]
+    assert runs.live_manifests(spark, str(tmp_path)).first().engines["openai"].planned == 3
+    assert [(r.citation_index, r.url) for r in runs.citations(runs.answers(spark, str(tmp_path))).collect()] == [(0, "https://a.example/x")]
+
+
+def test_ingest_replaces_partitions(spark, tmp_path):
+    out = str(tmp_path / "facts")
+    first = spark.createDataFrame([("r", "a", 1), ("r", "b", 2)], "run_id string, engine string, n int")
+    runs.ingest(first, out)
+    runs.ingest(spark.createDataFrame([("r", "a", 9)], "run_id string, engine string, n int"), out)
+    assert {(r.engine, r.n) for r in spark.read.parquet(out).collect()} == {("a", 9), ("b", 2)}
+
+
+def test_file_names_and_hashes(spark):
+    df = spark.createDataFrame([(3, 12, "{}")], "query_index int, repeat int, p string")
+    r = runs.with_payload_hash(df, "p").select("*", runs.answer_file().alias("f")).first()
+    assert r.f == "q03_r12.json" and r.raw_bytes == 2 and len(r.raw_sha256) == 64
+
+
+def test_latest_by(spark):
+    df = spark.createDataFrame([(1, 1, "a"), (1, 3, "b"), (2, 1, "c")], "k int, t int, v string")
+    assert {(r.k, r.v) for r in rates.latest_by(df, ["k"], "t", "v").collect()} == {(1, "b"), (2, "c")}
+
+
+def test_stream_counts_each_answer_once(spark, sf, tmp_path):
+    table = spark.read.parquet(f"{sf}/answers.parquet")
+    src = spark.readStream.schema(table.schema).parquet(f"{sf}/answers.parque[t]")
+    q = stream.mention_counts(src, "kettle").writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path)).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r.engine: r.n for r in spark.table("counts").collect()}
+    want = {r.engine: r["count"] for r in table.dropDuplicates(["answer_id"]).where("not coalesce(params.no_fixture, false)").groupBy("engine").count().collect()}
+    assert got == want
+    assert {r.mention_n for r in stream.rates(spark.table("counts")).collect()} == set(want.values())
