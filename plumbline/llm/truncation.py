@@ -62,7 +62,7 @@ def judge_end(tail: str | None) -> tuple[str, str]:
     lines = [x.strip() for x in t.split("\n") if x.strip()]
     last, before = lines[-1], lines[-2] if len(lines) > 1 else ""
     word = m.group(1) if (m := LAST_WORD.search(last)) and last.rstrip(CLOSERS).endswith(m.group(1)) else ""
-    if BARE_MARKER.match(last) and (ENTRY.match(before) or not last[-1].isdigit()):
+    if BARE_MARKER.match(last) and (not last[-1].isdigit() or before and not before[-1].isdigit() or ENTRY.match(before)):
         return CUT, ""
     if last.startswith("|"):
         return (WHOLE if last.endswith("|") and len(last) > 1 and (not before.startswith("|") or last.count("|") >= before.count("|")) else CUT), ""
@@ -89,7 +89,7 @@ def judge_end(tail: str | None) -> tuple[str, str]:
     words = last.split()
     if ": " in last and len(words) <= TITLE_WORDS and last[-1] not in ",;:(" and not INNER_END.search(last) and not _opens_quote(last):
         return (ASK, word) if word else (WHOLE, "")
-    if len(words) <= 4 and not SPACELESS.search(last) and all(w[:1].isupper() or w[:1].isdigit() or w in ("&", "/", "|") for w in words) and last[-1] not in ",;:(":
+    if not before and len(words) <= 4 and not SPACELESS.search(last) and all(w[:1].isupper() or w[:1].isdigit() or w in ("&", "/", "|") for w in words) and last[-1] not in ",;:(":
         return (ASK, word) if word else (WHOLE, "")
     return CUT, ""
 
