@@ -12,7 +12,7 @@ without a target are left out; documents of no size or a null source are never d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.ranking import rank_within
@@ -49,7 +49,7 @@ def mix(docs: DataFrame, key: str, source: str, size: str, targets: DataFrame, t
 def shares(mixed: DataFrame, targets: DataFrame, source: str = "source") -> DataFrame:
     """source, target_share, max_repeats, documents, tokens, actual_share, most_copies, for every target."""
     got = mixed.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("documents"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
-    all_ = mixed.agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("_all"))
+    everything = Window.partitionBy(F.lit(0))  # a row for each target
     zero = F.lit(0).cast("long")
-    out = targets.join(got, "source", "left").join(F.broadcast(all_))
+    out = targets.join(got, "source", "left").withColumn("_all", F.sum("tokens").over(everything))
     return out.select("source", "target_share", "max_repeats", F.coalesce("documents", zero).alias("documents"), F.coalesce("tokens", zero).alias("tokens"), F.round(F.coalesce(F.try_divide("tokens", "_all"), F.lit(0.0)), 6).alias("actual_share"), F.coalesce("most_copies", zero).alias("most_copies"))

@@ -156,7 +156,7 @@ def detect(sources: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
     asked = judged.where(F.col("verdict") == ASK).select(F.col("last_word").alias("w")).distinct()
     known = words.join(asked, F.col("word") == F.col("w"), "left_semi").select(F.col("word").alias("last_word"), F.lit(True).alias("is_word"))
     nodes = trie_nodes(words).join(asked, F.col("node") == F.col("w"), "left_semi").select(F.col("node").alias("last_word"), F.lit(True).alias("is_node"))
-    out = judged.join(known, "last_word", "left").join(nodes, "last_word", "left").join(F.broadcast(pile_ups(judged.select("table_name", "n_chars")).limit(100_000)), ["table_name", "n_chars"], "left")
+    out = judged.join(known, "last_word", "left").join(nodes, "last_word", "left").join(pile_ups(judged.select("table_name", "n_chars")), ["table_name", "n_chars"], "left")
     half = (F.col("verdict") == ASK) & F.col("is_node").isNotNull() & F.col("is_word").isNull()
     limit = F.coalesce("at_limit", F.lit(False))
     return out.select("table_name", "rec_id", "n_chars", limit.alias("at_limit"), ((F.col("verdict") == CUT) | (half & ((F.length("last_word") > 2) | limit))).alias("cut"))
