@@ -98,10 +98,11 @@ def window_scores(pairs: DataFrame, key: str, quote: str, page: str) -> DataFram
     t = t.withColumn("n", F.size("q")).withColumn("m", F.size("p")).withColumn("need", F.array_distinct("q"))
     wanted = F.filter(F.transform("p", lambda x, i: F.struct(i.alias("pos"), x.alias("t"))), lambda s: F.array_contains("need", s["t"]))
     useful = t.where("n > 0 and m > 0").select(key, "n", "m", "q", F.explode(wanted).alias("s")).select(key, "n", "m", F.col("s.pos").alias("pos"), F.col("s.t").alias("t"), F.size(F.filter("q", lambda x: x == F.col("s.t"))).alias("k"))
-    w = Window.partitionBy(key, "t").orderBy("pos")
-    at = F.collect_list("pos").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    ends = F.least(F.col("pos") + F.least("n", "m"), F.get(at, F.col("k")), F.col("m"))
-    events = useful.withColumn("until", ends).select(key, "n", F.explode(F.array(F.struct(F.col("pos").alias("e"), F.lit(1).alias("d")), F.struct(F.col("until").alias("e"), F.lit(-1).alias("d")))).alias("x"))
+    # where each word of a page stands, in order; the k-th next is k places on
+    lists = useful.groupBy(key, "t").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("k").alias("k"), F.array_sort(F.collect_list("pos")).alias("at"))
+    until = F.transform("at", lambda p, i: F.struct(p.alias("pos"), F.least(p + F.least("n", "m"), F.get("at", i + F.col("k")), F.col("m")).alias("until")))
+    useful = lists.select(key, "n", F.explode(until).alias("o")).select(key, "n", "o.pos", "o.until")
+    events = useful.select(key, "n", F.explode(F.array(F.struct(F.col("pos").alias("e"), F.lit(1).alias("d")), F.struct(F.col("until").alias("e"), F.lit(-1).alias("d")))).alias("x"))
     steps = events.groupBy(key, "n", F.col("x.e").alias("e")).agg(F.sum("x.d").alias("d"))
     running = steps.withColumn("on", F.sum("d").over(Window.partitionBy(key).orderBy("e").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     best = running.groupBy(key).agg((F.max("on") / F.max("n")).alias("score"))
