@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import hosts
 from plumbline.functions import text as tx
 from plumbline.operators import nested
+from plumbline.operators.lineage import stored
 
 ID = "payload_id"
 Tables = dict[str, DataFrame]
@@ -40,7 +41,8 @@ def parser(platform: str):
 
 
 def triples(payloads: DataFrame) -> DataFrame:
-    return nested.explode_triples(payloads, ID, "payload", REPEATED, ANCHORS, "platform").distinct()
+    """Triples of one row for each payload; re-deliveries keep id and content."""
+    return nested.explode_triples(payloads.dropDuplicates([ID]), ID, "payload", REPEATED, ANCHORS, "platform")
 
 
 def _group(t: DataFrame, group: str, **fields: str) -> DataFrame:
@@ -161,8 +163,8 @@ def perplexity(t: DataFrame) -> Tables:
 
 
 def parse(payloads: DataFrame) -> Tables:
-    """All platforms' tables, each with its platform."""
-    t = triples(payloads)
+    """All platforms' tables, each with its platform. Payloads are read once, whatever number of tables is asked for."""
+    t = stored(triples(payloads))
     out: Tables = {}
     for platform, f in PARSERS.items():
         for name, df in f(t.where(F.col("platform") == platform)).items():
