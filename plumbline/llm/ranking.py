@@ -1,22 +1,15 @@
-"""Ranks within groups of any size, and cut lineage."""
+"""Ranks within groups of any size."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from plumbline.operators.lineage import cut
 
+__all__ = ["cut", "rank_within"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows as written to the folder that all executors share, named by spark.checkpoint.dir (a temporary one where that is unset, as in tests)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
+BUCKETS = 64
 
 
 def rank_within(df: DataFrame, group: list[str], key: str, order: Column | None = None, buckets: int = BUCKETS) -> DataFrame:
