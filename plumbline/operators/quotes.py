@@ -96,8 +96,12 @@ def window_scores(pairs: DataFrame, key: str, quote: str, page: str) -> DataFram
     by_char = tx.spaceless(F.col(quote)) | tx.spaceless(F.col(page))
     t = pairs.select(key, tx.tokens(F.col(quote), by_char).alias("q"), tx.tokens(F.col(page), by_char).alias("p"))
     t = t.withColumn("n", F.size("q")).withColumn("m", F.size("p")).withColumn("need", F.array_distinct("q"))
+    # a quote that stands on the page word for word fills its window; only the others are exploded
+    mark = F.lit("\x1f")
+    around = lambda c: F.concat(mark, F.array_join(c, "\x1f"), mark)
+    t = t.withColumn("whole", (F.col("n") > 0) & F.contains(around("p"), around("q")))
     wanted = F.filter(F.transform("p", lambda x, i: F.struct(i.alias("pos"), x.alias("t"))), lambda s: F.array_contains("need", s["t"]))
-    useful = t.where("n > 0 and m > 0").select(key, "n", "m", "q", F.explode(wanted).alias("s")).select(key, "n", "m", F.col("s.pos").alias("pos"), F.col("s.t").alias("t"), F.size(F.filter("q", lambda x: x == F.col("s.t"))).alias("k"))
+    useful = t.where("n > 0 and m > 0 and not whole").select(key, "n", "m", "q", F.explode(wanted).alias("s")).select(key, "n", "m", F.col("s.pos").alias("pos"), F.col("s.t").alias("t"), F.size(F.filter("q", lambda x: x == F.col("s.t"))).alias("k"))
     # where each word of a page stands, in order; the k-th next is k places on
     lists = useful.groupBy(key, "t").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("k").alias("k"), F.array_sort(F.collect_list("pos")).alias("at"))
     until = F.transform("at", lambda p, i: F.struct(p.alias("pos"), F.least(p + F.least("n", "m"), F.get("at", i + F.col("k")), F.col("m")).alias("until")))
@@ -106,4 +110,4 @@ def window_scores(pairs: DataFrame, key: str, quote: str, page: str) -> DataFram
     steps = events.groupBy(key, "n", F.col("x.e").alias("e")).agg(F.sum("x.d").alias("d"))
     running = steps.withColumn("on", F.sum("d").over(Window.partitionBy(key).orderBy("e").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     best = running.groupBy(key).agg((F.max("on") / F.max("n")).alias("score"))
-    return t.select(key).join(best, key, "left").select(key, F.round(F.coalesce("score", F.lit(0.0)), 4).alias("score"))
+    return t.select(key, "whole").join(best, key, "left").select(key, F.when(F.col("whole"), 1.0).otherwise(F.round(F.coalesce("score", F.lit(0.0)), 4)).alias("score"))
