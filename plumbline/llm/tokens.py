@@ -38,8 +38,8 @@ def count(text: str, path: str = TOKENIZER) -> int:
 
 
 def sizes(df: DataFrame, key: str, text: str, *keep: str, path: str = TOKENIZER) -> DataFrame:
-    """key, the kept columns and n_tokens; null texts have none."""
-    names = [key, *keep]
+    """key, the kept columns and n_tokens, which replaces a column of that name; null texts have none."""
+    names = [n for n in dict.fromkeys([key, *keep]) if n != "n_tokens"]
     slim = df.select(*names, F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
