@@ -59,5 +59,12 @@ def _folds(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else fold(t))
 
 
+def foreign(text: Column | str) -> Column:
+    """Whether anything but ASCII is in the text: only then folding is more than small letters."""
+    return (F.col(text) if isinstance(text, str) else text).rlike("[^\\x00-\\x7F]")
+
+
 def folded(text: Column | str) -> Column:
-    return F.pandas_udf(_folds, T.StringType())(text)
+    """The folded text; plain ASCII never leaves the JVM."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(F.pandas_udf(_folds, T.StringType())(F.when(foreign(text), text)), F.lower(text))

@@ -40,14 +40,20 @@ class Entity:
 
 
 def all_occurrences(text: Column, entities: list[Entity]) -> Column:
-    """array of (start, end, number of the entity): every occurrence of every alias, overlapping ones too."""
+    """array of (start, end, number of the entity): every occurrence of every alias, overlapping ones too.
+
+    Plain ASCII texts that contain no needle stay in the JVM.
+    """
     needles = [(i, n) for i, e in enumerate(entities) for n in e.needles()]
 
     @F.pandas_udf(SPANS)
     def match(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else [{"start": a, "end": b, "entity": i} for a, b, i in folding.occurrences(t, needles)])
 
-    return match(text)
+    low, worth = F.lower(text), folding.foreign(text)
+    for _, n in needles:
+        worth = worth | F.contains(low, F.lit(n))
+    return F.coalesce(match(F.when(worth, text)), F.when(text.isNotNull(), F.from_json(F.lit("[]"), SPANS)))
 
 
 def sweep(spans: Column) -> Column:
@@ -75,7 +81,7 @@ def resolved(spans: Column, n_entities: int) -> Column:
 
 
 def spans_by_entity(df: DataFrame, text: str, entities: list[Entity], to: str = "spans") -> DataFrame:
-    """Adds the resolved spans. Texts that hold no needle's first word skip the Arrow function's result, not its scan."""
+    """Adds the resolved spans."""
     return df.withColumn("_all", all_occurrences(F.col(text), entities)).withColumn(to, resolved(F.col("_all"), len(entities))).drop("_all")
 
 
