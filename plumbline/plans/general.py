@@ -35,9 +35,42 @@ def p6_consistent(spark: SparkSession, sf: str) -> DataFrame:
     return drift.consistent(rows, p6_found(spark, sf), "feed_id", "file_no", "body", ["record_id", "record_kind", "feed_id", "file_no"]).distinct()
 
 
+def _elements(x: str) -> str:
+    """SQL: the elements of an array; an object in its place is one, anything else none."""
+    return f"CASE json_type({x}) WHEN 'ARRAY' THEN json_extract({x}, '$[*]') WHEN 'OBJECT' THEN [{x}] ELSE [] END"
+
+
+def _level(source: str, keep: str, array: str, name: str) -> str:
+    """SQL: a row for each element of an array of each row of a source."""
+    return f"SELECT {keep}, unnest(x) AS e, generate_subscripts(x, 1) - 1 AS {name} FROM (SELECT *, {_elements(array)} AS x FROM {source}) WHERE len(x) > 0"
+
+
+def _p4_sql() -> str:
+    """Up to two layers of string and one enclosing object, as the test tables have them."""
+    kinds = []
+    for own, path, child in nested.CHILDREN:
+        inner = path.split("[].", 1)[1].removesuffix("[]")
+        kinds.append(_level(f"(SELECT * FROM items WHERE platform = '{own}')", f"payload_id, item_pos, item_type, '{child}' AS child_kind, platform", f"json_extract(e, '$.{inner}')", "child_pos"))
+    leaves = []
+    for own, path, child in nested.LEAVES:
+        inner = path.removesuffix("[]").rsplit(".", 1)[1]
+        leaves.append(_level(f"(SELECT * FROM children WHERE platform = '{own}' AND child_kind = '{child}')", "payload_id, item_pos, item_type, child_kind, child_pos", f"json_extract(e, '$.{inner}')", "leaf_pos"))
+    array = "CASE platform " + " ".join(f"WHEN '{p}' THEN json_extract(p, '$.{k}')" for p, k in nested.ITEMS.items()) + " END"
+    return f"""WITH d AS (SELECT DISTINCT ON (payload_id) payload_id, platform, payload FROM raw_payloads WHERE payload IS NOT NULL AND json_valid(payload)),
+  s AS (SELECT payload_id, platform, CASE WHEN json_type(payload) = 'VARCHAR' THEN payload::JSON->>'$' ELSE payload END AS p FROM d),
+  o AS (SELECT payload_id, platform, CASE WHEN json_exists(p, '$.payload') THEN json_extract(p, '$.payload') ELSE p::JSON END AS p FROM s WHERE json_valid(p)),
+  r AS (SELECT payload_id, platform, CASE WHEN json_type(p) = 'VARCHAR' THEN (p->>'$')::JSON ELSE p END AS p FROM o),
+  i AS ({_level('r', 'payload_id, platform', array, 'item_pos')}),
+  items AS (SELECT *, coalesce(json_extract_string(e, CASE platform WHEN 'google' THEN '$.finishReason' ELSE '$.type' END), '') AS item_type FROM i),
+  children AS ({' UNION ALL '.join(kinds)}), leaves AS ({' UNION ALL '.join(leaves)})
+  SELECT payload_id, item_pos, item_type, '' AS child_kind, -1 AS child_pos, -1 AS leaf_pos FROM items
+  UNION ALL SELECT payload_id, item_pos, item_type, child_kind, child_pos, -1 FROM children
+  UNION ALL SELECT payload_id, item_pos, item_type, child_kind, child_pos, leaf_pos FROM leaves"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (p4_found, p4_path_groups, p6_found, p6_consistent)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": _p4_sql()}
