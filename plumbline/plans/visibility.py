@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from plumbline.functions import folding, hosts, stats
 from plumbline.functions import text as tx
 from plumbline.functions.html import visible_text
-from plumbline.operators import evidence, mentions, payloads, planning, quotes, rates, spans
+from plumbline.operators import evidence, lineage, mentions, payloads, planning, quotes, rates, spans
 from plumbline.operators.mentions import Entity
+from plumbline.streaming import answers as streaming
 
 RECOMMENDATION = ("recommendation",)
 OWNED = ("tallow-index.example", "niothaix.example")
@@ -414,6 +416,18 @@ def fixture_answers(spark, sf):
     return r.select("query_text", "engine", "repeat_no", F.get("variants", F.pmod("repeat_no", F.size("variants"))).alias("n_chars"))
 
 
+@query(f"SELECT engine, count(*) FILTER (contains(lower(answer_text), 'kettle')) AS c, count(*) AS n FROM ({_A}) WHERE NOT coalesce(params.no_fixture, false) GROUP BY 1")
+def arriving_answer_counts(spark, sf):
+    """The engines' counts after a stream of answer files has been read to its end; re-deliveries count once."""
+    files = f"{sf}/answers.parque[t]"  # a stream reads a folder or a pattern
+    source = spark.readStream.schema(_t(spark, sf, "answers").schema).parquet(files)
+    name = f"arriving_{uuid.uuid4().hex}"
+    writer = streaming.mention_counts(source, "kettle", "10000 days").writeStream.outputMode("complete").format("memory").queryName(name)
+    run = writer.option("checkpointLocation", f"{lineage.folder(spark)}/{name}").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)  # a row for each engine
+
+
 # --- payloads ---
 
 
