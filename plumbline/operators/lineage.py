@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -27,3 +27,11 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def collect_bounded(df: DataFrame, most: int, what: str) -> list[Row]:
+    """The rows, for the driver, of a table that is small by its nature; more than ``most`` are refused, never cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
+    return rows

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.lineage import collect_bounded
+
 TRIPLES = "path string, ordinals array<int>, kind string, value string"
 MOST_LAYERS = 16
 
@@ -117,9 +119,7 @@ def explode_triples(df: DataFrame, key: str, payload: str, repeated: Iterable[st
 
 def infer_repeated(t: DataFrame, most: int = 10_000) -> set[str]:
     """Paths that are an array in any record. Bounded: more than ``most`` differing paths mean that keys are data."""
-    rows = t.where(F.col("path").endswith("[]")).select("path").distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} repeated paths: keys are data here")
+    rows = collect_bounded(t.where(F.col("path").endswith("[]")).select("path").distinct(), most, "repeated paths: keys are data here")
     return {r[0].removesuffix("[]") for r in rows}
 
 
@@ -137,8 +137,8 @@ def group_table(t: DataFrame, key: str, group: str, fields: dict[str, str]) -> D
 
 def tables(t: DataFrame, key: str, most: int = 10_000) -> dict[str, DataFrame]:
     """Every group's table, by ancestor ('' is the record itself). Columns are the paths below the ancestor with dots as underscores."""
-    paths = [r[0] for r in t.where("kind <> 'element'").select("path").distinct().limit(most).collect()]
-    groups: dict[str, dict[str, str]] = {r[0]: {} for r in t.where("kind = 'element'").select("path").distinct().limit(most).collect()}
+    paths = [r[0] for r in collect_bounded(t.where("kind <> 'element'").select("path").distinct(), most, "paths: keys are data here")]
+    groups: dict[str, dict[str, str]] = {r[0]: {} for r in collect_bounded(t.where("kind = 'element'").select("path").distinct(), most, "repeated paths: keys are data here")}
     for p in sorted(paths):
         g = p[: p.rindex("[]") + 2] if "[]" in p else ""
         inner = p[len(g) :].lstrip(".")
