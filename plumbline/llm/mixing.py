@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.ranking import rank_within
+from plumbline.operators.lineage import collect_bounded
 
 
 def budget(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, float]:
@@ -31,7 +32,7 @@ def budget(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total:
 
 def mix(docs: DataFrame, key: str, source: str, size: str, targets: DataFrame, total: float | None = None, seed: int = 17) -> DataFrame:
     """key, source, n_tokens, copies: the chosen documents. ``targets``: source, target_share, max_repeats, a row for each source."""
-    goal = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.limit(10_000).collect()}
+    goal = {r["source"]: (r["target_share"], r["max_repeats"]) for r in collect_bounded(targets, 10_000, "targets")}
     wanted = docs.where(F.col(source).isin(list(goal)) & (F.col(size) > 0))
     have = {r[0]: r[1] for r in wanted.groupBy(source).agg(F.sum(size)).collect()}  # one row for each target
     copies = budget(have, goal, total)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import lookalike, mixing, mojibake, overlap, packing, quality, tokens, truncation
 from plumbline.llm.ranking import cut
+from plumbline.operators.lineage import collect_bounded
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -76,7 +77,7 @@ def p5_cleaned(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _capacities(spark: SparkSession, sf: str) -> dict[str, int]:
-    return {r["pack_name"]: r["capacity_tokens"] for r in _t(spark, sf, "pack_sizes").limit(1000).collect()}
+    return {r["pack_name"]: r["capacity_tokens"] for r in collect_bounded(_t(spark, sf, "pack_sizes"), 1000, "capacities")}
 
 
 def p7_pack(spark: SparkSession, sf: str) -> DataFrame:
