@@ -48,6 +48,22 @@ def fields(record: dict, descend: frozenset[str], prefix: str = "") -> Iterator[
                     yield from fields(x, descend, path + ".")
 
 
+def entries(record: dict, descend: frozenset[str], prefix: str = "", place: tuple[int, ...] = ()) -> Iterator[tuple[str, tuple[int, ...], object]]:
+    """(path, positions in the arrays on the way, value) of all that a record holds. What stands where an object is descended into but is none, or is empty, is a value of that path."""
+    for k, v in record.items():
+        path = prefix + k
+        if path not in descend:
+            yield path, place, v
+            continue
+        many = isinstance(v, list) and len(v) > 0
+        for i, x in enumerate(v if many else [v]):
+            here = (*place, i) if many else place
+            if isinstance(x, dict) and x:
+                yield from entries(x, descend, path + ".", here)
+            else:
+                yield path, here, x
+
+
 def _leaves(v: object) -> Iterator[object]:
     if isinstance(v, dict):
         for x in v.values():
@@ -273,9 +289,11 @@ def report(profiled: DataFrame) -> DataFrame:
 
 
 def consistent(df: DataFrame, changed: DataFrame, feed: str, file_no: str, body: str, keep: Iterable[str] = (), most: int = 100_000) -> DataFrame:
-    """The kept columns, field (the name that the field of this file ended up with), kind and value: one table for all layouts.
+    """The kept columns, place, field (the name that the field of this file ended up with), kind and value: one table for all layouts.
 
-    Kept columns of these names push them to _field and so on. ``changed`` holds a few rows a file; its renames are followed to the newest name of each field, per feed.
+    ``place``: the positions (from 0) in the arrays on the way, joined by dots; '' outside arrays. A field whose later
+    name its line already has keeps its own. Kept columns of these names push them to _place and so on. ``changed``
+    holds a few rows a file; its renames are followed to the newest name of each field, per feed.
     """
     names: dict[int, list[tuple[int, str, str]]] = {}
     rows = collect_bounded(changed.where("change_kind = 'renamed'").select("feed_id", "file_no", "field_path", "new_path"), most, "renames")
@@ -284,7 +302,7 @@ def consistent(df: DataFrame, changed: DataFrame, feed: str, file_no: str, body:
     shared = df.sparkSession.sparkContext.broadcast(names)
     kept = list(keep)
     names_out = []
-    for n in ("field", "kind", "value"):
+    for n in ("place", "field", "kind", "value"):
         while n.lower() in {k.lower() for k in kept}:
             n = "_" + n
         names_out.append(n)
@@ -292,7 +310,7 @@ def consistent(df: DataFrame, changed: DataFrame, feed: str, file_no: str, body:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             feeds, files = b.column("_feed").to_pylist(), b.column("_file").to_pylist()
-            take, path, kind, value = [], [], [], []
+            take, place, path, kind, value = [], [], [], [], []
             for i, text in enumerate(b.column("_body").to_pylist()):
                 try:
                     record = json.loads(text) if text else None
@@ -300,18 +318,24 @@ def consistent(df: DataFrame, changed: DataFrame, feed: str, file_no: str, body:
                     continue
                 if not isinstance(record, dict):
                     continue
-                for p, v in fields(record, DESCEND):
-                    if p in DESCEND:
-                        continue
+                found = list(entries(record, DESCEND))
+                used = {(p, o) for p, o, _ in found}
+                for p, o, v in found:
+                    own = p
                     for at, old, new in shared.value.get(feeds[i], ()):
                         if at > files[i] and p == old:
                             p = new
+                    if p != own:
+                        if (p, o) in used:
+                            p = own
+                        used.add((p, o))
                     take.append(i)
+                    place.append(".".join(map(str, o)))
                     path.append(p)
                     kind.append(_kind(v))
                     value.append(None if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False))
             at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in kept], pa.array(path, pa.string()), pa.array(kind, pa.string()), pa.array(value, pa.string())], names=[*kept, *names_out])
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in kept], pa.array(place, pa.string()), pa.array(path, pa.string()), pa.array(kind, pa.string()), pa.array(value, pa.string())], names=[*kept, *names_out])
 
     slim = df.select(*kept, F.col(feed).alias("_feed"), F.col(file_no).alias("_file"), F.col(body).alias("_body"))
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in slim.select(*kept).schema)
@@ -321,3 +345,35 @@ def consistent(df: DataFrame, changed: DataFrame, feed: str, file_no: str, body:
 def widen(long: DataFrame, keys: Iterable[str], columns: Iterable[str]) -> DataFrame:
     """One row for each key, one string column for each field: the cast-and-union form. Dots become underscores."""
     return long.groupBy(*keys).agg(*[F.max(F.when(F.col("field") == c, F.col("value"))).alias(c.replace(".", "_")) for c in columns])
+
+
+_NUMBER, _WHOLE = r"^-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?$", r"^-?(0|[1-9]\d{0,17})$"
+
+
+def types(long: DataFrame, most: int = 5_000) -> dict[str, str]:
+    """The type of each field: the narrowest that holds all its values without loss, string where none does. Strings that read as numbers or truth values count as such where others of the field are."""
+    v = F.col("value")
+    number = v.rlike(_NUMBER) & ~v.rlike(r"^-?\d{16,}")
+    some = lambda c: F.count(F.when(c, 1))
+    by = long.groupBy("field").agg(F.count("value").alias("n"), some(F.expr("kind = 'boolean'")).alias("truths"), some(F.expr("kind = 'number'")).alias("numbers"), some(F.expr("kind in ('array', 'object')")).alias("nested"), some(v.isin("true", "false", "0", "1")).alias("as_truth"), some(v.rlike(_WHOLE)).alias("as_whole"), some(number).alias("as_number"))
+    out = {}
+    for r in collect_bounded(by, most, "fields"):
+        flat = r["nested"] == 0
+        out[r["field"]] = "boolean" if flat and r["truths"] and r["as_truth"] == r["n"] else "bigint" if flat and r["numbers"] and r["as_whole"] == r["n"] else "double" if flat and r["numbers"] and r["as_number"] == r["n"] else "string"
+    return out
+
+
+def table(long: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """The cast-and-union form of ``consistent``: one row for each key and place, one column of its own type for each field.
+
+    Fields of an array's elements are in the element's row. Dots become underscores; names that clash get one more at the end.
+    """
+    keys = [*keys, "place"]
+    used, columns = {k.lower() for k in keys}, []
+    for field, kind in sorted(types(long).items()):
+        name = re.sub(r"\W", "_", field)
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        columns.append(F.max(F.when(F.col("field") == field, F.col("value")).try_cast(kind)).alias(name))
+    return long.groupBy(*keys).agg(*columns or [F.count("*").alias("n_values")])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import drift, nested
+from plumbline.operators.lineage import cut
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,9 +31,32 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return drift.report(_profiles(spark, sf))
 
 
+LINE = ["record_id", "record_kind", "feed_id", "file_no", "line_no"]
+
+
+def _consistent(spark: SparkSession, sf: str, kind: str | None = None) -> DataFrame:
+    rows = _t(spark, sf, "export_records").select(*LINE, "body").where("true" if kind is None else F.col("record_kind") == kind)
+    return drift.consistent(rows.dropDuplicates(["record_id"]), p6_found(spark, sf), "feed_id", "file_no", "body", LINE)
+
+
 def p6_consistent(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _t(spark, sf, "export_records")
-    return drift.consistent(rows, p6_found(spark, sf), "feed_id", "file_no", "body", ["record_id", "record_kind", "feed_id", "file_no"]).distinct()
+    return _consistent(spark, sf)
+
+
+def _kind_table(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    return drift.table(cut(_consistent(spark, sf, kind)), [c for c in LINE if c != "record_kind"])
+
+
+def p6_faithfulness(spark: SparkSession, sf: str) -> DataFrame:
+    return _kind_table(spark, sf, "faithfulness")
+
+
+def p6_page(spark: SparkSession, sf: str) -> DataFrame:
+    return _kind_table(spark, sf, "page")
+
+
+def p6_payload(spark: SparkSession, sf: str) -> DataFrame:
+    return _kind_table(spark, sf, "payload")
 
 
 def _elements(x: str) -> str:
@@ -69,7 +93,7 @@ def _p4_sql() -> str:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_path_groups, p6_found, p6_consistent)}
+    return {f.__name__: f for f in (p4_found, p4_path_groups, p6_found, p6_consistent, p6_faithfulness, p6_page, p6_payload)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -154,3 +154,33 @@ def test_consistent_follows_renames(spark):
 def test_empty_tables(spark):
     df = lines(spark, {(1, 1): [{"a": 1}]}).limit(0)
     assert drift.report(drift.profiles(df, "feed_id", "file_no", "body")).count() == 0
+
+
+def test_consistent_keeps_every_element_and_value(spark):
+    twins = [{"type": "a", "id": "1"}, {"type": "a", "id": "1"}, {"type": "b"}, "text", {}]
+    df = lines(spark, {(1, 1): [{"payload": {"output": twins, "usage": 7}}, {"payload": None}, {"payload": ["x", {"output": [{"id": "2"}]}]}]})
+    changed = drift.report(drift.profiles(df, "feed_id", "file_no", "body"))
+    rows = [tuple(r) for r in drift.consistent(df, changed, "feed_id", "file_no", "body", ["record_id"]).collect()]
+    assert sorted(rows, key=str) == sorted([
+        (0, "0", "payload.output.type", "string", "a"), (0, "0", "payload.output.id", "string", "1"), (0, "1", "payload.output.type", "string", "a"), (0, "1", "payload.output.id", "string", "1"),
+        (0, "2", "payload.output.type", "string", "b"), (0, "3", "payload.output", "string", "text"), (0, "4", "payload.output", "object", "{}"), (0, "", "payload.usage", "number", "7"),
+        (1, "", "payload", "null", None), (2, "0", "payload", "string", "x"), (2, "1.0", "payload.output.id", "string", "2"),
+    ], key=str)
+
+
+def test_a_rename_onto_a_name_of_the_line_loses_nothing(spark):
+    df = lines(spark, {(1, 1): [{"a": "x-1", "b": "old"}], (1, 3): [{"b": "x-2"}]})
+    changed = spark.createDataFrame([(1, 3, "a", "renamed", "b")], "feed_id long, file_no int, field_path string, change_kind string, new_path string")
+    rows = drift.consistent(df, changed, "feed_id", "file_no", "body", ["record_id"]).collect()
+    assert {(r.record_id, r.field, r.value) for r in rows} == {(0, "a", "x-1"), (0, "b", "old"), (1, "b", "x-2")}
+
+
+def test_table_casts_what_it_can_without_loss(spark):
+    rows = [{"n": 1, "x": 0.5, "ok": True, "code": "007", "big": 12345678901234567890, "mix": 1, "A": "u", "a": "l"}, {"n": "2", "x": 3, "ok": "false", "code": "8", "big": 1.5, "mix": ["z"], "payload": {"output": [{"k": 1}, {"k": 2}]}}]
+    df = lines(spark, {(1, 1): rows})
+    changed = drift.report(drift.profiles(df, "feed_id", "file_no", "body"))
+    wide = drift.table(drift.consistent(df, changed, "feed_id", "file_no", "body", ["record_id"]), ["record_id"])
+    assert dict(wide.dtypes) == {"record_id": "bigint", "place": "string", "A": "string", "a_": "string", "big": "string", "code": "string", "mix": "string", "n": "bigint", "ok": "boolean", "payload_output_k": "bigint", "x": "double"}
+    got = {(r.record_id, r.place): r for r in wide.collect()}
+    assert (got[0, ""].n, got[0, ""].ok, got[0, ""].big, got[0, ""]["a_"], got[1, ""].n, got[1, ""].x, got[1, ""].ok, got[1, ""].mix) == (1, True, "12345678901234567890", "l", 2, 3.0, False, '["z"]')
+    assert [got[1, p].payload_output_k for p in ("0", "1")] == [1, 2] and len(got) == 4
