@@ -10,8 +10,9 @@ stretches as make 60 code points is hashed. A span of 200 holds at least one who
 
 Records of one text are one from here on (by a 64-bit hash of it), and their pairs are filled in at the end: copies,
 even a third of all rows, are never compared. Runs are joined globally: hashes that a single text has are dropped by
-partial aggregation; those of up to ``HOT`` texts give pairs directly; those of more (a boilerplate that a third of
-all rows may share) are replaced by the hashes of all 200-grams around them. Texts with the same shared grams are one
+partial aggregation; those that occur up to ``HOT`` times give pairs directly, occurrence by occurrence, since a
+passage may stand twice in a text and only its second place go on as in the other; those that occur more often (a
+boilerplate that a third of all rows may share) are replaced by the hashes of all 200-grams around them. Texts with the same shared grams are one
 class; classes meet by their grams, and only then are their texts paired, so that work follows the result. Around a run of length l, a span of 200 goes on for
 half of 200 - l on one side at least, so pairs whose contexts differ on both sides are dropped by a hash of each. A
 pair whose runs overlap along one diagonal for 200 code points is proven; for the rest the text around the run, 200
@@ -38,7 +39,7 @@ from plumbline.llm.ranking import cut
 LEAST = 200
 GRAM, WINDOW, RUN = 8, 64, 60
 BLOCK = 400_000  # code points hashed at a time
-HOT = 48  # records of one run above which pairs are made from 200-grams only
+HOT = 48  # occurrences of one run above which pairs are made from 200-grams only
 _BASE, _SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x2545F4914F6CDD1D)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _ENDS = np.array([ord(c) for c in ".!?。！？\n"], np.uint32)
@@ -104,7 +105,10 @@ class Hashed:
         return np.nonzero(chosen[:n] == h)[0]
 
     def runs(self, ends: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-        """(number of the text, hash, start, end, before, after) of the runs, one for each distinct hash of a text.
+        """(number of the text, hash, start, end, before, after) of the runs.
+
+        Every occurrence counts, as a span may go on around any of them; of those with the same ``least`` code points
+        on both sides the first stands for all, so that endless repetition gives few.
 
         ``ends``: where each text ends. Windows that reach into the next text only add cuts near a text's end, as any
         other surroundings of a shared span may.
@@ -120,9 +124,10 @@ class Hashed:
         inside = b <= ends[text]
         a, b, text = a[inside], b[inside], text[inside]
         h = self.of(a, b).view(np.int64)
-        by = np.lexsort((a, h, text))
+        left, right = self.of(np.maximum(a - least, starts[text]), a), self.of(b, np.minimum(b + least, ends[text]))
+        by = np.lexsort((a, right, left, h, text))
         new = np.ones(len(by), bool)
-        new[1:] = (h[by][1:] != h[by][:-1]) | (text[by][1:] != text[by][:-1])
+        new[1:] = np.any([x[by][1:] != x[by][:-1] for x in (text, h, left, right)], axis=0)
         by = np.sort(by[new])
         a, b, text, h = a[by], b[by], text[by], h[by]
         far = (least - (b - a) + 1) // 2
@@ -166,7 +171,7 @@ def _texts(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
 
 
 def _shared(texts: DataFrame, least: int) -> DataFrame:
-    """rec, h, a, b, before, after: the runs whose hash more than one rec has, each once. Kept, as several joins read it."""
+    """rec, h, a, b, before, after: the runs whose hash more than one rec has, each occurrence once. Kept, as several joins read it."""
     runs = texts.mapInArrow(_runs(least), "rec long, h long, a int, b int, before int, after int")
     shared = runs.groupBy("h").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi")).where("lo <> hi").select("h")
     return cut(runs.join(shared, "h").distinct())  # the join has brought each hash together already
@@ -231,7 +236,7 @@ def pairs(df: DataFrame, key: str, text: str, least: int = LEAST, hot: int = HOT
     holders = rows.select(F.xxhash64("text").alias("t"), "rec").distinct()
     runs = _shared(texts, least)
     runs = runs.join(runs.groupBy("h").agg(F.count("*").alias("n")), "h")
-    # runs of few texts: the pairs within each, by diagonal
+    # runs of few occurrences: the pairs within each, by diagonal
     groups = runs.where(F.col("n") <= hot).groupBy("h").agg(F.array_sort(F.collect_set(F.struct("rec", "a", "b", "before", "after"))).alias("at"))
     left = groups.select(F.posexplode("at").alias("i", "x"), "at")
     both = left.select("x", F.explode(F.slice("at", F.col("i") + 2, F.size("at"))).alias("y")).where("x.rec < y.rec and (x.before = y.before and x.before <> 0 or x.after = y.after and x.after <> 0)")
@@ -258,7 +263,7 @@ def pairs(df: DataFrame, key: str, text: str, least: int = LEAST, hot: int = HOT
     one = near.select(F.col("rec").alias("rec_a"), "a", F.col("left").alias("left_a"), F.col("near").alias("near_a"))
     two = near.select(F.col("rec").alias("rec_b"), F.col("a").alias("a2"), F.col("left").alias("left_b"), F.col("near").alias("near_b"))
     checked = open_.join(one, ["rec_a", "a"]).join(two, ["rec_b", "a2"]).withColumn("length", F.col("b") - F.col("a")).mapInArrow(_settle(least), "rec_a long, rec_b long")
-    # runs of many texts: classes of equal grams
+    # runs of many occurrences: classes of equal grams
     grams = answers.where("g is not null").select("rec", "g")
     twice = grams.groupBy("g").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi")).where("lo <> hi").select("g")
     classed = cut(grams.join(twice, "g", "left_semi").groupBy("rec").agg(F.array_sort(F.collect_set("g")).alias("gs")).withColumn("c", F.xxhash64("gs")))

@@ -38,6 +38,23 @@ def test_pairs_against_brute_force(spark, hot):
     assert got == brute(rows, 200)
 
 
+@pytest.mark.parametrize("hot", [X.HOT, 1])
+def test_a_passage_that_stands_twice(spark, hot):
+    rng, rows = random.Random(34), {}
+    for i, n in enumerate([150, 160, 170, 180, 190, 196] * 8):
+        s, rest = words(rng, 80)[:n], 201 - n
+        span = words(rng, 30)[: rest // 2] + s + words(rng, 30)[: rest - rest // 2]
+        rows |= {2 * i: words(rng, 20) + "#" + s + "#" + words(rng, 20) + "#" + span + "#" + words(rng, 20), 2 * i + 1: words(rng, 20) + "+" + span + "+" + words(rng, 20)}
+    want = {(2 * i, 2 * i + 1) for i in range(48)}
+    assert brute(rows, 200) == want
+    assert {tuple(r) for r in X.pairs(frame(spark, rows), "id", "body", 200, hot).collect()} == want
+
+
+def test_endless_repetition_gives_few_runs():
+    t = "abc " * 20_000
+    assert len(X.Hashed(t).runs(X.np.array([len(t)]), 200)[0]) < 1000
+
+
 def test_boilerplate_below_the_least_length_gives_no_pairs(spark):
     rng = random.Random(8)
     footer = words(rng, 60)[:190]
