@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,14 +51,19 @@ def p2_rates(spark: SparkSession, sf: str) -> DataFrame:
     return one.unionByName(two)
 
 
+def _reading_sources(spark: SparkSession, sf: str) -> list:
+    return [(_t(spark, sf, t), k, x, t) for t, k, x in (("citations", "citation_id", "cited_text"), ("answers", "answer_id", "answer_text"), ("documents", "doc_id", "text"))]
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    sources = [(_t(spark, sf, t), k, x, t) for t, k, x in (("citations", "citation_id", "cited_text"), ("answers", "answer_id", "answer_text"), ("documents", "doc_id", "text"))]
-    return lookalike.pairs(cut(lookalike.forms(sources)))
+    return lookalike.pairs(cut(lookalike.forms(_reading_sources(spark, sf))))
 
 
 def p3_forms(spark: SparkSession, sf: str) -> DataFrame:
-    docs = lookalike.normalise(_t(spark, sf, "documents").select("doc_id", "text"), "text")
-    return docs.where("normal_text <> text").select("doc_id", "normal_text")
+    """The consistent form of every text, changed or not."""
+    texts = [df.select(F.lit(name).alias("table_name"), F.col(key).cast("long").alias("rec_id"), F.col(text).alias("text")) for df, key, text, name in _reading_sources(spark, sf)]
+    every = functools.reduce(DataFrame.unionByName, texts).where("rec_id is not null and text is not null")
+    return lookalike.normalise(every.dropDuplicates(["table_name", "rec_id"]), "text").select("table_name", "rec_id", "normal_text")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -69,3 +69,17 @@ def test_nothing_to_pair(spark):
 def test_normalise_column(spark):
     df = spark.createDataFrame([(1, "ｆｕ x", "old"), (2, None, "old")], "id int, text string, normal_text string")
     assert [(r.id, r.normal_text) for r in X.normalise(df, "text").collect()] == [(1, "fu x"), (2, None)]
+
+
+def test_forms_of_every_text_of_all_tables(spark, sf):
+    from plumbline.llm import queries
+
+    forms = queries.p3_forms(spark, sf).cache()
+    assert forms.count() == forms.select("table_name", "rec_id").distinct().count()
+    for name, key, text in (("citations", "citation_id", "cited_text"), ("answers", "answer_id", "answer_text"), ("documents", "doc_id", "text")):
+        texts = spark.read.parquet(f"{sf}/{name}.parquet").where(f"{text} is not null").select(key, text).distinct().collect()
+        got = {r.rec_id: r.normal_text for r in forms.where(forms.table_name == name).collect()}
+        assert got == {r[0]: X.readable(X.normalise_text(r[1])) for r in texts}
+    form = {(r.table_name, r.rec_id): r.normal_text for r in forms.collect()}
+    for r in queries.p3_found(spark, sf).collect():
+        assert form[r.table_name, r.rec_a] == form[r.table_name, r.rec_b]
