@@ -19,7 +19,8 @@ pair whose runs overlap along one diagonal for 200 code points is proven; for th
 to either side, is compared code point by code point, which settles that run exactly.
 
 ``cleaned`` gives each record without what a non-first repeated span covers, ``shares`` how much of each record is
-shared elsewhere (by the runs' cover).
+shared elsewhere: texts that are a pair are laid side by side, and every place of every common 200-gram counts, which
+is the cover of all maximal common spans of at least 200; copies are covered whole.
 
 Defined results: null texts and texts under the least length are left out; repeated rows of one id count once, and a
 repeat inside one record is no pair.
@@ -226,14 +227,17 @@ def _look_up(least: int):
     return run
 
 
-def pairs(df: DataFrame, key: str, text: str, least: int = LEAST, hot: int = HOT) -> DataFrame:
-    """rec_a, rec_b: each pair of records with a common span of at least ``least`` code points."""
+def _holders(rows: DataFrame) -> DataFrame:
+    """t, rec: the hash of each text and the records that have it."""
+    return rows.select(F.xxhash64("text").alias("t"), "rec").distinct()
+
+
+def _text_pairs(rows: DataFrame, least: int, hot: int = HOT) -> DataFrame:
+    """t_a, t_b: the hashes of each two different texts with a common span of at least ``least`` code points."""
     if least < WINDOW + RUN + WINDOW + GRAM:
         raise ValueError("runs are too long for spans that short")
-    rows = _texts(df, key, text, least)
-    # from here rec is the text's hash
+    # here rec is the text's hash
     texts = rows.select(F.xxhash64("text").alias("rec"), "text")
-    holders = rows.select(F.xxhash64("text").alias("t"), "rec").distinct()
     runs = _shared(texts, least)
     runs = runs.join(runs.groupBy("h").agg(F.count("*").alias("n")), "h")
     # runs of few occurrences: the pairs within each, by diagonal
@@ -273,7 +277,13 @@ def pairs(df: DataFrame, key: str, text: str, least: int = LEAST, hot: int = HOT
     left, right = member.select(F.col("rec").alias("rec_a"), F.col("c").alias("c_a")), member.select(F.col("rec").alias("rec_b"), F.col("c").alias("c_b"))
     within = left.join(right, F.col("c_a") == F.col("c_b")).where("rec_a < rec_b").select("rec_a", "rec_b")
     across = meet.join(left, "c_a").join(right, "c_b").select("rec_a", "rec_b")
-    found = proven.union(checked).union(within).union(across).select(F.least("rec_a", "rec_b").alias("t_a"), F.greatest("rec_a", "rec_b").alias("t_b")).distinct()
+    return proven.union(checked).union(within).union(across).select(F.least("rec_a", "rec_b").alias("t_a"), F.greatest("rec_a", "rec_b").alias("t_b")).distinct()
+
+
+def pairs(df: DataFrame, key: str, text: str, least: int = LEAST, hot: int = HOT) -> DataFrame:
+    """rec_a, rec_b: each pair of records with a common span of at least ``least`` code points."""
+    rows = _texts(df, key, text, least)
+    holders, found = _holders(rows), _text_pairs(rows, least, hot)
     # back to records: those of the two texts, and copies of one
     one, two = holders.select(F.col("t").alias("t_a"), F.col("rec").alias("x")), holders.select(F.col("t").alias("t_b"), F.col("rec").alias("y"))
     many = holders.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select(F.col("t").alias("t_a"), F.col("t").alias("t_b"))
@@ -281,13 +291,55 @@ def pairs(df: DataFrame, key: str, text: str, least: int = LEAST, hot: int = HOT
     return both.select(F.least("x", "y").alias("rec_a"), F.greatest("x", "y").alias("rec_b")).distinct()
 
 
+def _common_ranges(least: int):
+    """Where two texts are covered by their common spans of at least ``least``: both ways round."""
+
+    def ranges(here: np.ndarray, there: np.ndarray) -> list[dict]:
+        hit = np.concatenate([[False], np.isin(here, there), [False]])
+        edge = np.nonzero(hit[1:] != hit[:-1])[0].tolist()
+        out: list[dict] = []
+        for x, y in zip(edge[::2], edge[1::2], strict=True):  # starts of common grams from x to y
+            if out and x <= out[-1]["b"]:
+                out[-1]["b"] = y - 1 + least
+            else:
+                out.append({"a": x, "b": y - 1 + least})
+        return out
+
+    def grams(t: str) -> np.ndarray:
+        at = np.arange(len(t) - least + 1)
+        return Hashed(t).of(at, at + least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+        for b in batches:
+            col = lambda n: b.column(n).to_pylist()  # noqa: B023, E731
+            t, other, found = [], [], []
+            for t_a, t_b, x, y in zip(col("t_a"), col("t_b"), col("x"), col("y"), strict=True):
+                x, y = grams(x), grams(y)
+                t += [t_a, t_b]
+                other += [t_b, t_a]
+                found += [ranges(x, y), ranges(y, x)]
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(other, pa.int64()), pa.array(found, at)], names=["t", "other", "at"])
+
+    return run
+
+
+def _spans(rows: DataFrame, least: int) -> DataFrame:
+    """t, other, at: where the text of hash t is covered by maximal spans that it has in common with the text of hash other."""
+    once = rows.groupBy(F.xxhash64("text").alias("t")).agg(F.first("text").alias("text"))
+    one, two = once.select(F.col("t").alias("t_a"), F.col("text").alias("x")), once.select(F.col("t").alias("t_b"), F.col("text").alias("y"))
+    return _text_pairs(rows, least).join(one, "t_a").join(two, "t_b").select("t_a", "t_b", "x", "y").mapInArrow(_common_ranges(least), "t long, other long, at array<struct<a: int, b: int>>")
+
+
 def shares(df: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
-    """rec, n_chars, shared_chars, shared_share: how much of each record lies in runs that other records have too."""
-    runs = shared_runs(df, key, text, least).select("rec", "a", "b").distinct()
-    cover = _cover(runs)
-    sizes = _texts(df, key, text, 1).groupBy("rec").agg(F.max(F.length("text")).alias("n_chars"))
-    out = sizes.join(cover, "rec", "left").withColumn("shared_chars", F.coalesce("shared_chars", F.lit(0)).cast("long"))
-    return out.select("rec", F.col("n_chars").cast("long").alias("n_chars"), "shared_chars", F.round(F.col("shared_chars") / F.col("n_chars"), 6).alias("shared_share"))
+    """rec, n_chars, shared_chars, shared_share: how much of each record lies in spans of at least ``least`` code points that other records have too."""
+    rows = _texts(df, key, text, least)
+    cover = _cover(_spans(rows, least).select(F.col("t").alias("rec"), F.explode("at").alias("r")).select("rec", "r.a", "r.b").distinct()).withColumnRenamed("rec", "t")
+    copied = _holders(rows).groupBy("t").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = _texts(df, key, text, 1).groupBy("rec").agg(F.max(F.struct(F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("t"))).alias("s")).select("rec", "s.*")
+    out = sizes.join(cover, "t", "left").join(copied, "t", "left")
+    out = out.withColumn("shared_chars", F.when(F.col("n").isNotNull(), F.col("n_chars")).otherwise(F.coalesce("shared_chars", F.lit(0)).cast("long")))
+    return out.select("rec", "n_chars", "shared_chars", F.round(F.col("shared_chars") / F.col("n_chars"), 6).alias("shared_share"))
 
 
 def _cover(runs: DataFrame) -> DataFrame:
@@ -298,11 +350,14 @@ def _cover(runs: DataFrame) -> DataFrame:
 
 
 def cleaned(df: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
-    """rec, text: each record without the stretches that a repeated span of another, earlier record (lesser id) covers."""
-    runs = shared_runs(df, key, text, least)
-    first = runs.groupBy("h").agg(F.min("rec").alias("owner"))
-    later = runs.join(first, "h").where("rec > owner").groupBy("rec").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("cut"))
-    all_ = _texts(df, key, text, 0).dropDuplicates(["rec"]).join(later, "rec", "left")
+    """rec, text: each record without the stretches that a span of at least ``least`` code points covers which another, earlier record (lesser id) has too."""
+    rows = _texts(df, key, text, least)
+    holders = _holders(rows)
+    first = holders.groupBy("t").agg(F.min("rec").alias("owner"))
+    ranges = _spans(rows, least).join(first.withColumnRenamed("t", "other"), "other").join(holders, "t").where("owner < rec").select("rec", F.explode("at").alias("r"))
+    later = ranges.groupBy("rec").agg(F.array_sort(F.collect_set("r")).alias("cut"))
+    copies = holders.join(first, "t").where("owner < rec").select("rec", F.lit(True).alias("copy"))
+    all_ = _texts(df, key, text, 0).dropDuplicates(["rec"]).join(later, "rec", "left").join(copies, "rec", "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     body = F.aggregate("cut", start, lambda s, r: F.struct(F.greatest(s["at"], r["b"]).alias("at"), F.concat(s["out"], F.when(r["a"] > s["at"], F.col("text").substr(s["at"] + 1, r["a"] - s["at"])).otherwise("")).alias("out")), lambda s: F.concat(s["out"], F.col("text").substr(s["at"] + 1, F.length("text"))))
-    return all_.select("rec", F.when(F.col("cut").isNull(), F.col("text")).otherwise(body).alias("text"))
+    return all_.select("rec", F.when(F.col("copy"), "").when(F.col("cut").isNull(), F.col("text")).otherwise(body).alias("text"))

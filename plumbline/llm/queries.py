@@ -79,7 +79,9 @@ def p5_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    return overlap.cleaned(_t(spark, sf, "documents"), "doc_id", "text").select("rec", F.length("text").alias("n_chars"), F.xxhash64("text").alias("text_hash"))
+    docs = overlap.cleaned(_t(spark, sf, "documents"), "doc_id", "text").withColumn("table_name", F.lit("documents"))
+    cites = overlap.cleaned(_t(spark, sf, "citations"), "citation_id", "cited_text").withColumn("table_name", F.lit("citations"))
+    return docs.unionByName(cites).select("table_name", "rec", F.length("text").alias("n_chars"), F.xxhash64("text").alias("text_hash"))
 
 
 def _capacities(spark: SparkSession, sf: str) -> dict[str, int]:
