@@ -116,7 +116,8 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.statistics(_t(spark, sf, "documents"), _t(spark, sf, "common_words"))
+    docs = _t(spark, sf, "documents")
+    return quality.statistics(docs, _t(spark, sf, "common_words"), mojibake.fit(docs, rows=2000))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
