@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -9,24 +12,48 @@ from pyspark.sql import DataFrame, Row, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir, which all executors share. Where that is unset, a temporary one in local mode, as in tests; on a cluster it is refused, since its other machines could not read it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that every executor can reach")
+            shared = tempfile.mkdtemp()
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        sc.setCheckpointDir(shared)
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows as written by a checkpoint; its files go with the frame."""
+    """The rows as written by a checkpoint."""
     folder(df.sparkSession)
     return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in that folder: for wide rows of which later steps read some columns and some values."""
-    path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    """The rows as a Parquet table in that folder: for wide rows of which later steps read some columns and some values.
+
+    The table goes when the driver ends, as nothing of the session can read it after that.
+    """
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if not _tables:
+        atexit.register(_drop, spark)
+    _tables.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_tables: list[str] = []
+
+
+def _drop(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have been stopped before
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _tables:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def collect_bounded(df: DataFrame, most: int, what: str) -> list[Row]:

@@ -7,7 +7,7 @@ overlaps are settled by two interval sweeps, first within an entity, then across
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -86,8 +86,9 @@ def spans_by_entity(df: DataFrame, text: str, entities: list[Entity], to: str =
 
 
 def mentions(df: DataFrame, key: list[str], text: str, entities: list[Entity]) -> DataFrame:
-    """key, entity, entity_role, char_start, char_end, n_spans, entity_rank: a row for each entity that a text names."""
-    at = spans_by_entity(df, text, entities).select(*key, F.explode("spans").alias("s")).groupBy(*key, F.col("s.entity").alias("i"))
+    """key, entity, entity_role, char_start, char_end, n_spans, entity_rank: a row for each entity that a text names. Repeated rows of a key count once; only their spans are shuffled."""
+    once = spans_by_entity(df, text, entities).select(*key, "spans").where(F.size("spans") > 0).dropDuplicates(key)
+    at = once.select(*key, F.explode("spans").alias("s")).groupBy(*key, F.col("s.entity").alias("i"))
     first = at.agg(F.min(F.struct("s.start", "s.end")).alias("first"), F.count("*").alias("n_spans"))
     names = F.array(*[F.lit(e.name) for e in entities])
     roles = F.array(*[F.lit(e.role) for e in entities])
@@ -98,73 +99,63 @@ def mentions(df: DataFrame, key: list[str], text: str, entities: list[Entity]) -
 
 # --- names that no alias explains ---
 
-_NAMES = (
-    re.compile("[一-鿿]{2,10}(?:" + "|".join(ORGANISATION_ENDS) + ")"),
-    re.compile(r"\b[A-Z][A-Za-z0-9]+(?:\s+[A-Z][A-Za-z0-9]+){1,3}\b"),
-    re.compile(r"[「『]([^」』]{2,30})[」』]"),
+# What looks like a name.
+NAME_PATTERNS = (
+    r"[一-鿿]{2,10}(?:牙醫診所|牙醫|診所|醫院|口腔外科|集團)",
+    r"\b[A-Z][A-Za-z0-9]+(?:\s+[A-Z][A-Za-z0-9]+){1,3}\b",
+    r"[「『]([^」』]{2,30})[」』]",
 )
+_ORGANISATION = "(?:" + "|".join(ORGANISATION_ENDS) + ")"
+#: all leading words at once: three characters have to be left, and after a single character the name of an organisation
+_LEADING = re.compile(
+    "(?:(?:" + "|".join(w for w in LEADING_WORDS if len(w) > 1) + ")(?=.{3})|[" + "".join(w for w in LEADING_WORDS if len(w) == 1) + f"](?=.{{3}})(?=.*{_ORGANISATION}$))*",
+    re.S,
+)
+CANDIDATES = "array<struct<entity:string,char_start:int,char_end:int,form:string>>"
 
 
-def _without_leading(name: str) -> str:
-    """Words that lead into a name are taken off, one by one; a single character only off an organisation's name."""
-    while True:
-        for w in LEADING_WORDS:
-            rest = name.removeprefix(w)
-            if rest != name and len(rest) >= 3 and (len(w) > 1 or rest.endswith(ORGANISATION_ENDS)):
-                name = rest
-                break
-        else:
-            return name
-
-
-def unknown_names(text: str, claimed: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
-    """(name, start, end) of what looks like a name, overlaps no claimed span and wasn't given before."""
-    given: set[str] = set()
-    for pattern in _NAMES:
-        for m in pattern.finditer(text):
-            raw, a = m.group(m.lastindex or 0), m.start(m.lastindex or 0)
-            body = raw.strip()
-            name = _without_leading(body)
-            a += raw.index(body) + len(body) - len(name)
-            b = a + len(name)
-            if len(name) < (3 if name.isascii() else 2) or any(a < y and b > x for x, y in claimed):
-                continue
-            if (form := folding.fold(name)) not in given:
-                given.add(form)
-                yield name, a, b
+def name_candidates(text: str | None) -> list[tuple[str, int, int, str]]:
+    """(name, start, end, folded name) of whatever looks like a name, pattern by pattern."""
+    out = []
+    for m in (m for p in NAME_PATTERNS for m in re.finditer(p, text or "")):
+        whole = m[m.lastindex or 0].rstrip()
+        name = _LEADING.sub("", whole.lstrip(), count=1)
+        end = m.start(m.lastindex or 0) + len(whole)
+        if len(name) > (2 if name.isascii() else 1):
+            out.append((name, end - len(name), end, folding.fold(name)))
+    return out
 
 
 def unknown_entities(df: DataFrame, key: list[str], text: str, entities: list[Entity]) -> DataFrame:
-    """key, entity, char_start, char_end of names that no alias explains."""
+    """key, entity, char_start, char_end of names that no alias explains: candidates off every resolved span, the first of each folded form."""
+    found = F.pandas_udf(lambda texts: texts.map(name_candidates), CANDIDATES)(F.col(text))
+    rows = spans_by_entity(df, text, entities, "_spans").select(*key, "_spans", found.alias("_found"))
+    off = lambda c: ~F.exists("_spans", lambda s: (c["char_start"] < s["end"]) & (c["char_end"] > s["start"]))
+    rows = rows.withColumn("_free", F.filter("_found", off)).withColumn("_forms", F.transform("_free", lambda c: c["form"]))
+    first = F.filter("_free", lambda c, i: F.array_position("_forms", c["form"]) == i + 1)
+    return rows.select(*key, F.explode(first).alias("u")).select(*key, "u.entity", "u.char_start", "u.char_end")
 
-    @F.pandas_udf("array<struct<entity:string,char_start:int,char_end:int>>")
-    def find(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        one = lambda t, s: [] if t is None else [{"entity": n, "char_start": a, "char_end": b} for n, a, b in unknown_names(t, [(x["start"], x["end"]) for x in (s if s is not None else ())])]
-        return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)])
 
-    return spans_by_entity(df, text, entities, "_spans").select(*key, F.explode(find(F.col(text), F.col("_spans"))).alias("u")).select(*key, "u.*")
+# --- the sentence around a mention ---
 
+# Fixed value: where a sentence ends and another begins.
+SENTENCE_BREAK = r"[。！？]+|\n+|(?<=[.!?])\s+(?=[A-Z0-9\"“'‘(\[*-])"
+_ABBREVIATED = re.compile(r"(?:^|[^A-Za-z.])(?:" + "|".join(map(re.escape, ABBREVIATIONS)) + r")\.$", re.I)
 
-# --- the sentence around a mention ---
 
-_BREAK = re.compile(r"[。！？]+|\n+|(?<=[.!?])\s+(?=[A-Z0-9\"“'‘(\[*-])")
-_SHORT = re.compile(r"(?:^|[^A-Za-z.])(" + "|".join(re.escape(a) for a in ABBREVIATIONS) + r")\.$", re.I)
+def sentence_ranges(text: str) -> tuple[list[int], list[int]]:
+    """Where the sentences of a text begin, and where each of them ends: a CJK full stop belongs to its sentence, blanks between sentences to none."""
+    stops = [m for m in re.finditer(SENTENCE_BREAK, text) if not _ABBREVIATED.search(text, max(0, m.start() - 12), m.start())]
+    return [0, *(m.end() for m in stops)], [*(m.end() if m[0][0] in "。！？" else m.start() for m in stops), len(text)]
 
 
 def sentence_at(text: str, position: int) -> tuple[int, int]:
-    """Raw range of the sentence around a position, without blanks at its ends; a CJK full stop belongs to it."""
-    a, b = 0, len(text)
-    for m in _BREAK.finditer(text):
-        if text[m.start() - 1 : m.start()] == "." and _SHORT.search(text, max(0, m.start() - 12), m.start()):
-            continue
-        if m.end() <= position:
-            a = m.end()
-        elif m.start() >= position:
-            b = m.end() if m.group()[0] in "。！？" else m.start()
-            break
-    part = text[a:b]
-    a += len(part) - len(part.lstrip())
-    return a, max(a, b - (len(part) - len(part.rstrip())))
+    """Raw range of the sentence that holds a position, without blanks at its ends."""
+    begins, ends = sentence_ranges(text)
+    i = bisect_right(begins, position) - 1
+    body = text[begins[i] : ends[i]]
+    a = begins[i] + len(body) - len(body.lstrip())
+    return a, a + len(body.strip())
 
 
 def sentences(df: DataFrame, key: list[str], text: str, entities: list[Entity], role: str = "brand") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["run_id", "engine", "query_index", "repeat_no"]
@@ -61,8 +63,44 @@ def token_totals(answers: DataFrame) -> DataFrame:
     return a.groupBy("engine").agg(F.count("*").alias("answers"), F.count("token_usage").alias("with_usage"), *sums, F.sum("search_count").alias("searches"), F.count("search_count").alias("with_search_count"))
 
 
-def changed_prompts(manifests: DataFrame) -> DataFrame:
-    """run_id, earlier: live runs whose prompt set has the version of an earlier live run of the brand, but another hash."""
-    m = manifests.dropDuplicates(["run_id"]).where("run_mode = 'live'").select("run_id", "brand", "started_at", F.col("prompt_set.set_version").alias("v"), F.col("prompt_set.set_hash").alias("h"))
-    first = m.select(F.col("run_id").alias("earlier"), "brand", F.col("started_at").alias("before"), "v", F.col("h").alias("h0"))
-    return m.join(first, ["brand", "v"]).where("before < started_at and h <> h0").groupBy("run_id").agg(F.count("*").alias("n_earlier"), F.min("earlier").alias("earlier"))
+def cost_totals(answers: DataFrame) -> DataFrame:
+    """By engine: the sum of the recorded estimates and how many answers have one; never across engines. A sum of nothing is null."""
+    from plumbline.operators.rates import is_placeholder
+
+    a = answers.where(~is_placeholder()).select("answer_id", "engine", "cost_estimate_usd").dropDuplicates(["answer_id"])
+    return a.groupBy("engine").agg(F.round(F.sum("cost_estimate_usd"), 4).alias("usd"), F.count("cost_estimate_usd").alias("answers_priced"), (F.count("*") - F.count("cost_estimate_usd")).alias("answers_unpriced"))
+
+
+def observability(answers: DataFrame) -> DataFrame:
+    """By engine: answers whose citations could not be seen, whose channel for them was empty, that come with all that was retrieved, that ran no search, or come from another model than asked; and the spans that were dropped."""
+    from plumbline.operators.rates import is_placeholder
+
+    some = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    a = answers.where(~is_placeholder()).select("answer_id", "engine", "cited_sources_available", "retrieved_set_available", "spans_dropped", "model", "model_requested", "params.search_ran", "params.empty_citation_channel").dropDuplicates(["answer_id"])
+    return a.groupBy("engine").agg(
+        F.count("*").alias("answers"), F.count_if(~F.coalesce("cited_sources_available", F.lit(False))).alias("without_citations"), some(F.col("empty_citation_channel")).alias("empty_channel"), some(F.col("retrieved_set_available")).alias("with_retrieved_set"),
+        F.coalesce(F.sum("spans_dropped"), F.lit(0)).cast("long").alias("spans_dropped"), F.count_if(~F.coalesce("search_ran", F.lit(True))).alias("not_searched"), some(F.col("model") != F.col("model_requested")).alias("other_model"),
+    )
+
+
+def completeness(settled: DataFrame) -> DataFrame:
+    """By run: engines that were planned, those of them with every planned answer, and whether all are. ``settled``: see ``on_disk``."""
+    full = F.col("done") == F.col("planned")
+    return settled.where("planned > 0").groupBy("run_id").agg(F.count("*").alias("engines"), F.count_if(full).alias("engines_whole"), F.sum("planned").alias("planned"), F.sum("done").alias("done"), F.bool_and(full).alias("whole"))
+
+
+def changed_prompts(manifests: DataFrame, same: Iterable[str] = ("brand", "v")) -> DataFrame:
+    """run_id, n_earlier, earlier: live runs whose prompt set has the version (v) of earlier live runs of the brand, but another hash than theirs; how many, and the first.
+
+    By running counts instead of a join of runs with runs: those before it, less those before it that have its hash.
+    """
+    m = manifests.where("run_mode = 'live'").select("run_id", "brand", "started_at", F.col("prompt_set.set_version").alias("v"), F.col("prompt_set.set_hash").alias("h")).dropDuplicates(["run_id"])
+    m = m.where(F.expr(" and ".join(f"{c} is not null" for c in (*same, "started_at", "h"))))
+    at = F.unix_micros("started_at")
+    group = Window.partitionBy(*same)
+    before, alike = (w.orderBy(at).rangeBetween(Window.unboundedPreceding, -1) for w in (group, Window.partitionBy(*same, "h")))
+    m = m.withColumn("n_earlier", F.count("*").over(before) - F.count("*").over(alike))
+    order = F.struct("started_at", "run_id")
+    m = m.withColumn("_first", F.min_by("h", order).over(group))
+    m = m.withColumn("earlier", F.when(F.col("h") == F.col("_first"), F.min_by(F.when(F.col("h") != F.col("_first"), F.col("run_id")), F.when(F.col("h") != F.col("_first"), order)).over(group)).otherwise(F.min_by("run_id", order).over(group)))
+    return m.where("n_earlier > 0").select("run_id", "n_earlier", "earlier")

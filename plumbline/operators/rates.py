@@ -21,6 +21,12 @@ def latest(df: DataFrame, key: Iterable[str]) -> DataFrame:
     return df.dropDuplicates(list(key))
 
 
+def latest_of(df: DataFrame, key: Iterable[str], *columns: Column | str) -> DataFrame:
+    """One row for each key, of the key and what is asked for, which is computed before rows are shuffled."""
+    key = list(key)
+    return df.select(*key, *columns).dropDuplicates(key)
+
+
 def latest_by(df: DataFrame, key: Iterable[str], time: str, tie: str) -> DataFrame:
     """The last version of each key, by an aggregation instead of a window, so that it combines before the shuffle."""
     key = list(key)
@@ -52,10 +58,12 @@ def analysed(answers: DataFrame, entities: list[Entity], recommendation: Iterabl
     text = folded(F.col("answer_text"))
     brand = next(e for e in entities if e.role == "brand")
     rivals = [e for e in entities if e.role == "competitor"]
-    rows = latest(answers, ["answer_id"]).where(~is_placeholder()).withColumn("_text", text)
+    # flags first: what is shuffled to find re-deliveries is narrow, whatever the length of the texts
+    rows = answers.where(~is_placeholder()).withColumn("_text", text)
     observable = F.coalesce("cited_sources_available", F.lit(False))
     rows = rows.withColumn("mentioned", F.coalesce(names(F.col("_text"), brand), F.lit(False))).withColumn("competitors_named", F.filter(F.array(*[F.when(names(F.col("_text"), e), e.name) for e in rivals]).cast("array<string>"), lambda c: c.isNotNull()))
     rows = rows.select("answer_id", "run_id", "engine", "query_index", "repeat_no", "intent", "mentioned", "competitors_named", observable.alias("observable"), F.when(F.col("intent").isin(list(recommendation)), F.col("mentioned")).alias("named_in_rec"))
+    rows = latest(rows, ["answer_id"])
     if citations is None:
         return rows.withColumn("owned_cited", F.lit(None).cast("boolean"))
     seen = rows.join(cited_by_answer(citations, owned), "answer_id", "left")

@@ -148,18 +148,18 @@ def metric_lines(spark, sf):
 @query(f"WITH f AS (SELECT answer_id, {_folded('answer_text')} AS t FROM ({_A})), n AS (SELECT unnest({[n for e in ENTITIES for n in e.needles()]!r}) AS needle) SELECT needle, count(DISTINCT answer_id) AS n_answers, sum((length(t) - length(replace(t, needle, ''))) // length(needle))::bigint AS n_found FROM f JOIN n ON contains(t, needle) GROUP BY 1")
 def alias_occurrences(spark, sf):
     """No needle overlaps itself, so removing all of them counts them."""
-    a = rates.latest(_t(spark, sf, "answers"), ["answer_id"]).select("answer_id", folding.folded("answer_text").alias("t"))
     needles = F.array(*[F.lit(n) for e in ENTITIES for n in e.needles()])
-    # one pass over each text; the broadcast list is the configuration's
-    each = a.select("answer_id", "t", F.explode(F.filter(needles, lambda n: F.contains(F.col("t"), n))).alias("needle"))
-    found = ((F.length("t") - F.length(F.replace(F.col("t"), F.col("needle"), F.lit("")))) / F.length("needle")).cast("long")
-    return each.groupBy("needle").agg(F.countDistinct("answer_id").alias("n_answers"), F.sum(found).alias("n_found"))
+    t = _t(spark, sf, "answers").select("answer_id", folding.folded("answer_text").alias("t"))
+    # one pass over each text, the list being the configuration's; counts instead of texts are shuffled
+    count = lambda n: ((F.length("t") - F.length(F.replace(F.col("t"), n, F.lit("")))) / F.length(n)).cast("long")
+    here = F.transform(F.filter(needles, lambda n: F.contains(F.col("t"), n)), lambda n: F.struct(n.alias("needle"), count(n).alias("found")))
+    each = rates.latest_of(t, ["answer_id"], here.alias("here")).select("answer_id", F.explode("here").alias("x"))
+    return each.groupBy("x.needle").agg(F.count("*").alias("n_answers"), F.sum("x.found").alias("n_found"))
 
 
 @query()
 def entity_mentions(spark, sf):
-    a = rates.latest(_t(spark, sf, "answers"), ["answer_id"])
-    return mentions.mentions(a, ["answer_id"], "answer_text", ENTITIES)
+    return mentions.mentions(_t(spark, sf, "answers"), ["answer_id"], "answer_text", ENTITIES)
 
 
 @query(f"WITH f AS (SELECT {_folded('answer_text')} AS t FROM ({_A})) SELECT entity, count(*) AS n_answers FROM (" + " UNION ALL ".join(f"SELECT '{e.name}' AS entity FROM f WHERE {_names('t', e)}" for e in ENTITIES) + ") GROUP BY 1")
@@ -170,20 +170,18 @@ def entity_answer_counts(spark, sf):
 
 @query()
 def unknown_entities(spark, sf):
-    a = rates.latest(_t(spark, sf, "answers"), ["answer_id"])
-    return mentions.unknown_entities(a, ["answer_id"], "answer_text", ENTITIES)
+    return mentions.unknown_entities(_t(spark, sf, "answers"), ["answer_id"], "answer_text", ENTITIES).distinct()
 
 
 @query()
 def brand_sentences(spark, sf):
-    a = rates.latest(_t(spark, sf, "answers"), ["answer_id"])
-    s = mentions.sentences(a, ["answer_id"], "answer_text", ENTITIES).where("sentence is not null")
-    return s.select("answer_id", "sentence", F.size("highlights").alias("n_highlights"), F.size(mentions.segments(F.col("sentence"), F.col("highlights"))).alias("n_segments"))
+    s = mentions.sentences(_t(spark, sf, "answers"), ["answer_id"], "answer_text", ENTITIES).where("sentence is not null")
+    return rates.latest(s, ["answer_id"]).select("answer_id", "sentence", F.size("highlights").alias("n_highlights"), F.size(mentions.segments(F.col("sentence"), F.col("highlights"))).alias("n_segments"))
 
 
 @query(f"WITH a AS (SELECT answer_id, regexp_replace(answer_text, '^[\\s\\p{{Z}}\\x{{85}}]+|[\\s\\p{{Z}}\\x{{85}}]+$', '', 'g') AS t FROM ({_A})) SELECT answer_id, CASE WHEN length(t) > 200 THEN regexp_replace(left(t, 200), '[\\s\\p{{Z}}\\x{{85}}]+$', '') || '…' ELSE t END AS excerpt FROM a")
 def answer_excerpt(spark, sf):
-    return rates.latest(_t(spark, sf, "answers"), ["answer_id"]).select("answer_id", tx.excerpt(F.col("answer_text")).alias("excerpt"))
+    return rates.latest_of(_t(spark, sf, "answers"), ["answer_id"], tx.excerpt(F.col("answer_text")).alias("excerpt"))
 
 
 # --- hosts ---
@@ -221,10 +219,9 @@ def cited_position_dedupe(spark, sf):
     c = rates.latest(_t(spark, sf, "citations"), ["citation_id"])
     first = c.groupBy("answer_id", "url").agg(F.min(F.struct("citation_index", "citation_id", F.coalesce("is_cited", F.lit(False)).alias("is_cited"))).alias("f"))
     per = first.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("f", "url"))).alias("l"))
-    flags = F.transform("l", lambda x: x["f"]["is_cited"].cast("int"))
-    ordinal = lambda i: F.aggregate(F.slice(flags, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x) - 1
-    rows = per.select("answer_id", F.explode(F.transform("l", lambda x, i: F.struct(x["url"].alias("url"), x["f"]["citation_index"].alias("citation_index"), F.when(x["f"]["is_cited"], ordinal(i)).alias("cited_ordinal")))).alias("x"))
-    return rows.select("answer_id", "x.url", "x.citation_index", F.col("x.cited_ordinal").cast("long").alias("cited_ordinal"))
+    # the cited ones among them in order: a citation's ordinal is its place there
+    rows = per.withColumn("cited", F.transform(F.filter("l", lambda x: x["f"]["is_cited"]), lambda x: x["f"])).select("answer_id", "cited", F.explode("l").alias("x"))
+    return rows.select("answer_id", "x.url", "x.f.citation_index", F.when(F.col("x.f.is_cited"), F.array_position("cited", F.col("x.f")) - 1).alias("cited_ordinal"))
 
 
 @query(f"WITH c AS ({_C}) SELECT DISTINCT answer_id, url FROM c r WHERE NOT coalesce(is_cited, false) AND NOT EXISTS (SELECT 1 FROM c x WHERE x.answer_id = r.answer_id AND x.url = r.url AND x.is_cited)")
@@ -267,9 +264,8 @@ def recorded_statuses(spark, sf):
 
 @query(f"SELECT answer_id, octet_length(encode(answer_text)) AS n_bytes, length(answer_text) AS n_points FROM ({_A})")
 def byte_to_code_point(spark, sf):
-    a = rates.latest(_t(spark, sf, "answers"), ["answer_id"])
     n = F.octet_length("answer_text")
-    return a.select("answer_id", n.cast("long").alias("n_bytes"), tx.byte_to_code_point(F.col("answer_text"), n).cast("long").alias("n_points"))
+    return rates.latest_of(_t(spark, sf, "answers"), ["answer_id"], n.cast("long").alias("n_bytes"), tx.byte_to_code_point(F.col("answer_text"), n).cast("long").alias("n_points"))
 
 
 # --- quotes ---
@@ -314,8 +310,10 @@ def faithfulness_summary(spark, sf):
 @query()
 def quote_best_window(spark, sf):
     """Of quotes that can be compared: the best share of words in any window of the page. Checked against a sliding count in the tests."""
-    rows = _checked(spark, sf).where("not_comparable_reason is null").select("citation_id", tx.normal_quote(F.col("cited_text")).alias("quote"), "page")
-    return quotes.window_scores(rows, "citation_id", "quote", "page")
+    c = _t(spark, sf, "citations").where(F.col("is_cited") & quotes.quoted())
+    q = rates.latest_of(c, ["citation_id"], "url", tx.normal_quote(F.col("cited_text")).alias("quote"))
+    p = quotes.page_for_url(_t(spark, sf, "fetched_pages")).where("fetch_status = 'ok' and text <> ''")
+    return quotes.window_scores(q, p, "citation_id", "quote", "url", "text")
 
 
 @query(f"""WITH a AS ({_A}), c AS ({_C}), p AS ({_PAGE}) SELECT citation_id, a.engine AS platform, fetch_status, CASE WHEN coalesce(cited_text, '') = '' THEN 'no_cited_text' WHEN coalesce(fetch_status, '') <> 'ok' THEN 'fetch_' || coalesce(fetch_status, 'none') WHEN coalesce(page, '') = '' THEN 'no_fetched_text' END AS not_comparable_reason, length(coalesce(cited_text, ''))::int AS cited_text_len, length(coalesce(page, ''))::int AS fetched_text_len, round((epoch_us(fetched_at) - epoch_us(observed_at)) / 1e6, 3) AS fetch_delay_seconds FROM c JOIN a USING (answer_id) LEFT JOIN p ON p.url = c.url WHERE is_cited""")
@@ -332,15 +330,15 @@ def urls_to_fetch(spark, sf):
 @query(f"SELECT page_id, length({_ONE('text')})::int AS n_chars FROM ({_P}) WHERE text IS NOT NULL")
 def visible_text_len(spark, sf):
     """Page text wrapped in markup and read back: tags, scripts and entities must leave no trace."""
-    p = rates.latest(_t(spark, sf, "fetched_pages"), ["page_id"]).where("text is not null")
+    p = _t(spark, sf, "fetched_pages").where("text is not null")
     t = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     markup = F.concat(F.lit("<html><style>p{}</style><script>if(a<b){'</p>'}</script><nav><p>"), t, F.lit("</p></nav><svg><title>x</title></svg>"))
-    return p.select("page_id", F.length(tx.one_blank(visible_text(markup))).alias("n_chars"))
+    return rates.latest_of(p, ["page_id"], F.length(tx.one_blank(visible_text(markup))).alias("n_chars"))
 
 
 @query(f"SELECT citation_id, replace(regexp_replace(title, '([<>\\[\\]*`|])', '\\\\\\1', 'g'), chr(10), ' ') AS cell FROM ({_C}) WHERE title IS NOT NULL")
 def markdown_cells(spark, sf):
-    return rates.latest(_t(spark, sf, "citations"), ["citation_id"]).where("title is not null").select("citation_id", tx.markdown_cell(F.col("title")).alias("cell"))
+    return rates.latest_of(_t(spark, sf, "citations").where("title is not null"), ["citation_id"], tx.markdown_cell(F.col("title")).alias("cell"))
 
 
 @query(f"""{_CHECKED}, a AS ({_A}), s AS (SELECT answer_id, count(*) AS n_sources, count(*) FILTER (is_cited) AS n_cited FROM c GROUP BY 1), f AS (SELECT answer_id, count(*) FILTER (result = 'found') AS n_found, count(*) FILTER (result = 'not_found') AS n_not_found FROM d JOIN c USING (citation_id) GROUP BY 1)
@@ -388,11 +386,49 @@ def usage_totals(spark, sf):
     return planning.token_totals(_t(spark, sf, "answers"))
 
 
-@query("WITH m AS (SELECT DISTINCT ON (run_id) run_id, brand, started_at, prompt_set.set_version AS v, prompt_set.set_hash AS h FROM run_manifests WHERE run_mode = 'live') SELECT m.run_id, count(*) AS n_earlier, min(e.run_id) AS earlier FROM m JOIN m e ON m.brand = e.brand AND m.v = e.v AND e.started_at < m.started_at AND e.h <> m.h GROUP BY 1")
+def _changed(same: str) -> str:
+    return f"WITH m AS (SELECT DISTINCT ON (run_id) run_id, brand, started_at, prompt_set.set_version AS v, prompt_set.set_hash AS h FROM run_manifests WHERE run_mode = 'live') SELECT m.run_id, count(*) AS n_earlier, arg_min(e.run_id, e.started_at) AS earlier FROM m JOIN m e ON {same} m.v = e.v AND e.started_at < m.started_at AND e.h <> m.h GROUP BY 1"
+
+
+@query(_changed("m.brand = e.brand AND"))
 def freeze_guard(spark, sf):
     return planning.changed_prompts(_t(spark, sf, "run_manifests"))
 
 
+@query(_changed(""))
+def version_hashes(spark, sf):
+    """The guard across brands: the brands of the test tables differ, so their versions have other hashes."""
+    return planning.changed_prompts(_t(spark, sf, "run_manifests"), ("v",))
+
+
+@query(f"SELECT engine, round(sum(cost_estimate_usd), 4) AS usd, count(cost_estimate_usd) AS answers_priced, count(*) - count(cost_estimate_usd) AS answers_unpriced FROM ({_A}) WHERE NOT coalesce(params.no_fixture, false) GROUP BY 1")
+def cost_totals(spark, sf):
+    return planning.cost_totals(_t(spark, sf, "answers"))
+
+
+@query(f"""{_CHECKED}, runs AS (SELECT DISTINCT ON (run_id) run_id, run_mode FROM run_manifests), dx AS (SELECT d.*, run_mode FROM d JOIN c USING (citation_id) JOIN ({_A}) a USING (answer_id) JOIN runs USING (run_id)), g AS (
+  SELECT run_mode, count(*) FILTER (coalesce(cited_text, '') <> '') AS with_quote, count(*) FILTER (coalesce(cited_text, '') <> '' AND why IS DISTINCT FROM 'not_fetched') AS looked_up, count(*) FILTER (result <> 'not_checkable') AS checked FROM dx GROUP BY 1)
+  SELECT *, CASE WHEN with_quote = 0 THEN 'not_observable' WHEN looked_up = 0 THEN 'not_checked' WHEN checked = 0 THEN 'not_checkable' ELSE 'ok' END AS status FROM g""")
+def instrument_check(spark, sf):
+    """Whether the quote check is at work, by the mode of the runs."""
+    runs = _t(spark, sf, "run_manifests").select("run_id", "run_mode").dropDuplicates(["run_id"])
+    a = rates.latest_of(_t(spark, sf, "answers"), ["answer_id"], "run_id").join(runs, "run_id").select("answer_id", "run_mode")
+    return quotes.instrument(_checked(spark, sf).join(a, "answer_id"))
+
+
+@query(f"""WITH a AS ({_A}) SELECT engine, count(*) AS answers, count(*) FILTER (NOT coalesce(cited_sources_available, false)) AS without_citations, count(*) FILTER (params.empty_citation_channel) AS empty_channel, count(*) FILTER (retrieved_set_available) AS with_retrieved_set, coalesce(sum(spans_dropped), 0)::bigint AS spans_dropped, count(*) FILTER (NOT coalesce(params.search_ran, true)) AS not_searched, count(*) FILTER (model <> model_requested) AS other_model FROM a WHERE NOT coalesce(params.no_fixture, false) GROUP BY 1""")
+def observability(spark, sf):
+    """What could be observed, by engine: the counts that a report's notices are made of."""
+    return planning.observability(_t(spark, sf, "answers"))
+
+
+@query(f"""{_TASKS}, p AS (SELECT run_id, engine, count(*) AS planned FROM t GROUP BY 1, 2), d AS (SELECT run_id, engine, count(*) AS done FROM ({_A}) GROUP BY 1, 2)
+  SELECT run_id, count(*) AS engines, count(*) FILTER (coalesce(done, 0) = planned) AS engines_whole, sum(planned)::bigint AS planned, coalesce(sum(done), 0)::bigint AS done, bool_and(coalesce(done, 0) = planned) AS whole FROM p LEFT JOIN d USING (run_id, engine) GROUP BY 1""")
+def run_completeness(spark, sf):
+    """Which runs have every planned answer, from the rows that are there."""
+    return planning.completeness(planning.on_disk(_t(spark, sf, "answers"), _t(spark, sf, "call_errors"), _t(spark, sf, "run_manifests")))
+
+
 @query("WITH e AS (SELECT DISTINCT * FROM call_errors) SELECT engine, error_type, count(*) AS n, count(error_message) AS with_message, count(DISTINCT run_id) AS n_runs FROM e GROUP BY 1, 2")
 def error_summary(spark, sf):
     e = _t(spark, sf, "call_errors").distinct()

@@ -41,7 +41,7 @@ def test_metric_text(spark):
 
 @pytest.mark.parametrize(
     ("domain", "owned", "expected"),
-    [("www.trellis.example", "trellis.example", True), ("shop.trellis.example", "trellis.example", True), ("nottrellis.example", "trellis.example", False), ("trellis.example:8443", "trellis.example", False), (None, "trellis.example", False)],
+    [("www.ostrevo.example", "ostrevo.example", True), ("shop.ostrevo.example", "ostrevo.example", True), ("notostrevo.example", "ostrevo.example", False), ("ostrevo.example:8443", "ostrevo.example", False), (None, "ostrevo.example", False)],
 )
 def test_owned(spark, domain, owned, expected):
     assert one(spark, hosts.is_owned(F.col("d"), [owned]).alias("x"), d=("string", domain)).x is expected

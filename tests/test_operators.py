@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import mentions, planning, quotes, spans
 from plumbline.operators.mentions import Entity
 
-ENTITIES = [Entity("Trellis", "brand", ("TRLSD", "Trellis Home")), Entity("Trell", "competitor"), Entity("示範牙醫", "competitor", ("示範牙醫診所",))]
+ENTITIES = [Entity("Ostrevo", "brand", ("OSTVD", "Ostrevo Home")), Entity("Ostre", "competitor"), Entity("晨光牙醫", "competitor", ("晨光牙醫診所",))]
 
 
 def sweep_model(spans_):
@@ -35,33 +35,35 @@ def test_sweeps_against_a_model(spark):
 
 
 def test_mentions(spark):
-    rows = [(1, "We like trellis home, Trell and ＴＲＬＳＤ."), (2, "找示範牙醫診所"), (3, ""), (4, None), (5, "nothing")]
+    rows = [(1, "We like ostrevo home, Ostre and ＯＳＴＶＤ."), (2, "找晨光牙醫診所"), (3, ""), (4, None), (5, "nothing")]
     got = mentions.mentions(spark.createDataFrame(rows, "id int, t string"), ["id"], "t", ENTITIES).collect()
     by = {(r.id, r.entity): (r.char_start, r.char_end, r.n_spans, r.entity_rank) for r in got}
-    assert by == {(1, "Trellis"): (8, 20, 2, 1), (1, "Trell"): (22, 27, 1, 2), (2, "示範牙醫"): (1, 7, 1, 1)}
+    assert by == {(1, "Ostrevo"): (8, 20, 2, 1), (1, "Ostre"): (22, 27, 1, 2), (2, "晨光牙醫"): (1, 7, 1, 1)}
 
 
-def test_unknown_names():
-    text = "另外健康牙醫診所 is near Demo Bean Company. Demo Bean Company! 「好店」"
-    assert [n for n, _, _ in mentions.unknown_names(text, [])] == ["健康牙醫診所", "Demo Bean Company", "好店"]
-    assert all(text[a:b] == n for n, a, b in mentions.unknown_names(text, []))
-    start = text.index("Demo")
-    assert "Demo Bean Company" not in [n for n, _, _ in mentions.unknown_names("x Demo Bean Company", [(2, 6)])] and start > 0
+def test_unknown_names(spark):
+    text = "另外健康牙醫診所 is near Quill Barn Company. Quill Barn Company! 「好店」"
+    found = mentions.name_candidates(text)
+    assert [n for n, *_ in found] == ["健康牙醫診所", "Quill Barn Company", "Quill Barn Company", "好店"]
+    assert all(text[a:b] == n for n, a, b, _ in found) and mentions.name_candidates(None) == []
+    df = spark.createDataFrame([(1, text), (2, "x Ostrevo Home Company"), (3, None)], "id int, t string")
+    got = sorted((r.id, r.entity, r.char_start) for r in mentions.unknown_entities(df, ["id"], "t", ENTITIES).collect())
+    assert got == [(1, "Quill Barn Company", text.index("Quill")), (1, "健康牙醫診所", 2), (1, "好店", text.index("好店"))]
 
 
 def test_sentences():
-    t = "First one. Try Demo Bean Co. and Dr. Sample today! Then。示範很好！\n- Bullet"
+    t = "First one. Try Quill Barn Co. and Dr. Sample today! Then。晨光很好！\n- Bullet"
     cut = lambda p: t[slice(*mentions.sentence_at(t, t.index(p)))]
-    assert cut("Demo") == "Try Demo Bean Co. and Dr. Sample today!"
-    assert cut("示範") == "示範很好！" and cut("Bullet") == "- Bullet" and cut("First") == "First one."
+    assert cut("Quill") == "Try Quill Barn Co. and Dr. Sample today!"
+    assert cut("晨光") == "晨光很好！" and cut("Bullet") == "- Bullet" and cut("First") == "First one."
 
 
 def test_sentence_highlights_and_segments(spark):
-    df = spark.createDataFrame([(1, "Before. Trellis beats trellis. After")], "id int, t string")
+    df = spark.createDataFrame([(1, "Before. Ostrevo beats ostrevo. After")], "id int, t string")
     s = mentions.sentences(df, ["id"], "t", ENTITIES)
     r = s.select("sentence", "highlights", mentions.segments(F.col("sentence"), F.col("highlights")).alias("p")).first()
-    assert r.sentence == "Trellis beats trellis." and [tuple(h) for h in r.highlights] == [(0, 7), (14, 21)]
-    assert [(x.piece, x.marked) for x in r.p] == [("Trellis", True), (" beats ", False), ("trellis", True), (".", False)]
+    assert r.sentence == "Ostrevo beats ostrevo." and [tuple(h) for h in r.highlights] == [(0, 7), (14, 21)]
+    assert [(x.piece, x.marked) for x in r.p] == [("Ostrevo", True), (" beats ", False), ("ostrevo", True), (".", False)]
 
 
 def window_model(q, p):
@@ -71,16 +73,27 @@ def window_model(q, p):
     return max(sum(min(c, need[t]) for t, c in Counter(p[i : i + w]).items() if t in need) for i in range(len(p) - w + 1)) / len(q)
 
 
+def _scores(spark, rows):
+    df = spark.createDataFrame(rows, "id int, q string, p string")
+    return quotes.window_scores(df.select("id", "q", F.col("id").alias("u")), df.select(F.col("id").alias("u"), "p"), "id", "q", "u", "p").collect()
+
+
+def test_one_page_is_read_in_both_ways(spark):
+    q = spark.createDataFrame([(1, "warm tea", "u"), (2, "茶 tea", "u"), (3, "tea", "other")], "id int, q string, u string")
+    p = spark.createDataFrame([("u", "warm green tea")], "u string, p string")
+    assert {r.id: r.score for r in quotes.window_scores(q, p, "id", "q", "u", "p").collect()} == {1: 0.5, 2: 0.75}
+
+
 def test_window_scores_against_a_sliding_count(spark):
     rng = random.Random(11)
     rows = [(n, " ".join(rng.choice("abcd") for _ in range(rng.randrange(7))), " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(25)))) for n in range(250)]
-    got = {r.id: r.score for r in quotes.window_scores(spark.createDataFrame(rows, "id int, q string, p string"), "id", "q", "p").collect()}
+    got = {r.id: r.score for r in _scores(spark, rows)}
     assert got == {n: round(window_model(q.split(), p.split()), 4) for n, q, p in rows}
 
 
 def test_window_score_controls(spark):
     rows = [(1, "術後保固五年", "本診所植牙提供術後保固五年服務"), (2, "five year warranty", "We offer dental implants with a five year warranty."), (3, "five year", "")]
-    got = {r.id: r.score for r in quotes.window_scores(spark.createDataFrame(rows, "id int, q string, p string"), "id", "q", "p").collect()}
+    got = {r.id: r.score for r in _scores(spark, rows)}
     assert got == {1: 1.0, 2: 1.0, 3: 0.0}
 
 
