@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.lineage import collect_bounded
-from plumbline.operators.nested import _kind
+from plumbline.operators.nested import kind_of as _kind
 
 DESCEND = frozenset({"payload", "payload.output", "payload.usage"})
 SKETCH = 48  # values and shapes that a profile keeps, those of least hash

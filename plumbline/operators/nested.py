@@ -1,33 +1,40 @@
 """Deeply nested semi-structured records to related flat tables.
 
-Method: each record is parsed to a stream of path-value-ordinal triples: the path with ``[]`` where an array is
-entered, the ordinals of the arrays on the way, and the value. Paths are grouped by their nearest repeated ancestor,
-and each group is pivoted into one table, keyed by the record's id and the ordinals; a child's key begins with its
-parent's, which is the link between them.
+Method: each record is read as a stream of events and turned into path-value-ordinal triples: the path with ``[]``
+where an array is entered, the ordinals of the arrays on the way, and the value. Paths are grouped by their nearest
+repeated ancestor, and each group is pivoted into one table, keyed by the record's id and the ordinals; a child's key
+begins with its parent's, which is the link between them.
 
 Optional and irregular parts: a single object where an array is usual is an array of one (``repeated`` names those
-paths; ``infer_repeated`` finds them); null, absent and empty arrays give nothing; a record inside a string or inside
-enclosing objects (``anchors``: keys that only the record itself has) is unwrapped first; records that are null, not
-JSON or incomplete give no triples. An element of an array gives a triple of its own kind even if it is empty, so no
-element is lost. Repeated keys: the last one counts, as in JSON parsers.
+paths; ``infer_repeated`` finds them); null, absent and empty arrays give nothing; a record inside strings, enclosing
+objects or arrays (``anchors``: keys that only the record itself has) is found first, the nearest one, under any number
+of layers; records that are null, not JSON or incomplete give no triples and are counted by ``statuses``. An element of
+an array gives a triple of its own kind even if it is empty, so no element is lost. Repeated keys: the last one counts,
+as in JSON parsers. What lies deeper than ``MOST_DEPTH`` containers is one triple with its JSON text as value, so that
+paths and ordinals stay short and nothing is lost.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.jsonstream import events
 from plumbline.operators.lineage import collect_bounded
 
 TRIPLES = "path string, ordinals array<int>, kind string, value string"
-MOST_LAYERS = 16
+MOST_DEPTH = 64
+_JSON_INSIDE = re.compile(r'\s*[{\["]').match
+READ, NULL, BROKEN, NO_RECORD = "read", "null", "broken", "no_record"
 
 
-def _kind(v: object) -> str:
+def kind_of(v: object) -> str:
     if v is None:
         return "null"
     if isinstance(v, bool):
@@ -39,84 +46,147 @@ def _kind(v: object) -> str:
     return "array" if isinstance(v, list) else "object"
 
 
-def unwrap(value: object, anchors: frozenset[str]) -> object | None:
-    """The record inside strings and enclosing objects: the nearest object with one of the anchor keys."""
-    level = [value]
-    for _ in range(MOST_LAYERS):
-        inner: list[object] = []
-        for v in level:
-            if isinstance(v, str) and v[:64].lstrip()[:1] in ("{", "[", '"'):
-                try:
-                    inner.append(json.loads(v))
-                except (ValueError, RecursionError):
-                    continue
-            elif isinstance(v, dict):
-                if not anchors or not anchors.isdisjoint(v):
-                    return v
-                inner += v.values()
-            elif isinstance(v, list) and len(v) == 1:
-                inner += v
-        if not inner:
-            return None
-        level = inner
-    return None
-
-
-def triples(record: object, repeated: frozenset[str]) -> Iterator[tuple[str, list[int], str, str | None]]:
-    """(path, ordinals, kind, value) of every element and every leaf, in document order. No recursion, so depth has no limit."""
-    stack: list[tuple[str, list[int], object]] = [("", [], record)]
-    while stack:
-        path, at, v = stack.pop()
-        if isinstance(v, dict) and path in repeated:
-            v = [v]
-        if isinstance(v, list):
-            below = []
-            for i, x in enumerate(v):
-                yield f"{path}[]", [*at, i], "element", None
-                below.append((f"{path}[]", [*at, i], x))
-            stack += reversed(below)
-        elif isinstance(v, dict):
-            dot = f"{path}." if path else ""
-            stack += [(dot + k, at, x) for k, x in reversed(v.items())]
-        elif path:
-            yield path, at, _kind(v), None if v is None else v if isinstance(v, str) else json.dumps(v)
-
-
-def _parse(text: str | None, anchors: frozenset[str]) -> object | None:
+def locate(text: str, anchors: frozenset[str]) -> tuple[str, int] | None:
+    """The text and the position of the record: the object with one of the anchor keys under the fewest layers (strings, objects, arrays), the first of these. ValueError if the outer text is no JSON."""
+    best: tuple[int, str, int] | None = None
+    todo = [(0, 0, text)]
+    seen = 0
+    while todo and (best is None or todo[0][0] < best[0]):
+        base, number, t = heapq.heappop(todo)
+        opened: list[int] = []
+        found, inner = best, []
+        try:
+            for event, value, pos in events(t):
+                if event in "{[":
+                    opened.append(pos)
+                elif event in "}]":
+                    opened.pop()
+                elif event == "key":
+                    if value in anchors and (found is None or base + len(opened) - 1 < found[0]):
+                        found = (base + len(opened) - 1, t, opened[-1])
+                elif event == "string" and _JSON_INSIDE(value):
+                    inner.append((base + len(opened) + 1, value))
+        except ValueError:
+            if number == 0:
+                raise
+            continue
+        best = found
+        for depth, value in inner:
+            seen += 1
+            heapq.heappush(todo, (depth, seen, value))
+    return None if best is None else best[1:]
+
+
+def triples(text: str, pos: int = 0, repeated: frozenset[str] = frozenset(), wanted: frozenset[str] | None = None, most_depth: int = MOST_DEPTH) -> tuple[list[tuple], set[str]]:
+    """((path, ordinals, kind, value) of every element and leaf of the JSON value at ``pos``; its own keys).
+
+    ``wanted``: only these paths; what is on the way to none of them is read over.
+    """
+    way = None if wanted is None else {p[:i] for p in wanted for i in (0, *(m.start() for m in re.finditer(r"\.|\[\]", p)), len(p))}
+    out: list[tuple | None] = []
+    frames: list[list] = []  # of open containers: path, ordinals, key or next index, where the key's triples begin, its keys' triples, muted, where it begins as text
+    root_keys: set[str] = set()
+
+    def emit(path: str, at: tuple, kind: str, value: str | None) -> None:
+        if path and (wanted is None or path in wanted):
+            out.append((path, at, kind, value))
+
+    for event, value, end in events(text, pos):
+        f = frames[-1] if frames else None
+        if event == "key":
+            if len(frames) == 1:
+                root_keys.add(value)
+            if f[5]:
+                continue
+            if f[2] is not None:
+                f[4][f[2]] = (f[3], len(out))
+            if value in f[4]:  # it came before: what it gave goes
+                a, b = f[4][value]
+                out[a:b] = [None] * (b - a)
+            f[2], f[3] = value, len(out)
+            continue
+        if event in "}]":
+            frames.pop()
+            if f[6] is not None:
+                emit(f[0], f[1], "object" if event == "}" else "array", text[f[6] : end])
+            continue
+        muted = f is not None and f[5]
+        path, at = "", ()
+        if f is not None and not muted:
+            path, at = f[0], f[1]
+            if f[4] is None:
+                path, at = path + "[]", (*at, f[2])
+                f[2] += 1
+                emit(path, at, "element", None)
+            else:
+                path = f"{path}.{f[2]}" if path else f[2]
+        if event not in "{[":
+            if not muted:
+                emit(path, at, event, None if event == "null" else value)
+            continue
+        raw = None
+        if not muted:
+            if event == "{" and path in repeated:
+                path, at = path + "[]", (*at, 0)
+                emit(path, at, "element", None)
+            if len(frames) >= most_depth:
+                muted, raw = True, end
+            elif way is not None and path not in way:
+                muted = True
+        frames.append([path, at, 0, 0, None, muted, raw] if event == "[" else [path, at, None, 0, {}, muted, raw])
+    return [t for t in out if t is not None], root_keys
+
+
+def read(text: str | None, anchors: frozenset[str], repeated: frozenset[str], wanted: frozenset[str] | None = None) -> tuple[str, list[tuple]]:
+    """(status, triples of the record)"""
     if text is None:
-        return None
+        return NULL, []
     try:
-        return unwrap(json.loads(text), anchors)
-    except (ValueError, RecursionError):
-        return None
-
-
-def explode_triples(df: DataFrame, key: str, payload: str, repeated: Iterable[str] = (), anchors: Iterable[str] = (), platform: str | None = None) -> DataFrame:
-    """key (and platform), path, ordinals, kind, value. Rows of one key and content are exploded once."""
-    rep, anc = frozenset(repeated), frozenset(anchors)
+        found, keys = triples(text, 0, repeated, wanted)
+        if not anchors or not anchors.isdisjoint(keys):
+            return READ, found
+        place = locate(text, anchors)
+        return (NO_RECORD, []) if place is None else (READ, triples(*place, repeated, wanted)[0])
+    except ValueError:
+        return BROKEN, []
+
+
+def explode_triples(df: DataFrame, key: str, payload: str, repeated: Iterable[str] = (), anchors: Iterable[str] = (), platform: str | None = None, wanted: Iterable[str] | None = None) -> DataFrame:
+    """key (and platform), path, ordinals, kind, value; of ``wanted`` paths only, if they are given."""
+    rep, anc, want = frozenset(repeated), frozenset(anchors), None if wanted is None else frozenset(wanted)
     names = [key, *([platform] if platform else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [b.column(n).to_pylist() for n in names]
-            out: list[list] = [[] for _ in range(len(names) + 4)]
+            take, out = [], ([], [], [], [])
             for r, text in enumerate(b.column("_payload").to_pylist()):
-                record = _parse(text, anc)
-                if record is None:
-                    continue
-                for t in triples(record, rep):
-                    for i, c in enumerate(ids):
-                        out[i].append(c[r])
-                    for i, x in enumerate(t):
-                        out[len(names) + i].append(x)
-            kinds = [b.schema.field(n).type for n in names] + [pa.string(), pa.list_(pa.int32()), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[*names, "path", "ordinals", "kind", "value"])
+                for t in read(text, anc, rep, want)[1]:
+                    take.append(r)
+                    for c, x in zip(out, t):
+                        c.append(x)
+            at = pa.array(take, pa.int64())
+            kinds = (pa.string(), pa.list_(pa.int32()), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*[b.column(n).take(at) for n in names], *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=[*names, "path", "ordinals", "kind", "value"])
 
     slim = df.select(*names, F.col(payload).alias("_payload")).where(F.col("_payload").isNotNull())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(*names).schema) + ", " + TRIPLES
     return slim.mapInArrow(run, schema)
 
 
+def statuses(df: DataFrame, payload: str, anchors: Iterable[str], *keep: str) -> DataFrame:
+    """The kept columns and record_status of each row: read, null, broken (no JSON, or incomplete) or no_record (JSON without one)."""
+    anc = frozenset(anchors)
+    names = list(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [read(t, anc, frozenset(), frozenset())[0] for t in b.column("_payload").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(got, pa.string())], names=[*names, "record_status"])
+
+    slim = df.select(*names, F.col(payload).alias("_payload"))
+    return slim.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in slim.select(*names).schema) + "record_status string")
+
+
 def infer_repeated(t: DataFrame, most: int = 10_000) -> set[str]:
     """Paths that are an array in any record. Bounded: more than ``most`` differing paths mean that keys are data."""
     rows = collect_bounded(t.where(F.col("path").endswith("[]")).select("path").distinct(), most, "repeated paths: keys are data here")
@@ -128,6 +198,12 @@ def ancestor(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*\[\])?", 0)
 
 
+def elements(t: DataFrame, keys: Iterable[str], *columns: Column) -> DataFrame:
+    """keys, group, ordinals and ``columns``: the rows of every repeated ancestor's table at once, pivoted by the columns (aggregates of path and value). All rows of a record are in one partition."""
+    keys = list(keys)
+    return t.repartition(keys[0]).groupBy(*keys, ancestor(F.col("path")).alias("group"), "ordinals").agg(*columns)
+
+
 def group_table(t: DataFrame, key: str, group: str, fields: dict[str, str]) -> DataFrame:
     """The table of one repeated ancestor: key, ordinals (the last is the row's own, the ones before it the parent's), one column for each of ``fields`` (name: path below the ancestor)."""
     mine = t.where(ancestor(F.col("path")) == group)
@@ -166,19 +242,19 @@ REPEATED = frozenset([*ITEMS.values(), *(p.removesuffix("[]") for _, p, _ in CHI
 
 
 def payload_levels(df: DataFrame, key: str = "payload_id", payload: str = "payload", platform: str = "platform") -> DataFrame:
-    """payload_id, item_pos, item_type, child_kind, child_pos, leaf_pos: a row for each element at each of three levels."""
-    t = explode_triples(df, key, payload, REPEATED, ITEMS.values(), platform)
-    wanted = [*(f"{p}[]" for p in ITEMS.values()), *ITEM_TYPE, *(p for _, p, _ in CHILDREN + LEAVES)]
-    t = t.where(F.col("path").isin(wanted))
-    at = lambda i: F.get("ordinals", F.lit(i))
-    is_type, none = F.lit(False), F.lit(-1)
-    for p, own in ITEM_TYPE.items():
-        is_type = is_type | ((F.col("path") == p) & (F.col(platform) == own))
-    types = t.where(is_type).groupBy(F.col(key).alias("_k"), at(0).alias("_i")).agg(F.max("value").alias("item_type"))
-    level = None
-    for own, p, name, child, leaf in [*((o, f"{p}[]", "", none, none) for o, p in ITEMS.items()), *((o, p, n, at(1), none) for o, p, n in CHILDREN), *((o, p, n, at(1), at(2)) for o, p, n in LEAVES)]:
-        here = F.when((F.col("path") == p) & (F.col(platform) == own), F.struct(F.lit(name).alias("child_kind"), child.alias("child_pos"), leaf.alias("leaf_pos")))
-        level = here if level is None else F.coalesce(level, here)
-    rows = t.where("kind = 'element'").select(F.col(key), at(0).alias("item_pos"), level.alias("l")).where("l is not null").select(key, "item_pos", "l.*").distinct()
-    joined = rows.join(types, (rows[key] == types["_k"]) & (rows["item_pos"] == types["_i"]), "left")
-    return joined.select(F.col(key).alias("payload_id"), "item_pos", F.coalesce("item_type", F.lit("")).alias("item_type"), "child_kind", "child_pos", "leaf_pos")
+    """payload_id, item_pos, item_type, child_kind, child_pos, leaf_pos: a row for each element at each of three levels.
+
+    The tables of items, children and leaves are made at once, with an item's type as their pivoted column; what an
+    item holds is then linked to it by the record's id and the first ordinal. Both groupings are within one record, so
+    one exchange serves them.
+    """
+    levels = {(own, f"{p}[]"): ("", 1) for own, p in ITEMS.items()} | {(own, p): (n, 2) for own, p, n in CHILDREN} | {(own, p): (n, 3) for own, p, n in LEAVES}
+    t = explode_triples(df, key, payload, REPEATED, ITEMS.values(), platform, {*(p for _, p in levels), *ITEM_TYPE})
+    of_platform = lambda pairs, then: F.coalesce(*[F.when((F.col(platform) == own) & then(p, x), x if isinstance(x, Column) else F.lit(x)) for own, p, x in pairs])
+    label = of_platform([(own, p, F.col("value")) for p, own in ITEM_TYPE.items()], lambda p, x: F.col("path") == p)
+    rows = elements(t, [key, platform], F.max(label).alias("label"))
+    level = of_platform([(own, g, F.struct(F.lit(n).alias("child_kind"), F.lit(d).alias("depth"))) for (own, g), (n, d) in levels.items()], lambda g, x: F.col("group") == g)
+    at = lambda i: F.when(F.col("l.depth") > i, F.get("ordinals", F.lit(i))).otherwise(-1)
+    rows = rows.withColumn("l", level).where("l is not null")
+    one = rows.groupBy(key, platform, F.get("ordinals", F.lit(0)).alias("item_pos")).agg(F.max("label").alias("item_type"), F.collect_set(F.struct("l.child_kind", at(1).alias("child_pos"), at(2).alias("leaf_pos"))).alias("all"))
+    return one.select(F.col(key).alias("payload_id"), "item_pos", F.coalesce("item_type", F.lit("")).alias("item_type"), F.explode("all").alias("x")).select("payload_id", "item_pos", "item_type", "x.*").distinct()

@@ -1,8 +1,10 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import jsonstream
 from plumbline.operators import drift, nested, payloads
 
 A = {"id": "m", "content": [{"type": "text", "text": "Hi ", "citations": [{"url": "u1", "title": "t", "cited_text": "q"}]}, {"type": "text", "text": "你🙂", "citations": None}, {"type": "server_tool_use", "id": "s", "input": {"query": "find"}}, {"type": "web_search_tool_result", "tool_use_id": "s", "content": [{"url": "u1"}, {"url": "u2", "title": "two"}]}]}
@@ -47,13 +49,58 @@ def test_levels_repeated_rows_and_other_columns(spark):
     assert len(got) == len(set(got)) and set(got) == once
 
 
-def test_very_deep_records():
-    deep = record = {}
-    for _ in range(5000):
-        record["a"] = {}
-        record = record["a"]
-    record["b"] = 1
-    assert [t[3] for t in nested.triples(deep, frozenset())] == ["1"]
+def test_depth_has_no_limit():
+    deep = '{"content": ' + "[" * 50_000 + "]" * 50_000 + "}"
+    status, found = nested.read(deep, frozenset({"content"}), frozenset())
+    assert status == nested.READ and len(found) == nested.MOST_DEPTH
+    assert found[-1][2:] == ("array", "[" * (50_001 - nested.MOST_DEPTH) + "]" * (50_001 - nested.MOST_DEPTH))
+    wanted = frozenset({"content[]"})
+    assert nested.read(deep, wanted | {"content"}, frozenset({"content"}), wanted) == (nested.READ, [("content[]", (0,), "element", None)])
+    assert nested.read("{" + '"a":{' * 50_000 + '"content":[1]' + "}" * 50_001, frozenset({"content"}), frozenset())[1] == [("content[]", (0,), "element", None), ("content[]", (0,), "number", "1")]
+
+
+def test_records_under_many_layers():
+    body = {"content": [{"type": "text"}]}
+    want = [("content[]", (0,), "element", None), ("content[].type", (0,), "string", "text")]
+    for text in (json.dumps({"a": " " * 70 + json.dumps(body)}), json.dumps([{"meta": 1}, {"payload": body}]), json.dumps(json.dumps(json.dumps(body)))):
+        assert nested.read(text, frozenset({"content"}), frozenset()) == (nested.READ, want)
+    for _ in range(40):
+        body = {"envelope": body}
+    assert nested.read(json.dumps(body), frozenset({"content"}), frozenset())[1] == want
+    # the nearest one counts
+    assert nested.read('{"a": {"b": {"content": [1]}}, "c": {"content": [2]}}', frozenset({"content"}), frozenset())[1][-1][3] == "2"
+
+
+@pytest.mark.parametrize("text", ["", " ", "{", "[1,]", '{"a" 1}', '{"a":1,}', "[1 2]", '"a', "{1:2}", "tru", "[1]]", '{"a":"\n"}', "01", "nul"])
+def test_what_is_no_json(text):
+    with pytest.raises(ValueError):
+        list(jsonstream.events(text))
+    assert nested.read(text, frozenset(), frozenset())[0] == nested.BROKEN
+
+
+def test_events_and_values_agree_with_the_plain_parser():
+    rng = random.Random(5)
+
+    def value(depth):
+        kind = rng.randrange(7 if depth < 5 else 5)
+        if kind == 5:
+            return [value(depth + 1) for _ in range(rng.randrange(4))]
+        if kind == 6:
+            return {rng.choice("abcé\"\\"): value(depth + 1) for _ in range(rng.randrange(4))}
+        return rng.choice([None, True, False, 0, -1.5, 2e30, "", "x\n\u2028", '{"in": [1]}', "😀"])
+
+    for _ in range(300):
+        v = value(0)
+        text = json.dumps(v, indent=rng.choice([None, 2]), ensure_ascii=rng.random() < 0.5)
+        real = json.loads
+        jsonstream.json.loads = lambda t: (_ for _ in ()).throw(RecursionError)
+        try:
+            assert jsonstream.loads(text) == v
+        finally:
+            jsonstream.json.loads = real
+    deep = jsonstream.loads("[" * 30_000 + "]" * 30_000)
+    assert jsonstream.dumps(deep) == "[" * 30_000 + "]" * 30_000
+    assert nested.read('{"a": [1, 2], "a": {"b": 3}, "c": null}', frozenset(), frozenset())[1] == [("a.b", (), "number", "3"), ("c", (), "null", None)]
 
 
 def test_round_trip_of_tables(spark):
