@@ -2,13 +2,15 @@
 
 Method: similarity flooding. Each file gets a schema graph: fields with their names, JSON types, nesting and a profile
 of their content. Between a file and the one before it, every pair of a field that went and a field that came under
-the same parent starts with a similarity of names, types and content; similarities then flow between pairs that are
-joined by an edge of both graphs (parent and child, siblings that stayed) until they settle; and a consistent set of
-correspondences is selected, best first, each field at most once. Content decides: a field that came is the one that
-went if what it holds is of the same kind, whatever it is called.
+the same parent, or under parents that may be each other, starts with a similarity of names, types and content;
+similarities then flow between pairs that are joined by an edge of both graphs (parent and child, siblings that
+stayed) until they settle; and a consistent set of correspondences is selected, best first, each field at most once.
+Content decides: a field that came is the one that went if what it holds is of the same kind, whatever it is called.
 
 Profiles are merged by partial aggregation, so their number follows files times fields, not lines: counts by type, a
-bounded sketch of distinct values and of value shapes, and ranges of numbers. A pair of files is one group of one task.
+sketch of distinct values (the ``SKETCH`` of least hash, each a hash of the whole value) and of value shapes, and
+ranges of numbers. The sketch is an estimator of how alike two sets are and drops no field and no line. A pair of files
+is one group of one task.
 
 Defined results: lines that are null or no JSON object are left out; a repeated line changes nothing; a field that
 only holds null in one of two files is not retyped; files are compared in order of file_no, whenever they came.
@@ -16,8 +18,10 @@ only holds null in one of two files is not retyped; files are compared in order
 
 from __future__ import annotations
 
-import json
+import hashlib
+import heapq
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -27,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.lineage import collect_bounded
+from plumbline.functions.jsonstream import dumps, loads
+from plumbline.operators.lineage import collect_bounded, cut
 from plumbline.operators.nested import kind_of as _kind
 
 DESCEND = frozenset({"payload", "payload.output", "payload.usage"})
 SKETCH = 48  # values and shapes that a profile keeps, those of least hash
-ROUNDS, SETTLED = 24, 1e-3
+SETTLED = 1e-3  # how much a similarity may still move when the flooding ends
+CALM = 8  # rounds after which each further one moves less, so that it ends
 ACCEPT = 0.5  # least similarity of content for a rename
 _RUN = re.compile(r"[^\W_]+")
 
@@ -65,14 +71,15 @@ def entries(record: dict, descend: frozenset[str], prefix: str = "", place: tupl
 
 
 def _leaves(v: object) -> Iterator[object]:
-    if isinstance(v, dict):
-        for x in v.values():
-            yield from _leaves(x)
-    elif isinstance(v, list):
-        for x in v:
-            yield from _leaves(x)
-    elif v is not None:
-        yield v
+    todo = [v]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict):
+            todo += v.values()
+        elif isinstance(v, list):
+            todo += v
+        elif v is not None:
+            yield v
 
 
 def _shape(s: str) -> str:
@@ -83,29 +90,22 @@ def _shape(s: str) -> str:
 
 
 def _least(values: Iterable[str]) -> list[str]:
-    return sorted(set(values), key=lambda s: (zlib.crc32(s.encode("utf-8", "surrogatepass")), s))[:SKETCH]
+    return heapq.nsmallest(SKETCH, values, key=lambda s: (zlib.crc32(s.encode("utf-8", "surrogatepass")), s))
 
 
 def profile(values: list[object]) -> dict:
     """A mergeable profile of a field's values within some lines."""
-    p: dict = {"n": len(values), "types": sorted({_kind(v) for v in values if v is not None}), "values": [], "shapes": [], "lo": None, "hi": None, "whole": 0, "numbers": 0, "sum": 0.0, "chars": 0, "texts": 0}
-    texts, shapes = set(), set()
-    for v in values:
-        for x in _leaves(v):
-            if isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x):
-                p["lo"] = x if p["lo"] is None else min(p["lo"], x)
-                p["hi"] = x if p["hi"] is None else max(p["hi"], x)
-                p["numbers"] += 1
-                p["whole"] += float(x).is_integer()
-                p["sum"] += x
-                texts.add(repr(x))
-            else:
-                s = x if isinstance(x, str) else json.dumps(x)
-                texts.add(s[:200])
-                shapes.add(_shape(s))
-                p["texts"] += 1
-                p["chars"] += len(s)
-    return p | {"values": _least(texts), "shapes": _least(shapes)}
+    p: dict = {"n": len(values), "types": sorted({_kind(v) for v in values if v is not None}), "lo": None, "hi": None, "whole": 0, "numbers": 0, "sum": 0.0, "chars": 0, "texts": 0}
+    leaves = [x for v in values if v is not None for x in (_leaves(v) if isinstance(v, (dict, list)) else (v,))]
+    numbers = [x for x in leaves if isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x)]
+    texts = [x if isinstance(x, str) else dumps(x) for x in leaves if isinstance(x, (str, bool)) or not math.isfinite(x)]
+    if numbers:
+        p |= {"lo": min(numbers), "hi": max(numbers), "numbers": len(numbers), "whole": sum(1 for x in numbers if isinstance(x, int) or x.is_integer()), "sum": float(sum(numbers))}
+    distinct = set(texts)
+    p["texts"], p["chars"] = len(texts), sum(map(len, texts))
+    # long values stand in the sketch by a hash of all of it
+    short = (t if len(t) <= 40 else hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest() for t in distinct)
+    return p | {"values": _least({*short, *map(repr, set(numbers))}), "shapes": _least(set(map(_shape, distinct)))}
 
 
 def merge(a: dict, b: dict) -> dict:
@@ -113,7 +113,7 @@ def merge(a: dict, b: dict) -> dict:
     for k, f in (("lo", min), ("hi", max)):
         both = [x[k] for x in (a, b) if x[k] is not None]
         out[k] = f(both) if both else None
-    return out | {"types": sorted({*a["types"], *b["types"]}), "values": _least([*a["values"], *b["values"]]), "shapes": _least([*a["shapes"], *b["shapes"]])}
+    return out | {"types": sorted({*a["types"], *b["types"]}), "values": _least({*a["values"], *b["values"]}), "shapes": _least({*a["shapes"], *b["shapes"]})}
 
 
 def _dice(a: Iterable[str], b: Iterable[str]) -> float:
@@ -166,33 +166,47 @@ def _parent(path: str) -> str:
 def flood(old: dict[str, dict], new: dict[str, dict]) -> list[tuple[str, str, float]]:
     """Renamed fields: (old path, new path, similarity)."""
     gone, come = [p for p in old if p not in new], [p for p in new if p not in old]
+    went, came = set(gone), set(come)
     start: dict[tuple[str, str], float] = {}
     content: dict[tuple[str, str], float] = {}
     for a in gone:
         for b in come:
-            if _parent(a) == _parent(b):
+            if _parent(a) == _parent(b) or _parent(a) in went and _parent(b) in came:
                 names = name_similarity(a.rpartition(".")[2], b.rpartition(".")[2])
                 content[a, b] = content_similarity(old[a], new[b], names)
                 if content[a, b] > 0:
                     start[a, b] = 0.7 * content[a, b] + 0.3 * names
     if not start:
         return []
-    stayed = {p: 1.0 for p in old if p in new}
-    now = dict(start)
-    for _ in range(ROUNDS):
+    stayed = {p for p in old if p in new}
+    below: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    for a, b in start:
+        below.setdefault((_parent(a), _parent(b)), []).append((a, b))
+    now, moved, rounds = dict(start), 1.0, 0
+    while moved >= SETTLED:
+        # the two best of each field's pairs: a pair's best rival is the one that isn't itself
+        best: dict[tuple[int, str], list[tuple[float, tuple[str, str]]]] = {}
+        for pair, s in now.items():
+            for side in (0, 1):
+                top = best.setdefault((side, pair[side]), [])
+                top.append((s, pair))
+                top.sort(reverse=True)
+                del top[2:]
         after = {}
-        for (a, b), s in now.items():
-            rivals = [x for (c, d), x in now.items() if (c == a) != (d == b)]
-            up = stayed.get(_parent(a), now.get((_parent(a), _parent(b)), 0.0)) if _parent(a) else 1.0
-            down = [x for (c, d), x in now.items() if _parent(c) == a and _parent(d) == b]
+        for pair, s in now.items():
+            a, b = pair
+            rival = max((x for side in (0, 1) for x, other in best[side, pair[side]] if other != pair), default=0.0)
+            up = now.get((_parent(a), _parent(b)), 1.0 if _parent(a) in stayed or not _parent(a) else 0.0)
+            down = [now[x] for x in below.get(pair, ())]
             flow = 0.15 * up + 0.15 * (sum(down) / len(down) if down else 0.0)
-            after[a, b] = start[a, b] + 0.5 * s + flow - 0.25 * max(rivals, default=0.0)
+            after[pair] = start[pair] + 0.5 * s + flow - 0.25 * rival
         most = max(after.values())
         after = {k: max(0.0, v / most) for k, v in after.items()} if most > 0 else after
+        rounds += 1
+        pace = min(1.0, CALM / rounds)
+        after = {k: now[k] + pace * (after[k] - now[k]) for k in now}
         moved = max(abs(after[k] - now[k]) for k in now)
         now = after
-        if moved < SETTLED:
-            break
     out, used = [], set()
     for (a, b), s in sorted(now.items(), key=lambda x: (-x[1], -start[x[0]], x[0])):
         if a not in used and b not in used and content[a, b] >= ACCEPT and s > 0:
@@ -215,7 +229,9 @@ def changes(old: dict[str, dict], new: dict[str, dict]) -> list[tuple[str, str,
 # --- Spark ---
 
 
-FILE = "feed_id long, file_no int, fields string"
+FILE = "feed_id long, file_no int, fields binary"
+HELD = 64  # files whose values a task holds before it makes profiles of them
+VALUES = 200_000  # and how many values of them
 
 
 def _merged(a: dict[str, dict], b: dict[str, dict]) -> dict[str, dict]:
@@ -223,8 +239,8 @@ def _merged(a: dict[str, dict], b: dict[str, dict]) -> dict[str, dict]:
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], names=["feed_id", "file_no", "fields"])
+    cols = list(zip(*[(*k, pickle.dumps(f)) for *k, f in rows], strict=True)) if rows else [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["feed_id", "file_no", "fields"])
 
 
 def _join_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,47 +248,69 @@ def _join_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, whole = None, {}
     for b in batches:
         out = []
-        for f, n, text in zip(*[b.column(c).to_pylist() for c in ("feed_id", "file_no", "fields")], strict=True):
-            part = json.loads(text)
+        for f, n, part in zip(*[b.column(c).to_pylist() for c in ("feed_id", "file_no", "fields")], strict=True):
+            part = pickle.loads(part)
             if (f, n) == key:
                 whole = _merged(whole, part)
             else:
                 if key is not None:
-                    out.append((*key, json.dumps(whole)))
+                    out.append((*key, whole))
                 key, whole = (f, n), part
         yield _rows(out)
     if key is not None:
-        yield _rows([(*key, json.dumps(whole))])
+        yield _rows([(*key, whole)])
+
+
+def _record(text: str | None) -> dict | None:
+    try:
+        record = loads(text) if text else None
+    except ValueError:
+        return None
+    return record if isinstance(record, dict) else None
 
 
 def profiles(df: DataFrame, feed: str, file_no: str, body: str, descend: frozenset[str] = DESCEND, salts: int = 16) -> DataFrame:
-    """feed_id, file_no, fields (JSON: profile by path): one row for each file. Partial profiles are merged salt by salt and then file by file, each time as a sorted stream."""
+    """feed_id, file_no, fields (profile by path): one row for each file, kept. Partial profiles are merged salt by salt and then file by file, each time as a sorted stream."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, dict[str, list]] = {}
+        size = 0
+        done = lambda: _rows([(*k, {p: profile(v) for p, v in file.items()}) for k, file in held.items()])
         for b in batches:
-            found: dict[tuple, dict[str, list]] = {}
             for f, n, text in zip(*[b.column(c).to_pylist() for c in ("feed_id", "file_no", "body")], strict=True):
-                try:
-                    record = json.loads(text) if text else None
-                except (ValueError, RecursionError):
+                if (record := _record(text)) is None:
                     continue
-                if isinstance(record, dict):
-                    file = found.setdefault((f, n), {})
-                    for path, v in fields(record, descend):
-                        file.setdefault(path, []).append(v)
-            yield _rows([(*k, json.dumps({p: profile(v) for p, v in file.items()})) for k, file in found.items()])
+                if (f, n) not in held and len(held) >= HELD or size >= VALUES:
+                    yield done()
+                    held, size = {}, 0
+                file = held.setdefault((f, n), {})
+                for path, v in fields(record, descend):
+                    file.setdefault(path, []).append(v)
+                    size += 1
+        yield done()
 
     slim = df.select(F.col(feed).cast("long").alias("feed_id"), F.col(file_no).cast("int").alias("file_no"), F.col(body).alias("body")).where("feed_id is not null and file_no is not null")
-    partial = slim.mapInArrow(part, FILE)  # at most one row for a batch and file
+    partial = slim.mapInArrow(part, FILE)
     key = ["feed_id", "file_no"]
     salted = partial.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))).repartition(*key, "salt").sortWithinPartitions(*key, "salt").drop("salt").mapInArrow(_join_sorted, FILE)
-    return salted.repartition(*key).sortWithinPartitions(*key).mapInArrow(_join_sorted, FILE)
+    return cut(salted.repartition(*key).sortWithinPartitions(*key).mapInArrow(_join_sorted, FILE))
+
+
+def schemas(profiled: DataFrame) -> DataFrame:
+    """feed_id, file_no, field_path, types: the fields of each file and the JSON types of their values, '' where all are null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(f, n, path, ",".join(p["types"])) for f, n, part in zip(*[b.column(c).to_pylist() for c in ("feed_id", "file_no", "fields")], strict=True) for path, p in pickle.loads(part).items()]
+            cols = list(zip(*out, strict=True)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["feed_id", "file_no", "field_path", "types"])
+
+    return profiled.mapInArrow(run, "feed_id long, file_no int, field_path string, types string")
 
 
 def report(profiled: DataFrame) -> DataFrame:
     """feed_id, file_no, field_path, change_kind, new_path: every change of a file against the one before it."""
-    files = profiled.select("feed_id", "file_no").distinct()
-    before = files.withColumn("prev", F.lag("file_no").over(Window.partitionBy("feed_id").orderBy("file_no"))).where("prev is not null")
+    before = profiled.select("feed_id", "file_no").withColumn("prev", F.lag("file_no").over(Window.partitionBy("feed_id").orderBy("file_no"))).where("prev is not null")
     old = profiled.select("feed_id", F.col("file_no").alias("prev"), F.col("fields").alias("old"))
     both = before.join(profiled.withColumnRenamed("fields", "new"), ["feed_id", "file_no"]).join(old, ["feed_id", "prev"])
 
@@ -280,26 +318,45 @@ def report(profiled: DataFrame) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for f, n, was, now in zip(*[b.column(c).to_pylist() for c in ("feed_id", "file_no", "old", "new")], strict=True):
-                if was != now:
-                    out += [(f, n, *c) for c in changes(json.loads(was), json.loads(now))]
+                out += [(f, n, *c) for c in changes(pickle.loads(was), pickle.loads(now))]
             cols = list(zip(*out, strict=True)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], names=["feed_id", "file_no", "field_path", "change_kind", "new_path"])
 
     return both.select("feed_id", "file_no", "old", "new").mapInArrow(compare, "feed_id long, file_no int, field_path string, change_kind string, new_path string")
 
 
-def consistent(df: DataFrame, changed: DataFrame, feed: str, file_no: str, body: str, keep: Iterable[str] = (), most: int = 100_000) -> DataFrame:
+def newest_names(changed: DataFrame, files: DataFrame) -> DataFrame:
+    """feed_id, file_no, names (map of a field's name to the one it ends up with): a row for each file with fields that are renamed after it.
+
+    A feed's files are gone through from the last one back, as a sorted stream that holds one map of names.
+    """
+    renames = changed.where("change_kind = 'renamed'").groupBy("feed_id", "file_no").agg(F.collect_set(F.struct("field_path", "new_path")).alias("renames"))
+    rows = files.select("feed_id", "file_no").join(renames, ["feed_id", "file_no"], "left")
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        feed, after = None, {}
+        for b in batches:
+            out = []
+            for f, n, renamed in zip(*[b.column(c).to_pylist() for c in ("feed_id", "file_no", "renames")], strict=True):
+                if f != feed:
+                    feed, after = f, {}
+                if after:
+                    out.append((f, n, list(after.items())))
+                if renamed:
+                    after = after | {r["field_path"]: after.get(r["new_path"], r["new_path"]) for r in renamed}
+            cols = list(zip(*out, strict=True)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.map_(pa.string(), pa.string())), strict=True)], names=["feed_id", "file_no", "names"])
+
+    return rows.repartition("feed_id").sortWithinPartitions("feed_id", F.desc("file_no")).mapInArrow(back, "feed_id long, file_no int, names map<string,string>")
+
+
+def consistent(df: DataFrame, names: DataFrame, feed: str, file_no: str, body: str, keep: Iterable[str] = (), descend: frozenset[str] = DESCEND) -> DataFrame:
     """The kept columns, place, field (the name that the field of this file ended up with), kind and value: one table for all layouts.
 
-    ``place``: the positions (from 0) in the arrays on the way, joined by dots; '' outside arrays. A field whose later
-    name its line already has keeps its own. Kept columns of these names push them to _place and so on. ``changed``
-    holds a few rows a file; its renames are followed to the newest name of each field, per feed.
+    ``names``: see ``newest_names``. ``place``: the positions (from 0) in the arrays on the way, joined by dots; ''
+    outside arrays. A field whose later name its line already has keeps its own. Kept columns of these names push them
+    to _place and so on. Lines that are null or no JSON object give nothing.
     """
-    names: dict[int, list[tuple[int, str, str]]] = {}
-    rows = collect_bounded(changed.where("change_kind = 'renamed'").select("feed_id", "file_no", "field_path", "new_path"), most, "renames")
-    for r in sorted(rows, key=lambda r: (r["feed_id"], r["file_no"])):
-        names.setdefault(r["feed_id"], []).append((r["file_no"], r["field_path"], r["new_path"]))
-    shared = df.sparkSession.sparkContext.broadcast(names)
     kept = list(keep)
     names_out = []
     for n in ("place", "field", "kind", "value"):
@@ -309,44 +366,32 @@ def consistent(df: DataFrame, changed: DataFrame, feed: str, file_no: str, body:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            feeds, files = b.column("_feed").to_pylist(), b.column("_file").to_pylist()
             take, place, path, kind, value = [], [], [], [], []
-            for i, text in enumerate(b.column("_body").to_pylist()):
-                try:
-                    record = json.loads(text) if text else None
-                except (ValueError, RecursionError):
-                    continue
-                if not isinstance(record, dict):
+            for i, (text, pairs) in enumerate(zip(b.column("_body").to_pylist(), b.column("_names").to_pylist(), strict=True)):
+                if (record := _record(text)) is None:
                     continue
-                found = list(entries(record, DESCEND))
+                newest = dict(pairs or ())
+                found = list(entries(record, descend))
                 used = {(p, o) for p, o, _ in found}
                 for p, o, v in found:
-                    own = p
-                    for at, old, new in shared.value.get(feeds[i], ()):
-                        if at > files[i] and p == old:
-                            p = new
-                    if p != own:
-                        if (p, o) in used:
-                            p = own
+                    new = newest.get(p, p)
+                    if new != p and (new, o) not in used:
+                        p = new
                         used.add((p, o))
                     take.append(i)
                     place.append(".".join(map(str, o)))
                     path.append(p)
                     kind.append(_kind(v))
-                    value.append(None if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False))
+                    value.append(None if v is None else v if isinstance(v, str) else dumps(v))
             at = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in kept], pa.array(place, pa.string()), pa.array(path, pa.string()), pa.array(kind, pa.string()), pa.array(value, pa.string())], names=[*kept, *names_out])
 
-    slim = df.select(*kept, F.col(feed).alias("_feed"), F.col(file_no).alias("_file"), F.col(body).alias("_body"))
+    lines = df.select(*kept, F.col(feed).cast("long").alias("_feed"), F.col(file_no).cast("int").alias("_file"), F.col(body).alias("_body"))
+    slim = lines.join(names.toDF("_feed", "_file", "_names"), ["_feed", "_file"], "left").select(*kept, "_body", "_names")
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in slim.select(*kept).schema)
     return slim.mapInArrow(run, head + ", ".join(f"{n} string" for n in names_out))
 
 
-def widen(long: DataFrame, keys: Iterable[str], columns: Iterable[str]) -> DataFrame:
-    """One row for each key, one string column for each field: the cast-and-union form. Dots become underscores."""
-    return long.groupBy(*keys).agg(*[F.max(F.when(F.col("field") == c, F.col("value"))).alias(c.replace(".", "_")) for c in columns])
-
-
 _NUMBER, _WHOLE = r"^-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?$", r"^-?(0|[1-9]\d{0,17})$"
 
 

@@ -76,8 +76,25 @@ LINE = ["record_id", "record_kind", "feed_id", "file_no", "line_no"]
 
 
 def _consistent(spark: SparkSession, sf: str, kind: str | None = None) -> DataFrame:
+    profiled = _profiles(spark, sf)
+    names = drift.newest_names(drift.report(profiled), profiled)
     rows = _t(spark, sf, "export_records").select(*LINE, "body").where("true" if kind is None else F.col("record_kind") == kind)
-    return drift.consistent(rows.dropDuplicates(["record_id"]), p6_found(spark, sf), "feed_id", "file_no", "body", LINE)
+    return drift.consistent(rows.dropDuplicates(["record_id"]), names, "feed_id", "file_no", "body", LINE)
+
+
+def p6_schemas(spark: SparkSession, sf: str) -> DataFrame:
+    """The fields of each file and their types."""
+    return drift.schemas(_profiles(spark, sf))
+
+
+def _fields_sql() -> str:
+    """Every field of every line, level by level: the table's own, then of payload, payload.output and payload.usage."""
+    of = lambda source, prefix: f"SELECT feed_id, file_no, '{prefix}' || k AS path, json_extract(j, '$.\"' || k || '\"') AS v FROM (SELECT feed_id, file_no, j, unnest(json_keys(j)) AS k FROM {source})"
+    inside = lambda source, path: f"SELECT feed_id, file_no, j FROM (SELECT feed_id, file_no, unnest({_elements('v')}) AS j FROM {source} WHERE path = '{path}') WHERE json_type(j) = 'OBJECT'"
+    return f"""WITH b AS (SELECT feed_id, file_no, body::JSON AS j FROM export_records WHERE json_valid(body) AND json_type(body) = 'OBJECT'), top AS ({of('b', '')}),
+  pj AS ({inside('top', 'payload')}), p AS ({of('pj', 'payload.')}), oj AS ({inside('p', 'payload.output')}), o AS ({of('oj', 'payload.output.')}), uj AS ({inside('p', 'payload.usage')}), u AS ({of('uj', 'payload.usage.')}),
+  f AS (SELECT * FROM top UNION ALL SELECT * FROM p UNION ALL SELECT * FROM o UNION ALL SELECT * FROM u)
+  SELECT feed_id, file_no::int AS file_no, path AS field_path, coalesce(string_agg(DISTINCT CASE json_type(v) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END, ',' ORDER BY CASE json_type(v) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END), '') AS types FROM f GROUP BY 1, 2, 3"""
 
 
 def p6_consistent(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,8 +173,8 @@ _STATUSES = f"""{_p4_levels()}, q AS (SELECT DISTINCT payload_id, platform, payl
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_path_groups, p4_statuses, *map(_flat, FLAT), p6_found, p6_consistent, p6_faithfulness, p6_page, p6_payload)}
+    return {f.__name__: f for f in (p4_found, p4_path_groups, p4_statuses, *map(_flat, FLAT), p6_found, p6_schemas, p6_consistent, p6_faithfulness, p6_page, p6_payload)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _p4_sql(), "p4_statuses": _STATUSES} | {n: _flat_sql(n) for n in FLAT}
+    return {"p4_found": _p4_sql(), "p4_statuses": _STATUSES, "p6_schemas": _fields_sql()} | {n: _flat_sql(n) for n in FLAT}

@@ -159,6 +159,11 @@ def lines(spark, files):
     return spark.createDataFrame(rows, "record_id long, feed_id long, file_no int, body string")
 
 
+def newest(df):
+    p = drift.profiles(df, "feed_id", "file_no", "body")
+    return drift.newest_names(drift.report(p), p)
+
+
 def found(spark, files):
     return {tuple(r) for r in drift.report(drift.profiles(lines(spark, files), "feed_id", "file_no", "body")).collect()}
 
@@ -192,10 +197,10 @@ def test_profiles_merge_like_one(spark):
 def test_consistent_follows_renames(spark):
     files = {(1, 1): [{"a": "x-1"}, {"a": "x-2"}], (1, 2): [{"b": "x-3"}, {"b": "x-1"}], (1, 3): [{"c": "x-4"}, {"c": "x-1"}]}
     df = lines(spark, files)
-    changed = drift.report(drift.profiles(df, "feed_id", "file_no", "body"))
+    changed = newest(df)
     long = drift.consistent(df, changed, "feed_id", "file_no", "body", ["record_id"])
     assert {r.field for r in long.collect()} == {"c"}
-    assert {r.c for r in drift.widen(long, ["record_id"], ["c"]).collect()} == {"x-1", "x-2", "x-3", "x-4"}
+    assert {r.value for r in long.where("field = 'c'").collect()} == {"x-1", "x-2", "x-3", "x-4"}
 
 
 def test_empty_tables(spark):
@@ -206,7 +211,7 @@ def test_empty_tables(spark):
 def test_consistent_keeps_every_element_and_value(spark):
     twins = [{"type": "a", "id": "1"}, {"type": "a", "id": "1"}, {"type": "b"}, "text", {}]
     df = lines(spark, {(1, 1): [{"payload": {"output": twins, "usage": 7}}, {"payload": None}, {"payload": ["x", {"output": [{"id": "2"}]}]}]})
-    changed = drift.report(drift.profiles(df, "feed_id", "file_no", "body"))
+    changed = newest(df)
     rows = [tuple(r) for r in drift.consistent(df, changed, "feed_id", "file_no", "body", ["record_id"]).collect()]
     assert sorted(rows, key=str) == sorted([
         (0, "0", "payload.output.type", "string", "a"), (0, "0", "payload.output.id", "string", "1"), (0, "1", "payload.output.type", "string", "a"), (0, "1", "payload.output.id", "string", "1"),
@@ -218,16 +223,47 @@ def test_consistent_keeps_every_element_and_value(spark):
 def test_a_rename_onto_a_name_of_the_line_loses_nothing(spark):
     df = lines(spark, {(1, 1): [{"a": "x-1", "b": "old"}], (1, 3): [{"b": "x-2"}]})
     changed = spark.createDataFrame([(1, 3, "a", "renamed", "b")], "feed_id long, file_no int, field_path string, change_kind string, new_path string")
-    rows = drift.consistent(df, changed, "feed_id", "file_no", "body", ["record_id"]).collect()
+    rows = drift.consistent(df, drift.newest_names(changed, df.select("feed_id", "file_no").distinct()), "feed_id", "file_no", "body", ["record_id"]).collect()
     assert {(r.record_id, r.field, r.value) for r in rows} == {(0, "a", "x-1"), (0, "b", "old"), (1, "b", "x-2")}
 
 
 def test_table_casts_what_it_can_without_loss(spark):
     rows = [{"n": 1, "x": 0.5, "ok": True, "code": "007", "big": 12345678901234567890, "mix": 1, "A": "u", "a": "l"}, {"n": "2", "x": 3, "ok": "false", "code": "8", "big": 1.5, "mix": ["z"], "payload": {"output": [{"k": 1}, {"k": 2}]}}]
     df = lines(spark, {(1, 1): rows})
-    changed = drift.report(drift.profiles(df, "feed_id", "file_no", "body"))
+    changed = newest(df)
     wide = drift.table(drift.consistent(df, changed, "feed_id", "file_no", "body", ["record_id"]), ["record_id"])
     assert dict(wide.dtypes) == {"record_id": "bigint", "place": "string", "A": "string", "a_": "string", "big": "string", "code": "string", "mix": "string", "n": "bigint", "ok": "boolean", "payload_output_k": "bigint", "x": "double"}
     got = {(r.record_id, r.place): r for r in wide.collect()}
     assert (got[0, ""].n, got[0, ""].ok, got[0, ""].big, got[0, ""]["a_"], got[1, ""].n, got[1, ""].x, got[1, ""].ok, got[1, ""].mix) == (1, True, "12345678901234567890", "l", 2, 3.0, False, '["z"]')
     assert [got[1, p].payload_output_k for p in ("0", "1")] == [1, 2] and len(got) == 4
+
+
+def test_children_of_a_renamed_object_follow_it():
+    old = {"meta": drift.profile([{"url": "https://a.example/1"}] * 3), "meta.url": drift.profile(["https://a.example/1", "https://b.example/2"]), "n": drift.profile([1])}
+    new = {"info": drift.profile([{"link": "https://a.example/1"}] * 3), "info.link": drift.profile(["https://a.example/1", "https://b.example/2"]), "n": drift.profile([2])}
+    assert {(a, b) for a, b, _ in drift.flood(old, new)} == {("meta", "info"), ("meta.url", "info.link")}
+
+
+def test_many_fields_that_went_and_came():
+    side = lambda k: {f"{k}{i}": drift.profile([f"value {i} of {j}" for j in range(4)]) for i in range(40)}
+    got = drift.flood(side("old"), side("new"))
+    assert {(a[3:], b[3:]) for a, b, _ in got} == {(str(i), str(i)) for i in range(40)}
+
+
+def test_long_values_with_one_opening_differ():
+    a, b = (drift.profile(["x" * 300 + c + str(i) for i in range(3)]) for c in "ab")
+    assert not set(a["values"]) & set(b["values"])
+
+
+def test_deep_and_unreadable_lines(spark):
+    deep = '{"a": ' + "[" * 20_000 + "]" * 20_000 + "}"
+    df = lines(spark, {(1, 1): [deep, None, "[1]", "{"], (1, 2): ['{"a": [1], "b": 1}']})
+    assert {tuple(r) for r in drift.report(drift.profiles(df, "feed_id", "file_no", "body")).collect()} == {(1, 2, "b", "added", "")}
+    got = drift.consistent(df, newest(df), "feed_id", "file_no", "body", ["record_id"]).where("field = 'a'").collect()
+    assert sorted(len(r.value) for r in got) == [3, 40_000]
+
+
+def test_names_are_swapped_at_once(spark):
+    changed = spark.createDataFrame([(1, 2, "a", "renamed", "b"), (1, 2, "b", "renamed", "a"), (1, 4, "a", "renamed", "c")], "feed_id long, file_no int, field_path string, change_kind string, new_path string")
+    files = spark.createDataFrame([(1, n) for n in range(1, 6)], "feed_id long, file_no int")
+    assert {r.file_no: r.names for r in drift.newest_names(changed, files).collect()} == {3: {"a": "c"}, 2: {"a": "c"}, 1: {"a": "b", "b": "c"}}
