@@ -8,19 +8,25 @@ stretches end with their sentences wherever sentences are short. From each cut,
 stretches as make 60 code points is hashed. A span of 200 holds at least one whole run (the first cut comes within
 64, a run ends within 60 + 64 more, 8 for the 8-gram), so joining equal hashes loses no pair.
 
-Records of one text are one from here on (by a 64-bit hash of it), and their pairs are filled in at the end: copies,
-even a third of all rows, are never compared. Runs are joined globally: hashes that a single text has are dropped by
-partial aggregation; those that occur up to ``HOT`` times give pairs directly, occurrence by occurrence, since a
-passage may stand twice in a text and only its second place go on as in the other; those that occur more often (a
-boilerplate that a third of all rows may share) are replaced by the hashes of all 200-grams around them. Texts with the same shared grams are one
-class; classes meet by their grams, and only then are their texts paired, so that work follows the result. Around a run of length l, a span of 200 goes on for
-half of 200 - l on one side at least, so pairs whose contexts differ on both sides are dropped by a hash of each. A
-pair whose runs overlap along one diagonal for 200 code points is proven; for the rest the text around the run, 200
-to either side, is compared code point by code point, which settles that run exactly.
-
-``cleaned`` gives each record without what a non-first repeated span covers, ``shares`` how much of each record is
-shared elsewhere: texts that are a pair are laid side by side, and every place of every common 200-gram counts, which
-is the cover of all maximal common spans of at least 200; copies are covered whole.
+Records of one text are one from here on: texts are told apart by a 128-bit digest, each distinct one gets a number of
+its own, and their pairs are filled in at the end, so copies, even a third of all rows, are never hashed or compared.
+Runs are hashed once and kept, and joined globally: counts by hash combine before the shuffle, hashes that a single
+text has are dropped, and what is left meets its count in a join that AQE may split where a hash is hot. Runs that
+occur up to ``HOT`` times give pairs directly, occurrence by occurrence, since a passage may stand twice in a text and
+only its second place go on as in the other; those that occur more often (a boilerplate that a third of all rows may
+share) are replaced by the hashes of all 200-grams around them. Texts with the same shared grams are one class; classes
+meet by their grams, and only then are their texts paired, so that work follows the result. Around a run of length l, a
+span of 200 goes on for half of 200 - l on one side at least, so pairs whose contexts differ on both sides are dropped
+by a hash of each. A pair whose runs overlap along one diagonal for 200 code points is proven; for the rest the text
+around the run, 200 to either side, is compared code point by code point, which settles that run exactly.
+
+``classes`` gives one row for each record: its class of equal texts and how many other classes it shares a span with;
+``class_pairs`` those links, without expanding copies.
+
+``shares`` and ``cleaned`` follow the grams and not the pairs, so that their work is proportional to the text that is
+shared, however many records share it: every 200-gram that holds a shared run meets its like, and the places of those
+that another text has too are the cover of all maximal common spans; copies are covered whole. ``cleaned`` leaves out
+what a non-first repeated span covers.
 
 Defined results: null texts and texts under the least length are left out; repeated rows of one id count once, and a
 repeat inside one record is no pair.
@@ -32,10 +38,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.ranking import cut
+from plumbline.operators.lineage import stored
 
 LEAST = 200
 GRAM, WINDOW, RUN = 8, 64, 60
@@ -136,8 +143,8 @@ class Hashed:
         before, after = ((self.of(x, y) >> np.uint64(33)).astype(np.int64) | 1 for x, y in ((np.maximum(lo, 0), a), (b, np.minimum(hi, len(self.cp)))))
         return text, h, a - starts[text], b - starts[text], np.where(lo >= starts[text], before, 0), np.where(hi <= ends[text], after, 0)
 
-    def grams(self, around: list[tuple[int, int]], size: int) -> np.ndarray:
-        """Distinct hashes of the ``size``-grams that hold one of the ranges."""
+    def places(self, around: list[tuple[int, int]], size: int) -> np.ndarray:
+        """Where the ``size``-grams begin that hold one of the ranges."""
         n = len(self.cp) - size + 1
         wanted = np.zeros(max(0, n) + 1, np.int32)
         for a, b in around:
@@ -145,7 +152,11 @@ class Hashed:
             if lo <= hi:
                 wanted[lo] += 1
                 wanted[hi + 1] -= 1
-        at = np.nonzero(np.cumsum(wanted)[:-1] > 0)[0]
+        return np.nonzero(np.cumsum(wanted)[:-1] > 0)[0]
+
+    def grams(self, around: list[tuple[int, int]], size: int) -> np.ndarray:
+        """Distinct hashes of the ``size``-grams that hold one of the ranges."""
+        at = self.places(around, size)
         return np.unique(self.of(at, at + size).view(np.int64))
 
 
@@ -171,16 +182,29 @@ def _texts(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("rec"), F.col(text).alias("text")).where(F.col("rec").isNotNull() & (F.length("text") >= least))
 
 
+def _distinct(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(t, text: each distinct text and its number; t, rec: the records that have it). Both are kept: numbers are given once."""
+    digest = F.unhex(F.md5("text")).alias("digest")
+    once = stored(rows.select(digest, "text").groupBy("digest").agg(F.first("text").alias("text")).withColumn("t", F.monotonically_increasing_id()))
+    holders = rows.select(digest, "rec").distinct().join(once.select("digest", "t"), "digest").select("t", "rec")
+    return once.select(F.col("t").alias("rec"), "text"), cut(holders)
+
+
 def _shared(texts: DataFrame, least: int) -> DataFrame:
-    """rec, h, a, b, before, after: the runs whose hash more than one rec has, each occurrence once. Kept, as several joins read it."""
-    runs = texts.mapInArrow(_runs(least), "rec long, h long, a int, b int, before int, after int")
-    shared = runs.groupBy("h").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi")).where("lo <> hi").select("h")
-    return cut(runs.join(shared, "h").distinct())  # the join has brought each hash together already
+    """rec, h, a, b, before, after, n: the runs whose hash more than one text has, and how often it occurs. Kept, as several joins read it.
+
+    ``texts`` are distinct. Counts by hash are combined before they are shuffled, and the join is free to split a hot hash.
+    """
+    runs = stored(texts.mapInArrow(_runs(least), "rec long, h long, a int, b int, before int, after int"))
+    shared = runs.groupBy("h").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("h", "n")
+    return cut(runs.join(shared, "h"))
 
 
 def shared_runs(df: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
-    """rec, h, a, b, before, after of every run that another record has too."""
-    return _shared(_texts(df, key, text, least), least)
+    """rec, h, a, b, before, after of every run that another text has too; rec is one of the records of the text."""
+    texts, holders = _distinct(_texts(df, key, text, least))
+    owner = holders.groupBy("t").agg(F.min("rec").alias("owner"))
+    return _shared(texts, least).join(owner, F.col("rec") == F.col("t")).select(F.col("owner").alias("rec"), "h", "a", "b", "before", "after")
 
 
 def _common(x: str, y: str) -> int:
@@ -227,19 +251,11 @@ def _look_up(least: int):
     return run
 
 
-def _holders(rows: DataFrame) -> DataFrame:
-    """t, rec: the hash of each text and the records that have it."""
-    return rows.select(F.xxhash64("text").alias("t"), "rec").distinct()
-
-
-def _text_pairs(rows: DataFrame, least: int, hot: int = HOT) -> DataFrame:
-    """t_a, t_b: the hashes of each two different texts with a common span of at least ``least`` code points."""
+def _text_pairs(texts: DataFrame, least: int, hot: int = HOT) -> DataFrame:
+    """t_a, t_b: the numbers of each two different texts with a common span of at least ``least`` code points. ``texts``: see ``_distinct``."""
     if least < WINDOW + RUN + WINDOW + GRAM:
         raise ValueError("runs are too long for spans that short")
-    # here rec is the text's hash
-    texts = rows.select(F.xxhash64("text").alias("rec"), "text")
     runs = _shared(texts, least)
-    runs = runs.join(runs.groupBy("h").agg(F.count("*").alias("n")), "h")
     # runs of few occurrences: the pairs within each, by diagonal
     groups = runs.where(F.col("n") <= hot).groupBy("h").agg(F.array_sort(F.collect_set(F.struct("rec", "a", "b", "before", "after"))).alias("at"))
     left = groups.select(F.posexplode("at").alias("i", "x"), "at")
@@ -261,8 +277,7 @@ def _text_pairs(rows: DataFrame, least: int, hot: int = HOT) -> DataFrame:
     cold = F.lit(False).alias("hot")
     asked = open_.select(F.col("rec_a").alias("rec"), "a", "b", cold).union(open_.select("rec_b", "a2", "b2", cold)).union(runs.where(F.col("n") > hot).select("rec", "a", "b", F.lit(True)))
     wanted = asked.groupBy("rec").agg(F.collect_set(F.struct("a", "b", "hot")).alias("wanted"))
-    once = texts.groupBy("rec").agg(F.first("text").alias("text"))
-    answers = cut(once.join(wanted, "rec").mapInArrow(_look_up(least), "rec long, a int, left int, near string, g long").distinct())
+    answers = cut(texts.join(wanted, "rec").mapInArrow(_look_up(least), "rec long, a int, left int, near string, g long").distinct())
     near = answers.where("near is not null").select("rec", "a", "left", "near")
     one = near.select(F.col("rec").alias("rec_a"), "a", F.col("left").alias("left_a"), F.col("near").alias("near_a"))
     two = near.select(F.col("rec").alias("rec_b"), F.col("a").alias("a2"), F.col("left").alias("left_b"), F.col("near").alias("near_b"))
@@ -282,8 +297,8 @@ def _text_pairs(rows: DataFrame, least: int, hot: int = HOT) -> DataFrame:
 
 def pairs(df: DataFrame, key: str, text: str, least: int = LEAST, hot: int = HOT) -> DataFrame:
     """rec_a, rec_b: each pair of records with a common span of at least ``least`` code points."""
-    rows = _texts(df, key, text, least)
-    holders, found = _holders(rows), _text_pairs(rows, least, hot)
+    texts, holders = _distinct(_texts(df, key, text, least))
+    found = _text_pairs(texts, least, hot)
     # back to records: those of the two texts, and copies of one
     one, two = holders.select(F.col("t").alias("t_a"), F.col("rec").alias("x")), holders.select(F.col("t").alias("t_b"), F.col("rec").alias("y"))
     many = holders.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select(F.col("t").alias("t_a"), F.col("t").alias("t_b"))
@@ -291,73 +306,92 @@ def pairs(df: DataFrame, key: str, text: str, least: int = LEAST, hot: int = HOT
     return both.select(F.least("x", "y").alias("rec_a"), F.greatest("x", "y").alias("rec_b")).distinct()
 
 
-def _common_ranges(least: int):
-    """Where two texts are covered by their common spans of at least ``least``: both ways round."""
+def _owners(holders: DataFrame) -> DataFrame:
+    """t, owner, n: the first record of each text and how many have it."""
+    return holders.groupBy("t").agg(F.min("rec").alias("owner"), F.count("*").alias("n"))
+
+
+def class_pairs(df: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
+    """class_a, class_b: each two classes of equal texts with a common span. A class is named by its first record."""
+    texts, holders = _distinct(_texts(df, key, text, least))
+    owners = _owners(holders).select("t", "owner")
+    both = _text_pairs(texts, least).join(owners.toDF("t_a", "x"), "t_a").join(owners.toDF("t_b", "y"), "t_b")
+    return both.select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b")).distinct()
+
 
-    def ranges(here: np.ndarray, there: np.ndarray) -> list[dict]:
-        hit = np.concatenate([[False], np.isin(here, there), [False]])
-        edge = np.nonzero(hit[1:] != hit[:-1])[0].tolist()
-        out: list[dict] = []
-        for x, y in zip(edge[::2], edge[1::2], strict=True):  # starts of common grams from x to y
-            if out and x <= out[-1]["b"]:
-                out[-1]["b"] = y - 1 + least
-            else:
-                out.append({"a": x, "b": y - 1 + least})
-        return out
+def classes(df: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
+    """rec, class_id (the first record with that text), n_copies (records of the class), n_links (other classes with a common span): one row for each record and text of at least ``least``."""
+    texts, holders = _distinct(_texts(df, key, text, least))
+    found = cut(_text_pairs(texts, least))
+    links = found.select(F.col("t_a").alias("t")).union(found.select("t_b")).groupBy("t").agg(F.count("*").alias("n_links"))
+    out = holders.join(_owners(holders), "t").join(links, "t", "left")
+    return out.select("rec", F.col("owner").alias("class_id"), F.col("n").alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
-    def grams(t: str) -> np.ndarray:
-        at = np.arange(len(t) - least + 1)
-        return Hashed(t).of(at, at + least)
+
+def _gram_places(least: int):
+    """Each ``least``-gram of a text that holds one of its shared runs: (t, hash, place)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t, text, at in zip(b.column("rec").to_pylist(), b.column("text").to_pylist(), b.column("at").to_pylist(), strict=True):
+                hashed = Hashed(text)
+                where = hashed.places([(r["a"], r["b"]) for r in at], least)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(where), t, np.int64)), pa.array(hashed.of(where, where + least).view(np.int64)), pa.array(where.astype(np.int32))], names=["t", "g", "a"])
+
+    return run
+
+
+def _cover(least: int):
+    """The union of the spans that begin at the places of a text, as ranges, and its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         for b in batches:
-            col = lambda n: b.column(n).to_pylist()  # noqa: B023, E731
-            t, other, found = [], [], []
-            for t_a, t_b, x, y in zip(col("t_a"), col("t_b"), col("x"), col("y"), strict=True):
-                x, y = grams(x), grams(y)
-                t += [t_a, t_b]
-                other += [t_b, t_a]
-                found += [ranges(x, y), ranges(y, x)]
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(other, pa.int64()), pa.array(found, at)], names=["t", "other", "at"])
+            ranges = []
+            for places in b.column("places").to_pylist():
+                a = np.array(sorted(places), np.int64)
+                new = np.concatenate([[True], a[1:] > a[:-1] + least])
+                first = np.nonzero(new)[0]
+                last = np.append(first[1:] - 1, len(a) - 1)
+                ranges.append([{"a": x, "b": y} for x, y in zip(a[first].tolist(), (a[last] + least).tolist(), strict=True)])
+            total = [sum(r["b"] - r["a"] for r in x) for x in ranges]
+            yield pa.RecordBatch.from_arrays([b.column("t"), pa.array(ranges, at), pa.array(total, pa.int64())], names=["t", "at", "shared_chars"])
 
     return run
 
 
-def _spans(rows: DataFrame, least: int) -> DataFrame:
-    """t, other, at: where the text of hash t is covered by maximal spans that it has in common with the text of hash other."""
-    once = rows.groupBy(F.xxhash64("text").alias("t")).agg(F.first("text").alias("text"))
-    one, two = once.select(F.col("t").alias("t_a"), F.col("text").alias("x")), once.select(F.col("t").alias("t_b"), F.col("text").alias("y"))
-    return _text_pairs(rows, least).join(one, "t_a").join(two, "t_b").select("t_a", "t_b", "x", "y").mapInArrow(_common_ranges(least), "t long, other long, at array<struct<a: int, b: int>>")
+def _covered(texts: DataFrame, owners: DataFrame, least: int, earlier: bool) -> DataFrame:
+    """t, at, shared_chars: the ranges of each text that are in spans of at least ``least`` which another text has too; ``earlier``: one with an earlier first record.
+
+    A text's places are at most its length, so the list of them is its own size.
+    """
+    ranges = _shared(texts, least).groupBy("rec").agg(F.collect_set(F.struct("a", "b")).alias("at"))
+    grams = texts.join(ranges, "rec").select("rec", "text", "at").mapInArrow(_gram_places(least), "t long, g long, a int")
+    grams = stored(grams.join(owners.select("t", "owner"), "t"))
+    by = grams.groupBy("g").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.min("owner").alias("first")).where("lo <> hi").select("g", "first")
+    kept = grams.join(by, "g").where(F.col("first") < F.col("owner") if earlier else F.lit(True))
+    return kept.groupBy("t").agg(F.collect_list("a").alias("places")).mapInArrow(_cover(least), "t long, at array<struct<a: int, b: int>>, shared_chars long")
 
 
 def shares(df: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
-    """rec, n_chars, shared_chars, shared_share: how much of each record lies in spans of at least ``least`` code points that other records have too."""
-    rows = _texts(df, key, text, least)
-    cover = _cover(_spans(rows, least).select(F.col("t").alias("rec"), F.explode("at").alias("r")).select("rec", "r.a", "r.b").distinct()).withColumnRenamed("rec", "t")
-    copied = _holders(rows).groupBy("t").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = _texts(df, key, text, 1).groupBy("rec").agg(F.max(F.struct(F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("t"))).alias("s")).select("rec", "s.*")
-    out = sizes.join(cover, "t", "left").join(copied, "t", "left")
-    out = out.withColumn("shared_chars", F.when(F.col("n").isNotNull(), F.col("n_chars")).otherwise(F.coalesce("shared_chars", F.lit(0)).cast("long")))
+    """rec, n_chars, shared_chars, shared_share: how much of each record lies in spans of at least ``least`` code points that other records have too. Records under ``least`` share nothing; empty and null texts have no row."""
+    texts, holders = _distinct(_texts(df, key, text, least))
+    owners = cut(_owners(holders))
+    by_text = owners.join(_covered(texts, owners, least, False), "t", "left").select("t", "n", "shared_chars")
+    shared = holders.join(by_text, "t").select("rec", "n", "shared_chars")
+    sizes = _texts(df, key, text, 1).select("rec", F.length("text").cast("long").alias("n_chars")).groupBy("rec").agg(F.max("n_chars").alias("n_chars"))
+    out = sizes.join(shared.groupBy("rec").agg(F.max("n").alias("n"), F.max("shared_chars").alias("shared_chars")), "rec", "left")
+    out = out.withColumn("shared_chars", F.when(F.col("n") > 1, F.col("n_chars")).otherwise(F.coalesce("shared_chars", F.lit(0)).cast("long")))
     return out.select("rec", "n_chars", "shared_chars", F.round(F.col("shared_chars") / F.col("n_chars"), 6).alias("shared_share"))
 
 
-def _cover(runs: DataFrame) -> DataFrame:
-    """rec, shared_chars: length of the union of ranges."""
-    w = Window.partitionBy("rec").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.greatest(F.col("a"), F.coalesce(F.max("b").over(w), F.lit(0)))
-    return runs.withColumn("more", F.greatest(F.lit(0), F.col("b") - reach)).groupBy("rec").agg(F.sum("more").alias("shared_chars"))
-
-
 def cleaned(df: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
-    """rec, text: each record without the stretches that a span of at least ``least`` code points covers which another, earlier record (lesser id) has too."""
-    rows = _texts(df, key, text, least)
-    holders = _holders(rows)
-    first = holders.groupBy("t").agg(F.min("rec").alias("owner"))
-    ranges = _spans(rows, least).join(first.withColumnRenamed("t", "other"), "other").join(holders, "t").where("owner < rec").select("rec", F.explode("at").alias("r"))
-    later = ranges.groupBy("rec").agg(F.array_sort(F.collect_set("r")).alias("cut"))
-    copies = holders.join(first, "t").where("owner < rec").select("rec", F.lit(True).alias("copy"))
-    all_ = _texts(df, key, text, 0).dropDuplicates(["rec"]).join(later, "rec", "left").join(copies, "rec", "left")
+    """rec, text: each record without the stretches that a span of at least ``least`` code points covers which another, earlier record (lesser id) has too. A copy of an earlier record is empty."""
+    texts, holders = _distinct(_texts(df, key, text, least))
+    owners = cut(_owners(holders))
+    cuts = _covered(texts, owners, least, True).join(owners, "t").select(F.col("owner").alias("rec"), F.col("at").alias("cut"))
+    copies = holders.join(owners.where("n > 1"), "t").where("owner < rec").select("rec", F.lit(True).alias("copy")).distinct()
+    all_ = _texts(df, key, text, 0).dropDuplicates(["rec"]).join(cuts, "rec", "left").join(copies, "rec", "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     body = F.aggregate("cut", start, lambda s, r: F.struct(F.greatest(s["at"], r["b"]).alias("at"), F.concat(s["out"], F.when(r["a"] > s["at"], F.col("text").substr(s["at"] + 1, r["a"] - s["at"])).otherwise("")).alias("out")), lambda s: F.concat(s["out"], F.col("text").substr(s["at"] + 1, F.length("text"))))
     return all_.select("rec", F.when(F.col("copy"), "").when(F.col("cut").isNull(), F.col("text")).otherwise(body).alias("text"))

@@ -66,22 +66,30 @@ def p3_forms(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.normalise(every.dropDuplicates(["table_name", "rec_id"]), "text").select("table_name", "rec_id", "normal_text")
 
 
+def _both(spark: SparkSession, sf: str, operator: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
+    docs = operator(_t(spark, sf, "documents"), "doc_id", "text").withColumn("table_name", F.lit("documents"))
+    cites = operator(_t(spark, sf, "citations"), "citation_id", "cited_text").withColumn("table_name", F.lit("citations"))
+    return docs.unionByName(cites)
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    docs = overlap.pairs(_t(spark, sf, "documents"), "doc_id", "text").withColumn("table_name", F.lit("documents"))
-    cites = overlap.pairs(_t(spark, sf, "citations"), "citation_id", "cited_text").withColumn("table_name", F.lit("citations"))
-    return docs.unionByName(cites).select("table_name", "rec_a", "rec_b")
+    return _both(spark, sf, overlap.pairs).select("table_name", "rec_a", "rec_b")
+
+
+def p5_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return _both(spark, sf, overlap.classes)
+
+
+def p5_class_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return _both(spark, sf, overlap.class_pairs)
 
 
 def p5_shares(spark: SparkSession, sf: str) -> DataFrame:
-    docs = overlap.shares(_t(spark, sf, "documents"), "doc_id", "text").withColumn("table_name", F.lit("documents"))
-    cites = overlap.shares(_t(spark, sf, "citations"), "citation_id", "cited_text").withColumn("table_name", F.lit("citations"))
-    return docs.unionByName(cites)
+    return _both(spark, sf, overlap.shares)
 
 
 def p5_cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    docs = overlap.cleaned(_t(spark, sf, "documents"), "doc_id", "text").withColumn("table_name", F.lit("documents"))
-    cites = overlap.cleaned(_t(spark, sf, "citations"), "citation_id", "cited_text").withColumn("table_name", F.lit("citations"))
-    return docs.unionByName(cites).select("table_name", "rec", F.length("text").alias("n_chars"), F.xxhash64("text").alias("text_hash"))
+    return _both(spark, sf, overlap.cleaned)
 
 
 def _capacities(spark: SparkSession, sf: str) -> dict[str, int]:
@@ -121,7 +129,7 @@ def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_rates, p3_found, p3_forms, p5_found, p5_shares, p5_cleaned, p7_pack, p7_fill, p7_summary, p8_mix, p8_shares, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_rates, p3_found, p3_forms, p5_found, p5_classes, p5_class_pairs, p5_shares, p5_cleaned, p7_pack, p7_fill, p7_summary, p8_mix, p8_shares, p9_found, p9_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -131,3 +131,13 @@ def test_shares_and_cleaning_against_brute_force(spark):
 def test_spans_that_short_are_refused(spark):
     with pytest.raises(ValueError):
         X.pairs(frame(spark, []).withColumn("x", F.lit(1)), "id", "body", 100)
+
+
+def test_classes_and_their_pairs(spark):
+    rng = random.Random(23)
+    span = words(rng, 80)[:230]
+    rows = {i: span for i in range(40)} | {50: span + words(rng, 20), 51: words(rng, 20) + span, 60: words(rng, 60), 61: "short"}
+    got = {r.rec: (r.class_id, r.n_copies, r.n_links) for r in X.classes(frame(spark, rows), "id", "body").collect()}
+    assert got == {i: (0, 40, 2) for i in range(40)} | {50: (50, 1, 2), 51: (51, 1, 2), 60: (60, 1, 0)}
+    assert {tuple(r) for r in X.class_pairs(frame(spark, rows), "id", "body").collect()} == {(0, 50), (0, 51), (50, 51)}
+    assert X.classes(frame(spark, []), "id", "body").count() == X.class_pairs(frame(spark, []), "id", "body").count() == X.shares(frame(spark, []), "id", "body").count() == X.cleaned(frame(spark, []), "id", "body").count() == 0
