@@ -230,8 +230,8 @@ def changes(old: dict[str, dict], new: dict[str, dict]) -> list[tuple[str, str,
 
 
 FILE = "feed_id long, file_no int, fields binary"
-HELD = 64  # files whose values a task holds before it makes profiles of them
-VALUES = 200_000  # and how many values of them
+HELD = 1 << 24  # code points of lines that a task holds
+FEW = 64  # lines of a file below which they travel as they are: a profile would be larger
 
 
 def _merged(a: dict[str, dict], b: dict[str, dict]) -> dict[str, dict]:
@@ -239,26 +239,53 @@ def _merged(a: dict[str, dict], b: dict[str, dict]) -> dict[str, dict]:
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    """(feed_id, file_no, lines as a list or profiles by path)"""
     cols = list(zip(*[(*k, pickle.dumps(f)) for *k, f in rows], strict=True)) if rows else [(), (), ()]
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["feed_id", "file_no", "fields"])
 
 
-def _join_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges neighbouring rows of one file; rows come sorted by file."""
-    key, whole = None, {}
-    for b in batches:
-        out = []
-        for f, n, part in zip(*[b.column(c).to_pylist() for c in ("feed_id", "file_no", "fields")], strict=True):
-            part = pickle.loads(part)
-            if (f, n) == key:
-                whole = _merged(whole, part)
-            else:
-                if key is not None:
-                    out.append((*key, whole))
-                key, whole = (f, n), part
-        yield _rows(out)
-    if key is not None:
-        yield _rows([(*key, whole)])
+def _profiled(lines: list[str], descend: frozenset[str]) -> dict[str, dict]:
+    found: dict[str, list] = {}
+    for text in lines:
+        for path, v in fields(_record(text) or {}, descend):
+            found.setdefault(path, []).append(v)
+    return {p: profile(v) for p, v in found.items()}
+
+
+def _join_sorted(descend: frozenset[str]):
+    """Merges neighbouring rows of one file, lines or profiles, to its profile; rows come sorted by file. A file without a readable line has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, whole, lines, held = None, {}, [], 0
+
+        def settle() -> None:
+            nonlocal whole, lines, held
+            if lines:
+                whole = _merged(whole, _profiled(lines, descend)) if whole else _profiled(lines, descend)
+            lines, held = [], 0
+
+        for b in batches:
+            out = []
+            for f, n, part in zip(*[b.column(c).to_pylist() for c in ("feed_id", "file_no", "fields")], strict=True):
+                part = pickle.loads(part)
+                if (f, n) != key:
+                    settle()
+                    if whole:
+                        out.append((*key, whole))
+                    key, whole = (f, n), {}
+                if isinstance(part, dict):
+                    whole = _merged(whole, part) if whole else part
+                else:
+                    lines += part
+                    held += sum(map(len, part))
+                    if held > HELD:
+                        settle()
+            yield _rows(out)
+        settle()
+        if whole:
+            yield _rows([(*key, whole)])
+
+    return run
 
 
 def _record(text: str | None) -> dict | None:
@@ -269,31 +296,32 @@ def _record(text: str | None) -> dict | None:
     return record if isinstance(record, dict) else None
 
 
-def profiles(df: DataFrame, feed: str, file_no: str, body: str, descend: frozenset[str] = DESCEND, salts: int = 16) -> DataFrame:
-    """feed_id, file_no, fields (profile by path): one row for each file, kept. Partial profiles are merged salt by salt and then file by file, each time as a sorted stream."""
+def profiles(df: DataFrame, feed: str, file_no: str, body: str, descend: frozenset[str] = DESCEND, tasks: int = 256) -> DataFrame:
+    """feed_id, file_no, fields (profile by path): one row for each file with a readable line, kept.
+
+    A task makes a profile of each file of which it has many lines; of others the lines travel, as a profile would be
+    larger. What comes of ``tasks`` tasks is merged first, and then the file, each time as a sorted stream.
+    """
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, dict[str, list]] = {}
+        held: dict[tuple, list[str]] = {}
         size = 0
-        done = lambda: _rows([(*k, {p: profile(v) for p, v in file.items()}) for k, file in held.items()])
+        done = lambda: _rows([(*k, _profiled(lines, descend) if len(lines) > FEW else lines) for k, lines in held.items()])
         for b in batches:
             for f, n, text in zip(*[b.column(c).to_pylist() for c in ("feed_id", "file_no", "body")], strict=True):
-                if (record := _record(text)) is None:
-                    continue
-                if (f, n) not in held and len(held) >= HELD or size >= VALUES:
-                    yield done()
-                    held, size = {}, 0
-                file = held.setdefault((f, n), {})
-                for path, v in fields(record, descend):
-                    file.setdefault(path, []).append(v)
-                    size += 1
+                held.setdefault((f, n), []).append(text)
+                size += len(text)
+            if size > HELD:
+                yield done()
+                held, size = {}, 0
         yield done()
 
-    slim = df.select(F.col(feed).cast("long").alias("feed_id"), F.col(file_no).cast("int").alias("file_no"), F.col(body).alias("body")).where("feed_id is not null and file_no is not null")
-    partial = slim.mapInArrow(part, FILE)
+    slim = df.select(F.col(feed).cast("long").alias("feed_id"), F.col(file_no).cast("int").alias("file_no"), F.col(body).alias("body")).where("feed_id is not null and file_no is not null and body is not null")
     key = ["feed_id", "file_no"]
-    salted = partial.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))).repartition(*key, "salt").sortWithinPartitions(*key, "salt").drop("salt").mapInArrow(_join_sorted, FILE)
-    return cut(salted.repartition(*key).sortWithinPartitions(*key).mapInArrow(_join_sorted, FILE))
+    merged = slim.mapInArrow(part, FILE).withColumn("salt", F.floor(F.spark_partition_id() / tasks))
+    for spread in ([*key, "salt"], key):
+        merged = merged.repartition(*spread).sortWithinPartitions(*spread).select(*key, "fields").mapInArrow(_join_sorted(descend), FILE)
+    return cut(merged)
 
 
 def schemas(profiled: DataFrame) -> DataFrame:

@@ -42,18 +42,29 @@ def stored(df: DataFrame) -> DataFrame:
     if not _tables:
         atexit.register(_drop, spark)
     _tables.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    _delete(df.sparkSession, df._stored_at)
+    _tables.remove(df._stored_at)
 
 
 _tables: list[str] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _drop(spark: SparkSession) -> None:
     with contextlib.suppress(Exception):  # the session may have been stopped before
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for path in _tables:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            _delete(spark, path)
 
 
 def collect_bounded(df: DataFrame, most: int, what: str) -> list[Row]:
