@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.ranking import cut
-from plumbline.operators.lineage import stored
+from plumbline.operators.lineage import release, stored
 
 LEAST = 200
 GRAM, WINDOW, RUN = 8, 64, 60
@@ -197,7 +197,9 @@ def _shared(texts: DataFrame, least: int) -> DataFrame:
     """
     runs = stored(texts.mapInArrow(_runs(least), "rec long, h long, a int, b int, before int, after int"))
     shared = runs.groupBy("h").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("h", "n")
-    return cut(runs.join(shared, "h"))
+    out = cut(runs.join(shared, "h"))
+    release(runs)
+    return out
 
 
 def shared_runs(df: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
