@@ -1,11 +1,16 @@
 """Find texts that were cut off at a field limit or in mid-transfer, and report how often each source cuts.
 
-Method: the end of every text is read for its form (sentence, list entry, table row, heading, title, link, mark of
-a cut). Where the form leaves it open whether the last word is whole, the corpus vocabulary decides: a trie of all
-words, held as a relation of (prefix node) rows so that it is built and searched by joins and never gathered in
-one place. A last word that no text knows as a word, but that is a proper prefix of known words, is half a word.
-Length evidence (as many texts of exactly this length as no neighbouring length has) comes with each row and
-decides for last words of one or two letters.
+Method: the form of a text's end says only where it is surely whole (a terminal, a link, a finished table row, an emoji)
+or looks finished (a list entry, a heading, a title); everything else is open. The final token of every text that is not
+surely whole is then looked up in the corpus vocabulary trie: one that no text knows as a word, but that is a proper
+prefix of known words, is half a word, and the text is cut. What the trie leaves open is cut if it ends on a mark of a
+cut, if its length is a pile-up (as many texts of exactly this length as no neighbouring length has), or if its sentence
+is open; a finished form is whole unless the trie says otherwise, and half words of one or two letters there need the
+length evidence too. ``detect`` names the evidence of each row, in this order, ``evidence`` counts it.
+
+The trie is held as a relation of (prefix node) rows and is only ever as deep as it is asked: of each first letter those
+lengths are made that some final token has, so that neither the trie is gathered in one place nor a run of thousands of
+letters gives all its prefixes.
 
 Defined results: null and empty texts and texts of blanks only are whole; ids that occur twice are reported once
 (cut if any of their rows is); a text that ends on a mark of a cut is cut whatever precedes it.
@@ -34,7 +39,8 @@ LAST_WORD = re.compile(r"([^\W\d_]+)[^\w]*$")
 INNER_END = re.compile(r"[.!?](?:\s)|[。！？]")
 SPACELESS = re.compile("[぀-ヿ一-鿿]")
 TITLE_WORDS = 24
-WHOLE, CUT, ASK = "whole", "cut", "ask"
+WHOLE, FINISHED, OPEN, MARKED = "whole", "finished", "open", "marked"  # surely whole; whole unless its last word is half; cut; cut by a mark
+HALF_WORD, MARK_OF_CUT, FIELD_LIMIT, OPEN_SENTENCE = "half_word", "mark", "length", "open_sentence"  # evidence
 
 
 def _clean(s: str) -> str:
@@ -47,8 +53,14 @@ def _shape(entry: str) -> str:
     return re.sub(r"[^,:;()*–—|]+", "", body)
 
 
+def _final_word(s: str) -> str:
+    """The word that a line ends on, closing signs aside; '' if it ends on anything else."""
+    m = LAST_WORD.search(s)
+    return m.group(1) if m and s.rstrip(CLOSERS).endswith(m.group(1)) else ""
+
+
 def judge_end(tail: str | None) -> tuple[str, str]:
-    """(whole, cut or ask; the last word where it has to be asked for). ``tail``: the last lines of a text."""
+    """(form of the end, final token to be looked up: '' for none). ``tail``: the last lines of a text."""
     if tail is None or not tail.strip():
         return WHOLE, ""
     if tail.isascii():
@@ -57,41 +69,41 @@ def judge_end(tail: str | None) -> tuple[str, str]:
         t = _clean(tail).strip()
         if not t:
             return WHOLE, ""
-    if MARK.search(t):
-        return CUT, ""
+    if mark := MARK.search(t):
+        return MARKED, _final_word(t[: mark.start()])
     lines = [x.strip() for x in t.split("\n") if x.strip()]
     last, before = lines[-1], lines[-2] if len(lines) > 1 else ""
-    word = m.group(1) if (m := LAST_WORD.search(last)) and last.rstrip(CLOSERS).endswith(m.group(1)) else ""
+    word = _final_word(last)
     if BARE_MARKER.match(last) and (not last[-1].isdigit() or before and not before[-1].isdigit() or ENTRY.match(before)):
-        return CUT, ""
+        return OPEN, word
     if last.startswith("|"):
-        return (WHOLE if last.endswith("|") and len(last) > 1 and (not before.startswith("|") or last.count("|") >= before.count("|")) else CUT), ""
+        return (WHOLE, "") if last.endswith("|") and len(last) > 1 and (not before.startswith("|") or last.count("|") >= before.count("|")) else (OPEN, word)
     if "\t" in last and "\t" in before:
-        return (WHOLE if last.count("\t") >= before.count("\t") else CUT), ""
+        return (WHOLE, "") if last.count("\t") >= before.count("\t") else (OPEN, word)
     if LINK.search(last):
-        return (ASK, word) if word else (WHOLE, "")
+        return FINISHED, word
     kind = unicodedata.category(last[-1])
     if kind in ("So", "Sk") or last[-1] in "️⃣" or last[-1] in ")]" and unicodedata.category(last[-2:-1] or " ") in ("So", "Sm"):
         return WHOLE, ""
     bare = last.rstrip(CLOSERS)
     if last.count("**") % 2 or last.startswith("**") and not last.endswith("**") and ENTRY.match(last) is None and "**" not in last[2:]:
-        return CUT, ""
+        return OPEN, word
     if bare and bare[-1] in TERMINAL:
         return WHOLE, ""
     if ENTRY.match(last):
         if last.count("(") > last.count(")") or last[-1] in ",:;(–—-&":
-            return CUT, ""
+            return OPEN, word
         if ENTRY.match(before) and len(_shape(last)) < len(_shape(before)) and _shape(before).startswith(_shape(last)):
-            return CUT, ""
-        return (ASK, word) if word else (WHOLE, "")
+            return OPEN, word
+        return FINISHED, word
     if re.match(r"#{1,6}\s", last) or last.startswith("**") and last.endswith("**"):
-        return (ASK, word) if word else (WHOLE, "")
+        return FINISHED, word
     words = last.split()
     if ": " in last and len(words) <= TITLE_WORDS and last[-1] not in ",;:(" and not INNER_END.search(last) and not _opens_quote(last):
-        return (ASK, word) if word else (WHOLE, "")
+        return FINISHED, word
     if not before and len(words) <= 4 and not SPACELESS.search(last) and all(w[:1].isupper() or w[:1].isdigit() or w in ("&", "/", "|") for w in words) and last[-1] not in ",;:(":
-        return (ASK, word) if word else (WHOLE, "")
-    return CUT, ""
+        return FINISHED, word
+    return OPEN, word
 
 
 def _opens_quote(s: str) -> bool:
@@ -103,21 +115,16 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = [judge_end(t) for t in b.column("tail").to_pylist()]
         cols = [b.column(i) for i, n in enumerate(b.schema.names) if n != "tail"]
         names = [n for n in b.schema.names if n != "tail"]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array([d[0] for d in done], pa.string()), pa.array([d[1].lower() for d in done], pa.string())], names=[*names, "verdict", "last_word"])
-
-
-def _tail(text: Column) -> Column:
-    """The last two lines that hold something: the form of an end depends on them only. Whole text if it has one line."""
-    return F.regexp_extract(text, r"(?U)((?:[^\n]*\n\s*)?[^\n]*?)\s*$", 1)
+        yield pa.RecordBatch.from_arrays([*cols, pa.array([d[0] for d in done], pa.string()), pa.array([d[1].lower() for d in done], pa.string())], names=[*names, "form", "last_word"])
 
 
 def ends(df: DataFrame, key: str, text: str, table: str) -> DataFrame:
-    """table_name, rec_id, n_chars, verdict, last_word of every non-empty text."""
+    """table_name, rec_id, n_chars, form, last_word of every non-empty text."""
     rows = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(
         F.lit(table).alias("table_name"), F.col(key).cast("long").alias("rec_id"), F.length(text).alias("n_chars"),
         F.substring_index(F.rtrim(F.regexp_replace(F.col(text), r"\n\s*\n", "\n")), "\n", -2).alias("tail"),
     )
-    return rows.mapInArrow(_ends, "table_name string, rec_id long, n_chars int, verdict string, last_word string")
+    return rows.mapInArrow(_ends, "table_name string, rec_id long, n_chars int, form string, last_word string")
 
 
 def vocabulary(*texts: DataFrame) -> DataFrame:
@@ -129,10 +136,15 @@ def vocabulary(*texts: DataFrame) -> DataFrame:
     return out.where(F.length("word") > 0).distinct()
 
 
-def trie_nodes(words: DataFrame, shortest: int = 1) -> DataFrame:
-    """node: every proper prefix of every word, i.e. each inner node of the trie once."""
-    n = F.length("word")
-    return words.where(n > shortest).select(F.explode(F.transform(F.sequence(F.lit(shortest), n - 1), lambda i: F.col("word").substr(F.lit(1), i))).alias("node")).distinct()
+def trie_nodes(words: DataFrame, asked: DataFrame) -> DataFrame:
+    """node: those of ``asked`` (w) that are an inner node of the trie, i.e. a proper prefix of a word.
+
+    Words meet the lengths that are asked of their first letter, one row for each letter, and give only these prefixes.
+    """
+    lengths = asked.groupBy(F.left("w", F.lit(1)).alias("letter")).agg(F.collect_set(F.length("w")).alias("asked"))
+    branch = words.withColumn("letter", F.left("word", F.lit(1))).join(lengths, "letter")
+    nodes = branch.select("word", F.explode(F.filter("asked", lambda n: n < F.length("word"))).alias("n")).select(F.left("word", F.col("n")).alias("node")).distinct()
+    return nodes.join(asked, F.col("node") == F.col("w"), "left_semi")
 
 
 def pile_ups(lengths: DataFrame, factor: float = 4.0, least: int = 5) -> DataFrame:
@@ -144,7 +156,7 @@ def pile_ups(lengths: DataFrame, factor: float = 4.0, least: int = 5) -> DataFra
 
 
 def detect(sources: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
-    """sources: (table, id column, text column, name). table_name, rec_id, n_chars, at_limit, cut: one row for each row with a text."""
+    """sources: (table, id column, text column, name). table_name, rec_id, n_chars, at_limit, cut, evidence (null where whole): one row for each row with a text."""
     if not sources:
         raise ValueError("no source")
     judged = None
@@ -153,19 +165,29 @@ def detect(sources: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
         judged = e if judged is None else judged.unionByName(e)
     judged = cut(judged)  # a few dozen bytes a text; read by each of the joins below
     words = cut(vocabulary(*[df.where(F.col(text).isNotNull()).select(F.col(text).alias("text")) for df, _, text, _ in sources]))
-    asked = judged.where(F.col("verdict") == ASK).select(F.col("last_word").alias("w")).distinct()
-    known = words.join(asked, F.col("word") == F.col("w"), "left_semi").select(F.col("word").alias("last_word"), F.lit(True).alias("is_word"))
-    nodes = trie_nodes(words).join(asked, F.col("node") == F.col("w"), "left_semi").select(F.col("node").alias("last_word"), F.lit(True).alias("is_node"))
-    out = judged.join(known, "last_word", "left").join(nodes, "last_word", "left").join(pile_ups(judged.select("table_name", "n_chars")), ["table_name", "n_chars"], "left")
-    half = (F.col("verdict") == ASK) & F.col("is_node").isNotNull() & F.col("is_word").isNull()
-    limit = F.coalesce("at_limit", F.lit(False))
-    return out.select("table_name", "rec_id", "n_chars", limit.alias("at_limit"), ((F.col("verdict") == CUT) | (half & ((F.length("last_word") > 2) | limit))).alias("cut"))
+    asked = judged.where((F.col("form") != WHOLE) & (F.col("last_word") != "")).select(F.col("last_word").alias("w")).distinct()
+    unknown = cut(asked.join(words, F.col("word") == F.col("w"), "left_anti"))
+    half = trie_nodes(words, unknown).select(F.col("node").alias("last_word"), F.lit(True).alias("is_half"))
+    limits = pile_ups(judged.select("table_name", "n_chars"))
+    out = judged.join(half, "last_word", "left").join(limits, ["table_name", "n_chars"], "left")
+    at_limit, form, is_half = F.coalesce("at_limit", F.lit(False)), F.col("form"), F.coalesce("is_half", F.lit(False))
+    evidence = (
+        F.when(is_half & (form.isin(OPEN, MARKED) | (form == FINISHED) & ((F.length("last_word") > 2) | at_limit)), HALF_WORD)
+        .when(form == MARKED, MARK_OF_CUT).when((form == OPEN) & at_limit, FIELD_LIMIT).when(form == OPEN, OPEN_SENTENCE)
+    )
+    return out.select("table_name", "rec_id", "n_chars", at_limit.alias("at_limit"), evidence.isNotNull().alias("cut"), evidence.alias("evidence"))
 
 
 def found(sources: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
     return detect(sources).where("cut").select("table_name", "rec_id").distinct()
 
 
+def evidence(verdicts: DataFrame) -> DataFrame:
+    """table_name, evidence, texts, at_limit: how many cut texts each kind of evidence decided, ids that repeat once, and how many of them are of a piled-up length."""
+    one = verdicts.where("cut").groupBy("table_name", "rec_id").agg(F.min("evidence").alias("evidence"), F.max("at_limit").alias("at_limit"))
+    return one.groupBy("table_name", "evidence").agg(F.count("*").alias("texts"), F.count_if("at_limit").alias("at_limit"))
+
+
 def rates(verdicts: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """How often texts are cut by ``label`` (engine, domain, ...). labels: rec_id and label, one row per id."""
     one = verdicts.groupBy("rec_id").agg(F.max("cut").alias("cut"), F.max("at_limit").alias("at_limit"))

@@ -9,7 +9,7 @@ from plumbline.llm import truncation as X
     [None, "", "  \n", "A whole sentence.", "Really?", "“Quoted.”", "« Cité. »", "Er sagt „ja“.", "他说好。", "“好。”", "- item one, Town\n- item two, City", "1. **Name** (Town), 12\n2. **Other** (City), 34", "| a | b |\n|---|---|\n| c | 5 |", "See\n\nhttps://a.example/guide/12", "Fine. 👍", "Done. (✓)", "**A heading: of it 12**", "# Heading", "Name kettle Town: the handle 481"],
 )
 def test_whole(text):
-    assert X.judge_end(text)[0] in (X.WHOLE, X.ASK)
+    assert X.judge_end(text)[0] in (X.WHOLE, X.FINISHED)
 
 
 @pytest.mark.parametrize(
@@ -17,7 +17,7 @@ def test_whole(text):
     ["A sentence that", "A sentence that…", "A whole sentence. …", "It ends [...]", "It ends...", "“It is good enough,”", "First. Then, in the", "1. **Name** (Town), 12\n2. **Oth", "1. **Name** (Town), 12\n2. **Other** (Ci", "1. **Name** (Town), 12\n2", "- a, b\n- c,", "| a | b |\n|---|---|\n| c | 5", "他们询问了铰链的情", "Ｆｉｒｓｔ． Then the"],
 )
 def test_cut(text):
-    assert X.judge_end(text)[0] == X.CUT
+    assert X.judge_end(text)[0] in (X.OPEN, X.MARKED)
 
 
 def sources(spark, rows, extra="x string"):
@@ -55,6 +55,14 @@ def test_rates(spark):
 
 
 def test_trie_nodes(spark):
-    words = spark.createDataFrame([("abc",), ("abd",), ("x",)], "word string")
-    assert {r.node for r in X.trie_nodes(words).collect()} == {"a", "ab"}
-    assert X.trie_nodes(words).where(F.col("node") == "abc").count() == 0
+    words = spark.createDataFrame([("abc",), ("abd",), ("x",), ("字" * 3000,)], "word string")
+    asked = spark.createDataFrame([(w,) for w in ("a", "ab", "abc", "x", "b", "字" * 2999, "字" * 7)], "w string")
+    assert {r.node for r in X.trie_nodes(words, asked).collect()} == {"a", "ab", "字" * 2999, "字" * 7}
+    assert X.trie_nodes(words, asked.limit(0)).count() == 0
+
+
+def test_evidence(spark):
+    rows = [(1, "Branbumouth is a town by the sea."), (2, "We went to the fair Branbumo"), (3, "We went to the town and"), (4, "We went to Branbumouth…"), (4, "We went to Branbumouth…"), (5, "We saw it.")]
+    v = X.detect(sources(spark, rows))
+    assert {r.rec_id: r.evidence for r in v.collect()} == {1: None, 2: X.HALF_WORD, 3: X.OPEN_SENTENCE, 4: X.MARK_OF_CUT, 5: None}
+    assert {(r.evidence, r.texts) for r in X.evidence(v).collect()} == {(X.HALF_WORD, 1), (X.OPEN_SENTENCE, 1), (X.MARK_OF_CUT, 1)}
