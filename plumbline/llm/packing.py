@@ -1,11 +1,13 @@
 """Fill containers of a fixed capacity with items of varying length.
 
-Method: exact-complement hashing over the histogram of lengths. For the largest length that is left, the gap beside
-it is looked up in the index of available lengths: one that fills it exactly, else a pair, else a triple. A
-combination that fits is used as often as its counts allow, so the plan is a list of (lengths, how often) and each
-step uses up a length. Lengths without an exact complement are filled by best fit. The driver sees counts by length
-only, at most ``capacity`` of them, whatever the number of items; items find their place by their rank among the
-items of their length.
+Method: exact-complement hashing over the histogram of lengths. Three indexes tell which sums single lengths, pairs and
+triples of available lengths make, each one flag for each sum up to the capacity. For the largest length that is left,
+the gap beside it is looked up: a single length that fills it exactly, else a pair, else a triple. What the index names
+is found by its complement and checked against the counts, as lengths may have been used up since; after some misses
+the index is made anew. A combination that fits is used as often as its counts allow, so the plan is a list of
+(lengths, how often) and each step uses up a length. Lengths without an exact complement are filled by best fit. The
+driver sees counts by length only, at most ``capacity`` of them, whatever the number of items, and refuses capacities
+beyond ``MOST_CAPACITY``; items find their place by their rank among the items of their length.
 
 Items longer than the capacity are split into full pieces and a rest; no other item is split. Defined results: items
 of no length (null and empty texts) take no place and get a null container; repeated ids are items of their own;
@@ -25,11 +27,43 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.ranking import cut, rank_within
 
-TRIPLE_TRIES = 48  # third lengths tried for a triple before best fit
+MOST_CAPACITY = 1 << 20  # of all capacities together: bounds what the driver holds and how long it plans
+MISSES = 16  # sums that the index named in vain before it is made anew
+
+
+class Sums:
+    """Which sums the available lengths make, as pairs and as triples. Lengths are only ever used up, so an old index names too many sums and never too few."""
+
+    def __init__(self, there: np.ndarray) -> None:
+        self.there, self.misses = there, MISSES
+
+    def _make(self) -> None:
+        size = len(self.there)
+        flags = lambda n: np.unpackbits(np.frombuffer((n & mask).to_bytes(size // 8 + 1, "little"), np.uint8), bitorder="little")[:size].astype(bool)
+        mask = (1 << size) - 1
+        lengths = np.nonzero(self.there)[0].tolist()
+        one = sum(1 << x for x in lengths) if len(lengths) < 64 else int.from_bytes(np.packbits(self.there, bitorder="little").tobytes(), "little")
+        two = three = 0
+        for x in lengths:
+            two |= one << x
+        two &= mask
+        for x in lengths:
+            three |= two << x
+        self.two, self.three, self.misses = flags(two), flags(three), 0
+
+    def names(self, gap: int, k: int) -> bool:
+        if self.misses >= MISSES:
+            self._make()
+        return bool((self.two if k == 2 else self.three)[gap])
+
+    def thirds(self, gap: int) -> list[int]:
+        """Available lengths that leave the sum of a pair, the largest first."""
+        x = np.arange(1, gap - 1)
+        return x[self.there[1 : gap - 1] & self.two[gap - x]][::-1].tolist()
 
 
 def _pair(counts: np.ndarray, there: np.ndarray, gap: int) -> tuple[int, int] | None:
-    """Two available lengths that make ``gap``, the largest first. ``there``: which lengths are available."""
+    """Two available lengths that make ``gap``, the largest first, each looked up by the complement of the other. ``there``: which lengths are available."""
     if gap < 2:
         return None
     half = gap // 2
@@ -46,19 +80,30 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     for size, n in histogram.items():
         counts[size] += n
     there = counts > 0
+    sums = Sums(there)
     out: list[tuple[tuple[int, ...], int]] = []
 
     def take(size: int, n: int) -> None:
         counts[size] -= n
         there[size] = counts[size] > 0
 
+    def pair(gap: int) -> tuple[int, ...] | None:
+        if not sums.names(gap, 2):
+            return None
+        got = _pair(counts, there, gap)
+        sums.misses += got is None
+        return got
+
     def triple(gap: int) -> tuple[int, ...] | None:
-        for x in (np.nonzero(there[1:gap])[0][::-1][:TRIPLE_TRIES] + 1).tolist():
+        if not sums.names(gap, 3):
+            return None
+        for x in sums.thirds(gap):
             take(x, 1)
-            pair = _pair(counts, there, gap - x)
+            got = _pair(counts, there, gap - x)
             take(x, -1)
-            if pair:
-                return (x, *pair)
+            if got:
+                return (x, *got)
+        sums.misses += 1
         return None
 
     def best_fit(gap: int) -> tuple[int, ...]:
@@ -82,7 +127,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
             elif there[gap]:
                 rest = (gap,)
             else:
-                rest = _pair(counts, there, gap) or triple(gap) or best_fit(gap)
+                rest = pair(gap) or triple(gap) or best_fit(gap)
             take(size, -1)
             lengths = (size, *rest)
             need: dict[int, int] = {}
@@ -120,6 +165,8 @@ def pack(items: DataFrame, key: str, size: str, capacities: dict[str, int]) -> D
     """pack_name, container (from 1), place (from 0), key, piece, n_tokens: one row for each piece of an item and capacity."""
     if not capacities or any(c < 1 for c in capacities.values()):
         raise ValueError("capacities must be at least 1")
+    if sum(capacities.values()) > MOST_CAPACITY:
+        raise ValueError(f"capacities are more than {MOST_CAPACITY} together")
     kinds = F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(int(c)).cast("long").alias("capacity")) for n, c in sorted(capacities.items())])
     n = F.col("_size")
     rows = cut(items.select(F.col(key), F.col(size).cast("long").alias("_size")))

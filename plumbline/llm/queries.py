@@ -51,6 +51,10 @@ def p2_rates(spark: SparkSession, sf: str) -> DataFrame:
     return one.unionByName(two)
 
 
+def p2_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.evidence(truncation.detect(_cut_sources(spark, sf)))
+
+
 def _reading_sources(spark: SparkSession, sf: str) -> list:
     return [(_t(spark, sf, t), k, x, t) for t, k, x in (("citations", "citation_id", "cited_text"), ("answers", "answer_id", "answer_text"), ("documents", "doc_id", "text"))]
 
@@ -109,13 +113,32 @@ def p7_summary(spark: SparkSession, sf: str) -> DataFrame:
     return packing.summary(p7_fill(spark, sf))
 
 
+def _sized(spark: SparkSession, sf: str) -> DataFrame:
+    return cut(tokens.sizes(_t(spark, sf, "documents"), "doc_id", "text", "source"))
+
+
 def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
-    sized = cut(tokens.sizes(_t(spark, sf, "documents"), "doc_id", "text", "source"))
-    return mixing.mix(sized, "doc_id", "source", "n_tokens", _t(spark, sf, "mix_targets"))
+    """As large as all documents with a target; scarce sources are repeated up to their cap and fall short beyond it."""
+    return mixing.mix(_sized(spark, sf), "doc_id", "source", "n_tokens", _t(spark, sf, "mix_targets"))
+
+
+def p8_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The largest mix in which every source has its target share."""
+    return mixing.mix(_sized(spark, sf), "doc_id", "source", "n_tokens", _t(spark, sf, "mix_targets"), mixing.EXACT)
+
+
+def _shares(spark: SparkSession, sf: str, total: str | None) -> DataFrame:
+    sized, targets = _sized(spark, sf), _t(spark, sf, "mix_targets")
+    mixed = mixing.mix(sized, "doc_id", "source", "n_tokens", targets, total)
+    return mixing.shares(mixed, targets, mixing.planned(sized, "source", "n_tokens", targets, total))
 
 
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.shares(p8_mix(spark, sf), _t(spark, sf, "mix_targets"))
+    return _shares(spark, sf, None)
+
+
+def p8_exact_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return _shares(spark, sf, mixing.EXACT)
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,7 +152,7 @@ def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_rates, p3_found, p3_forms, p5_found, p5_classes, p5_class_pairs, p5_shares, p5_cleaned, p7_pack, p7_fill, p7_summary, p8_mix, p8_shares, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_rates, p2_evidence, p3_found, p3_forms, p5_found, p5_classes, p5_class_pairs, p5_shares, p5_cleaned, p7_pack, p7_fill, p7_summary, p8_mix, p8_shares, p8_exact, p8_exact_shares, p9_found, p9_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:

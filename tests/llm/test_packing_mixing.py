@@ -30,6 +30,28 @@ def test_exact_complements():
     assert packing.plan({}, 10) == []
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_sums_name_every_pair_and_triple(seed):
+    rng = random.Random(seed)
+    size = rng.choice([8, 61, 64, 65, 300])
+    there = packing.np.zeros(size + 1, bool)
+    there[[rng.randrange(1, size + 1) for _ in range(rng.randrange(1, 80))]] = True
+    sums, have = packing.Sums(there), packing.np.nonzero(there)[0].tolist()
+    two = {a + b for a in have for b in have}
+    three = {a + b for a in two for b in have}
+    assert {g for g in range(size + 1) if sums.names(g, 2)} == {g for g in two if g <= size}
+    assert {g for g in range(size + 1) if sums.names(g, 3)} == {g for g in three if g <= size}
+    for g in range(2, size + 1):
+        assert sums.thirds(g) == [x for x in reversed(have) if x < g - 1 and g - x in two]
+
+
+def test_a_triple_of_middle_lengths_is_found():
+    # sixty larger third lengths make no exact triple; the one that does is far down
+    histogram = {1000: 1, 300: 1, 201: 1, 99: 1} | {400 + 2 * i: 1 for i in range(60)}
+    plan = packing.plan(histogram, 1600)
+    assert ((1000, 300, 201, 99), 1) in plan
+
+
 def test_pack(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice([0, 1, 3, 50, 99, 100, 101, 350]), "clash") for i in range(400)] + [(7, 50, "again")]
@@ -54,6 +76,8 @@ def test_pack_nothing_and_bad_capacity(spark):
     assert packing.pack(df, "id", "n", {"s": 10}).count() == 0
     with pytest.raises(ValueError):
         packing.pack(df, "id", "n", {"s": 0})
+    with pytest.raises(ValueError):
+        packing.pack(df, "id", "n", {"s": packing.MOST_CAPACITY, "t": 1})
 
 
 def test_fills(spark):
@@ -81,27 +105,41 @@ def targets(spark, rows):
     return spark.createDataFrame(rows, "source string, target_share double, max_repeats int")
 
 
-def test_mix_meets_its_shares(spark):
-    t = targets(spark, [("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.2, 4), ("absent", 0.0, 1)])
-    m = mixing.mix(docs(spark), "id", "source", "n", t)
-    s = {r.source: r for r in mixing.shares(m, t).collect()}
+def mixed(spark, t, total=None, d=None):
+    d = docs(spark) if d is None else d
+    m = mixing.mix(d, "id", "source", "n", t, total)
+    return m, {r.source: r for r in mixing.shares(m, t, mixing.planned(d, "source", "n", t, total)).collect()}
+
+
+def test_exact_mix_meets_its_shares(spark):
+    m, s = mixed(spark, targets(spark, [("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.2, 4), ("absent", 0.0, 1)]), mixing.EXACT)
     assert all(abs(s[k].actual_share - s[k].target_share) < 0.005 for k in ("big", "mid", "small"))
     assert all(r.most_copies <= r.max_repeats for r in s.values()) and s["absent"].tokens == 0
-    assert s["small"].documents == 60 and s["small"].most_copies == 4
+    assert s["small"].documents == 60 and s["small"].most_copies == 4 and all(r.shortfall < 400 for r in s.values())
     ids = [r.id for r in m.collect()]
     assert len(ids) == len(set(ids)) and not {9000, 9001, 9002} & set(ids)
 
 
+def test_whole_corpus_with_a_binding_cap(spark):
+    m, s = mixed(spark, targets(spark, [("big", 0.5, 1), ("mid", 0.3, 3), ("small", 0.2, 2)]))
+    everything = docs(spark).where("source in ('big', 'mid', 'small')").agg({"n": "sum"}).first()[0]
+    assert sum(r.wanted_tokens for r in s.values()) in range(everything - 3, everything + 3)
+    assert s["small"].most_copies == 2 and s["small"].documents == 60 and s["small"].shortfall == s["small"].wanted_tokens - s["small"].tokens > 0
+    for k in ("big", "mid"):
+        assert abs(s[k].tokens - s[k].wanted_tokens) < 0.01 * everything
+    m, s = mixed(spark, targets(spark, [("big", 0.5, 1), ("mid", 0.5, 1)]), 10_000)
+    assert all(abs(r.tokens - 5_000) < 400 for r in s.values())
+
+
 def test_absent_source_leaves_its_share_to_the_others(spark):
-    t = targets(spark, [("big", 0.4, 1), ("mid", 0.4, 1), ("absent", 0.2, 1)])
-    s = {r.source: r.actual_share for r in mixing.shares(mixing.mix(docs(spark), "id", "source", "n", t), t).collect()}
-    assert abs(s["big"] - 0.5) < 0.01 and abs(s["mid"] - 0.5) < 0.01 and s["absent"] == 0
+    _, s = mixed(spark, targets(spark, [("big", 0.4, 1), ("mid", 0.4, 1), ("absent", 0.2, 1)]), mixing.EXACT)
+    assert abs(s["big"].actual_share - 0.5) < 0.01 and abs(s["mid"].actual_share - 0.5) < 0.01 and s["absent"].actual_share == 0
 
 
 def test_mix_of_nothing(spark):
-    t = targets(spark, [("none", 1.0, 2)])
-    m = mixing.mix(docs(spark), "id", "source", "n", t)
-    assert m.count() == 0 and mixing.shares(m, t).first().tokens == 0
+    for total in (None, mixing.EXACT):
+        m, s = mixed(spark, targets(spark, [("none", 1.0, 2), ("big", 0.0, 1), ("mid", None, 1)]), total)
+        assert m.count() == 0 and {r.tokens for r in s.values()} == {0}
 
 
 def test_token_counts_are_those_of_the_whole_text():
