@@ -77,14 +77,15 @@ def locate(text: str, anchors: frozenset[str]) -> tuple[str, int] | None:
     return None if best is None else best[1:]
 
 
-def triples(text: str, pos: int = 0, repeated: frozenset[str] = frozenset(), wanted: frozenset[str] | None = None, most_depth: int = MOST_DEPTH) -> tuple[list[tuple], set[str]]:
+def triples(text: str, pos: int = 0, repeated: frozenset[str] = frozenset(), wanted: frozenset[str] | None = None, most_depth: int = MOST_DEPTH, empties: bool = False) -> tuple[list[tuple], set[str]]:
     """((path, ordinals, kind, value) of every element and leaf of the JSON value at ``pos``; its own keys).
 
-    ``wanted``: only these paths; what is on the way to none of them is read over.
+    ``wanted``: only these paths; what is on the way to none of them is read over. ``empties``: an empty array or object
+    is a leaf of its own, so that one can tell it from an absent one.
     """
     way = None if wanted is None else {p[:i] for p in wanted for i in (0, *(m.start() for m in re.finditer(r"\.|\[\]", p)), len(p))}
     out: list[tuple | None] = []
-    frames: list[list] = []  # of open containers: path, ordinals, key or next index, where the key's triples begin, its keys' triples, muted, where it begins as text
+    frames: list[list] = []  # of open containers: path, ordinals, key or next index, where the key's triples begin, its keys' triples, muted, whether it is too deep, where it begins
     root_keys: set[str] = set()
 
     def emit(path: str, at: tuple, kind: str, value: str | None) -> None:
@@ -107,8 +108,8 @@ def triples(text: str, pos: int = 0, repeated: frozenset[str] = frozenset(), wan
             continue
         if event in "}]":
             frames.pop()
-            if f[6] is not None:
-                emit(f[0], f[1], "object" if event == "}" else "array", text[f[6] : end])
+            if f[6] is not None or empties and not f[5] and not (f[2] if f[4] is None else f[4] or f[2] is not None):
+                emit(f[0], f[1], "object" if event == "}" else "array", text[f[7] : end])
             continue
         muted = f is not None and f[5]
         path, at = "", ()
@@ -130,29 +131,29 @@ def triples(text: str, pos: int = 0, repeated: frozenset[str] = frozenset(), wan
                 path, at = path + "[]", (*at, 0)
                 emit(path, at, "element", None)
             if len(frames) >= most_depth:
-                muted, raw = True, end
+                muted, raw = True, True
             elif way is not None and path not in way:
                 muted = True
-        frames.append([path, at, 0, 0, None, muted, raw] if event == "[" else [path, at, None, 0, {}, muted, raw])
+        frames.append([path, at, 0, 0, None, muted, raw, end] if event == "[" else [path, at, None, 0, {}, muted, raw, end])
     return [t for t in out if t is not None], root_keys
 
 
-def read(text: str | None, anchors: frozenset[str], repeated: frozenset[str], wanted: frozenset[str] | None = None) -> tuple[str, list[tuple]]:
+def read(text: str | None, anchors: frozenset[str], repeated: frozenset[str], wanted: frozenset[str] | None = None, empties: bool = False) -> tuple[str, list[tuple]]:
     """(status, triples of the record)"""
     if text is None:
         return NULL, []
     try:
-        found, keys = triples(text, 0, repeated, wanted)
+        found, keys = triples(text, 0, repeated, wanted, empties=empties)
         if not anchors or not anchors.isdisjoint(keys):
             return READ, found
         place = locate(text, anchors)
-        return (NO_RECORD, []) if place is None else (READ, triples(*place, repeated, wanted)[0])
+        return (NO_RECORD, []) if place is None else (READ, triples(*place, repeated, wanted, empties=empties)[0])
     except ValueError:
         return BROKEN, []
 
 
-def explode_triples(df: DataFrame, key: str, payload: str, repeated: Iterable[str] = (), anchors: Iterable[str] = (), platform: str | None = None, wanted: Iterable[str] | None = None) -> DataFrame:
-    """key (and platform), path, ordinals, kind, value; of ``wanted`` paths only, if they are given."""
+def explode_triples(df: DataFrame, key: str, payload: str, repeated: Iterable[str] = (), anchors: Iterable[str] = (), platform: str | None = None, wanted: Iterable[str] | None = None, empties: bool = False) -> DataFrame:
+    """key (and platform), path, ordinals, kind, value; of ``wanted`` paths only, if they are given. ``empties``: see ``triples``."""
     rep, anc, want = frozenset(repeated), frozenset(anchors), None if wanted is None else frozenset(wanted)
     names = [key, *([platform] if platform else [])]
 
@@ -160,7 +161,7 @@ def explode_triples(df: DataFrame, key: str, payload: str, repeated: Iterable[st
         for b in batches:
             take, out = [], ([], [], [], [])
             for r, text in enumerate(b.column("_payload").to_pylist()):
-                for t in read(text, anc, rep, want)[1]:
+                for t in read(text, anc, rep, want, empties)[1]:
                     take.append(r)
                     for c, x in zip(out, t):
                         c.append(x)

@@ -127,7 +127,7 @@ def _level(source: str, keep: str, array: str, name: str) -> str:
     return f"SELECT {keep}, unnest(x) AS e, generate_subscripts(x, 1) - 1 AS {name} FROM (SELECT *, {_elements(array)} AS x FROM {source}) WHERE len(x) > 0"
 
 
-def _p4_levels() -> str:
+def p4_levels() -> str:
     """CTEs of records, items, children and leaves, each with its JSON (e). Up to two layers of string and one enclosing object, as the test tables have them."""
     kinds = []
     for own, path, child in nested.CHILDREN:
@@ -148,7 +148,7 @@ def _p4_levels() -> str:
 
 
 def _p4_sql() -> str:
-    return f"""{_p4_levels()}
+    return f"""{p4_levels()}
   SELECT payload_id, item_pos, item_type, '' AS child_kind, -1 AS child_pos, -1 AS leaf_pos FROM items
   UNION ALL SELECT payload_id, item_pos, item_type, child_kind, child_pos, -1 FROM children
   UNION ALL SELECT payload_id, item_pos, item_type, child_kind, child_pos, leaf_pos FROM leaves"""
@@ -159,16 +159,16 @@ def _flat_sql(name: str) -> str:
     depth = group.count("[]")
     at = lambda p: "'$" + (f".{p}" if p else "") + "'"
     value = lambda p: f"CASE WHEN json_type(e, {at(p)}) NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string(e, {at(p)}) END"
-    return f"{_p4_levels()} SELECT payload_id, {', '.join(POSITIONS[:depth])}, {', '.join(f'{value(p)} AS {n}' for n, p in fields.items())} FROM {('items', 'children', 'leaves')[depth - 1]} WHERE platform = '{own}' AND path = '{group}'"
+    return f"{p4_levels()} SELECT payload_id, {', '.join(POSITIONS[:depth])}, {', '.join(f'{value(p)} AS {n}' for n, p in fields.items())} FROM {('items', 'children', 'leaves')[depth - 1]} WHERE platform = '{own}' AND path = '{group}'"
 
 
 def _p4_groups_sql() -> str:
     """Counts of every path that the levels name."""
     each = " UNION ALL ".join(f"SELECT payload_id, path FROM {x}" for x in ("items", "children", "leaves"))
-    return f"{_p4_levels()} SELECT path, count(*) AS n_rows, count(DISTINCT payload_id) AS n_payloads FROM ({each}) GROUP BY 1"
+    return f"{p4_levels()} SELECT path, count(*) AS n_rows, count(DISTINCT payload_id) AS n_payloads FROM ({each}) GROUP BY 1"
 
 
-_STATUSES = f"""{_p4_levels()}, q AS (SELECT DISTINCT payload_id, platform, payload FROM raw_payloads), f AS (SELECT payload_id, json_exists(p, '$.content') OR json_exists(p, '$.output') OR json_exists(p, '$.candidates') AS known FROM r)
+_STATUSES = f"""{p4_levels()}, q AS (SELECT DISTINCT payload_id, platform, payload FROM raw_payloads), f AS (SELECT payload_id, json_exists(p, '$.content') OR json_exists(p, '$.output') OR json_exists(p, '$.candidates') AS known FROM r)
   SELECT platform, CASE WHEN payload IS NULL THEN 'null' WHEN NOT json_valid(payload) THEN 'broken' WHEN coalesce(known, false) THEN 'read' ELSE 'no_record' END AS record_status, count(*) AS n FROM q LEFT JOIN f USING (payload_id) GROUP BY 1, 2"""
 
 

@@ -13,6 +13,7 @@ from plumbline.functions import text as tx
 from plumbline.functions.html import visible_text
 from plumbline.operators import evidence, lineage, mentions, payloads, planning, quotes, rates, spans
 from plumbline.operators.mentions import Entity
+from plumbline.plans import payload_sql
 from plumbline.streaming import answers as streaming
 
 RECOMMENDATION = ("recommendation",)
@@ -471,33 +472,35 @@ def _parsed(spark, sf):
     return payloads.parse(_t(spark, sf, "raw_payloads"))
 
 
-@query()
+@query(payload_sql.ANSWERS)
 def payload_answers(spark, sf):
+    """What each payload says of its answer, and how many sources, spans and searches it has."""
     p = _parsed(spark, sf)
     n = lambda t, c: p[t].groupBy("payload_id").agg(F.count("*").alias(c))
-    out = p["answers"].select("payload_id", "platform", F.length("answer_text").alias("n_chars"))
+    facts = [c for c in payloads.FACTS if c not in ("empty_citation_channel", "output_includes_reasoning")]
+    out = p["answers"].select("payload_id", "platform", F.length("answer_text").alias("n_chars"), *facts)
     for t, c in (("citations", "n_sources"), ("spans", "n_spans"), ("searches", "n_searches")):
         out = out.join(n(t, c), "payload_id", "left").withColumn(c, F.coalesce(c, F.lit(0)))
     return out
 
 
-@query()
+@query(payload_sql.CITATIONS)
 def payload_citations(spark, sf):
     return _parsed(spark, sf)["citations"]
 
 
-@query()
+@query(payload_sql.SPANS)
 def payload_spans(spark, sf):
     s = _parsed(spark, sf)["spans"]
     return s.select("payload_id", "platform", "span_start", "span_end", F.array_join(F.transform("citation_indexes", lambda i: i.cast("string")), ",").alias("citation_indexes"))
 
 
-@query()
+@query(payload_sql.SEARCHES)
 def payload_searches(spark, sf):
     return _parsed(spark, sf)["searches"]
 
 
-@query()
+@query(payload_sql.VERIFIED)
 def verified_platforms(spark, sf):
     return payloads.verified(_parsed(spark, sf))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import jsonstream
 from plumbline.operators import drift, nested, payloads
 
-A = {"id": "m", "content": [{"type": "text", "text": "Hi ", "citations": [{"url": "u1", "title": "t", "cited_text": "q"}]}, {"type": "text", "text": "你🙂", "citations": None}, {"type": "server_tool_use", "id": "s", "input": {"query": "find"}}, {"type": "web_search_tool_result", "tool_use_id": "s", "content": [{"url": "u1"}, {"url": "u2", "title": "two"}]}]}
+A = {"id": "m", "content": [{"type": "text", "text": "Hi ", "citations": [{"url": "u1", "title": "t", "cited_text": "q"}]}, {"type": "text", "text": "你🙂", "citations": None}, {"type": "server_tool_use", "id": "s", "name": "web_search", "input": {"query": "find"}}, {"type": "web_search_tool_result", "tool_use_id": "s", "content": [{"url": "u1"}, {"url": "u2", "title": "two"}]}]}
 O = {"output": [{"type": "web_search_call", "action": {"queries": ["q1", "q2"]}}, {"type": "message", "content": [{"type": "output_text", "text": "ab"}, {"type": "output_text", "text": "cdef", "annotations": [{"type": "url_citation", "url": "x", "start_index": 1, "end_index": 3}, {"type": "url_citation", "url": "y", "start_index": 1, "end_index": 3}, {"type": "url_citation", "url": "z", "start_index": 1, "end_index": 30}]}]}]}
 G = {"candidates": [{"finishReason": None, "content": {"parts": {"text": "你好 ok"}}, "groundingMetadata": {"groundingChunks": [{"web": {"uri": "g1"}}, {"web": {"uri": "g2"}}], "groundingSupports": [{"segment": {"endIndex": 6, "text": "你好"}, "groundingChunkIndices": [0]}, {"segment": {"endIndex": 5, "text": "你好"}, "groundingChunkIndices": [1]}], "webSearchQueries": ["w"]}}]}
 
@@ -100,6 +100,7 @@ def test_events_and_values_agree_with_the_plain_parser():
             jsonstream.json.loads = real
     deep = jsonstream.loads("[" * 30_000 + "]" * 30_000)
     assert jsonstream.dumps(deep) == "[" * 30_000 + "]" * 30_000
+    assert nested.read('{"a": [], "b": {}, "c": [ ], "d": [1]}', frozenset(), frozenset(), None, True)[1] == [("a", (), "array", "[]"), ("b", (), "object", "{}"), ("c", (), "array", "[ ]"), ("d[]", (0,), "element", None), ("d[]", (0,), "number", "1")]
     assert nested.read('{"a": [1, 2], "a": {"b": 3}, "c": null}', frozenset(), frozenset())[1] == [("a.b", (), "number", "3"), ("c", (), "null", None)]
 
 
@@ -145,6 +146,35 @@ def test_other_platforms(spark):
     assert [r.url for r in parsed(spark, "perplexity", y)["citations"].orderBy("citation_index").collect()] == ["s", "c"]
 
 
+def test_what_answers_say_of_themselves(spark):
+    a = A | {"model": "m-1", "stop_reason": "end_turn", "usage": {"input_tokens": 7, "output_tokens": True, "server_tool_use": {"web_search_requests": 1}}}
+    r = parsed(spark, "anthropic", a)["answers"].first()
+    assert (r.model, r.stop_reason, r.input_tokens, r.output_tokens, r.search_count, r.output_includes_reasoning) == ("m-1", "end_turn", 7, None, 1, True)
+    assert (r.search_ran, r.cited_sources_available, r.retrieved_set_available, r.callers, r.spans_recorded, r.spans_dropped) == (True, True, True, "unknown", True, 0)
+    r = parsed(spark, "openai", O | {"status": "incomplete", "incomplete_details": {"reason": "max_tokens"}})["answers"].first()
+    assert (r.stop_reason, r.search_ran, r.cited_sources_available, r.retrieved_set_available, r.spans_dropped, r.model) == ("max_tokens", True, True, False, 1, None)
+    r = parsed(spark, "google", G | {"usageMetadata": {"promptTokenCount": 3, "thoughtsTokenCount": -1}})["answers"].first()
+    assert (r.input_tokens, r.reasoning_tokens, r.output_includes_reasoning, r.search_count, r.cited_sources_available, r.spans_dropped) == (3, None, False, None, True, 1)
+    r = parsed(spark, "perplexity", {"choices": [{"message": {"content": "t"}, "finish_reason": "stop"}], "citations": []})["answers"].first()
+    assert (r.stop_reason, r.cited_sources_available, r.empty_citation_channel, r.output_includes_reasoning) == ("stop", True, True, None)
+    r = parsed(spark, "xai", {"choices": [{"message": {"content": "t"}}]})["answers"].first()
+    assert (r.cited_sources_available, r.search_ran, r.answer_text) == (False, False, "t")
+
+
+def test_an_answer_without_the_channel_for_citations(spark):
+    a = {"content": [{"type": "text", "text": "hi", "citations": None}, {"type": "server_tool_use", "id": "s", "name": "code", "input": {"query": "x"}}, {"type": "web_search_tool_result", "tool_use_id": "t", "content": [], "caller": {"type": "direct"}}, {"type": "server_tool_use", "id": "t", "name": "web_search", "input": {"query": "y"}}]}
+    p = parsed(spark, "anthropic", a)
+    r = p["answers"].first()
+    assert (r.search_ran, r.cited_sources_available, r.spans_recorded, r.callers) == (True, False, False, "direct")
+    assert [(x.search_no, x.search_query, x.results_count) for x in p["searches"].collect()] == [(0, "y", 0)]
+
+
+def test_more_searches_than_a_thousand(spark):
+    o = {"output": [{"type": "web_search_call", "action": {"queries": [f"q{i}" for i in range(1100)]}}, {"type": "web_search_call", "action": {"query": "last"}}]}
+    got = parsed(spark, "openai", o)["searches"].orderBy("search_no").collect()
+    assert [r.search_no for r in got] == list(range(1101)) and got[-1].search_query == "last"
+
+
 def test_verification_needs_a_cited_source(spark):
     only = {"content": [{"type": "text", "text": "hi"}, {"type": "web_search_tool_result", "content": [{"url": "u"}]}]}
     v = lambda o: [r.is_verified for r in payloads.verified(payloads.parse(frame(spark, [(1, "anthropic", json.dumps(o))]))).collect()]
