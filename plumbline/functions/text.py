@@ -57,9 +57,9 @@ def spaceless(c: Column) -> Column:
 
 
 def tokens(c: Column, by_character: Column) -> Column:
-    """Words, or single letters and digits where either side of a comparison is in a spaceless script; small letters."""
+    """Words (runs of letters, numbers of any kind and underscores; a combining mark ends one), or single letters and digits where either side of a comparison is in a spaceless script; small letters."""
     low = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
-    words = F.regexp_extract_all(low, F.lit(r"(?U)(\w+)"), 1)
+    words = F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}_]+)"), 1)
     return F.when(by_character, F.filter(F.split(low, ""), lambda x: x.rlike(r"^[\p{L}\p{N}]$"))).otherwise(words)
 
 

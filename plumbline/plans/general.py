@@ -177,4 +177,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _p4_sql(), "p4_statuses": _STATUSES, "p6_schemas": _fields_sql()} | {n: _flat_sql(n) for n in FLAT}
+    return {"p4_found": _p4_sql(), "p4_path_groups": _p4_groups_sql(), "p4_statuses": _STATUSES, "p6_schemas": _fields_sql()} | {n: _flat_sql(n) for n in FLAT}

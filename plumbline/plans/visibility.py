@@ -251,7 +251,10 @@ def supported_sources(spark, sf):
     return spans.supported(spans.validated(a, c), c).select("answer_id", "citation_index", "url", "n_spans")
 
 
-@query()
+@query(f"""{_VALID}, s AS (SELECT answer_id, answer_text, list_sort(list_transform(kept, lambda s: {{'a': s.span_start, 'b': s.span_end, 'ix': list_sort(list_distinct(s.citation_indexes))}})) AS l FROM v),
+  e AS (SELECT answer_id, answer_text, unnest(l) AS x, generate_subscripts(l, 1) AS no FROM s), f AS (SELECT answer_id, no, regexp_replace(substr(answer_text, x.a + 1, x.b - x.a), '^[\\s\\p{{Z}}\\x{{85}}]+|[\\s\\p{{Z}}\\x{{85}}]+$', '', 'g') AS t, unnest(x.ix) AS citation_index FROM e),
+  one AS (SELECT answer_id, citation_index, arg_min(t, no) AS t FROM f GROUP BY 1, 2)
+  SELECT c.answer_id, c.citation_index, CASE WHEN length(t) > 160 THEN regexp_replace(left(t, 160), '[\\s\\p{{Z}}\\x{{85}}]+$', '') || '…' ELSE t END AS first_excerpt FROM ({_C}) c JOIN one USING (answer_id, citation_index) WHERE is_cited""")
 def span_excerpts(spark, sf):
     a, c = rates.latest(_t(spark, sf, "answers"), ["answer_id"]), rates.latest(_t(spark, sf, "citations"), ["citation_id"])
     return spans.supported(spans.validated(a, c), c).where("n_spans > 0").select("answer_id", "citation_index", "first_excerpt")
@@ -308,9 +311,19 @@ def faithfulness_summary(spark, sf):
     return quotes.summary(_checked(spark, sf))
 
 
-@query()
+_SPACELESS = "[\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{2FA1F}]"
+_words = lambda c: f"regexp_extract_all(replace(lower({c}), 'ß', 'ss'), CASE WHEN by_char THEN '[\\p{{L}}\\p{{N}}]' ELSE '[\\p{{L}}\\p{{N}}_]+' END)"
+
+
+@query(f"""WITH c AS ({_C}), p AS ({_PAGE}), q AS (SELECT citation_id, url, {_normal('cited_text')} AS q FROM c WHERE is_cited AND cited_text <> ''),
+  x AS (SELECT citation_id, q, page, regexp_matches(page, '{_SPACELESS}') OR regexp_matches(q, '{_SPACELESS}') AS by_char FROM q JOIN p USING (url) WHERE fetch_status = 'ok' AND page <> ''), tok AS (SELECT citation_id, {_words('q')} AS tq, {_words('page')} AS tp FROM x),
+  need AS (SELECT citation_id, t, count(*) AS k FROM (SELECT citation_id, unnest(tq) AS t FROM tok) GROUP BY 1, 2), pos AS (SELECT citation_id, unnest(tp) AS t, generate_subscripts(tp, 1) AS i FROM tok),
+  useful AS (SELECT citation_id, t, i, k, len(tq) AS n FROM pos JOIN need USING (citation_id, t) JOIN tok USING (citation_id)),
+  win AS (SELECT a.citation_id, a.i AS s, b.t, least(count(*), any_value(b.k)) AS hit, any_value(a.n) AS n FROM (SELECT DISTINCT citation_id, i, n FROM useful) a JOIN useful b ON a.citation_id = b.citation_id AND b.i >= a.i AND b.i < a.i + a.n GROUP BY 1, 2, 3),
+  best AS (SELECT citation_id, max(h) / any_value(n) AS score FROM (SELECT citation_id, s, sum(hit) AS h, any_value(n) AS n FROM win GROUP BY 1, 2) GROUP BY 1)
+  SELECT citation_id, round(coalesce(score, 0), 4) AS score FROM tok LEFT JOIN best USING (citation_id)""")
 def quote_best_window(spark, sf):
-    """Of quotes that can be compared: the best share of words in any window of the page. Checked against a sliding count in the tests."""
+    """Of quotes that can be compared: the best share of words in any window of the page. The SQL counts every window."""
     c = _t(spark, sf, "citations").where(F.col("is_cited") & quotes.quoted())
     q = rates.latest_of(c, ["citation_id"], "url", tx.normal_quote(F.col("cited_text")).alias("quote"))
     p = quotes.page_for_url(_t(spark, sf, "fetched_pages")).where("fetch_status = 'ok' and text <> ''")
