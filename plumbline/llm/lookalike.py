@@ -11,9 +11,11 @@ an accented letter is composed, joined letters, look-alike letters of another al
 breaks, accents, strokes, raised and circled digits and the drawing of an emoji (joiners and variation selectors
 after one) are kept.
 
-Pairs: records are reduced to (raw hash, hash of the form); groups of equal form with more than one raw variant are
-found by partial aggregation, variants (not records) are paired, and only then are the records of two variants
-joined. Copies of one variant are thus never compared with each other, whatever their number.
+Pairs: records are reduced to (raw hash, hash of the form), each once; groups of equal form with more than one raw
+variant are found by partial aggregation, variants (not records) are paired, and only then are the records of two
+variants joined. Copies of one variant are thus never compared with each other, whatever their number, and no step
+relies on a join's partitioning, so that AQE may split a form or a variant that a third of all rows have. ``classes``
+gives one row for each record instead: its class of equal forms and how many records it reads like.
 
 Defined results: null texts are left out; texts that are empty in either form pair only if the raw ones differ;
 repeated rows of one id count once; an id with several texts pairs under each of them, never with itself.
@@ -253,16 +255,25 @@ def forms(sources: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
         rows = df.where(F.col(text).isNotNull()).select(F.lit(name).alias("table_name"), F.col(key).cast("long").alias("rec_id"), F.col(text).alias("text"))
         rows = rows.mapInArrow(_hashes, "table_name string, rec_id long, raw binary, form binary")
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return out.distinct()
 
 
 def pairs(hashed: DataFrame) -> DataFrame:
     """table_name, rec_a, rec_b: each pair of records that are equal in form and not in raw text."""
     group = ["table_name", "form"]
     mixed = hashed.groupBy(*group).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select(*group)
-    rows = hashed.join(mixed, group, "left_semi").distinct()
+    rows = hashed.join(mixed, group, "left_semi")
     variants = rows.select(*group, "raw").distinct()
     both = variants.withColumnRenamed("raw", "raw_a").join(variants.withColumnRenamed("raw", "raw_b"), group).where("raw_a < raw_b")
     left = both.join(rows.select(*group, F.col("raw").alias("raw_a"), F.col("rec_id").alias("a")), [*group, "raw_a"])
     out = left.join(rows.select(*group, F.col("raw").alias("raw_b"), F.col("rec_id").alias("b")), [*group, "raw_b"])
     return out.where("a <> b").select("table_name", F.least("a", "b").alias("rec_a"), F.greatest("a", "b").alias("rec_b")).distinct()
+
+
+def classes(hashed: DataFrame) -> DataFrame:
+    """table_name, rec_id, class_id (the first record of that form), n_records and n_variants of the form, n_links (records of the form in other code points): a row for each record and form. ``hashed``: see ``forms``."""
+    group = ["table_name", "form"]
+    variants = hashed.groupBy(*group, "raw").agg(F.count("*").alias("_same"), F.min("rec_id").alias("_first"))
+    forms_ = variants.groupBy(*group).agg(F.sum("_same").alias("n_records"), F.count("*").alias("n_variants"), F.min("_first").alias("class_id"))
+    out = hashed.join(variants.drop("_first"), [*group, "raw"]).join(forms_, group)
+    return out.select("table_name", "rec_id", "class_id", "n_records", "n_variants", (F.col("n_records") - F.col("_same")).alias("n_links"))

@@ -63,6 +63,10 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.pairs(cut(lookalike.forms(_reading_sources(spark, sf))))
 
 
+def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.classes(cut(lookalike.forms(_reading_sources(spark, sf))))
+
+
 def p3_forms(spark: SparkSession, sf: str) -> DataFrame:
     """The consistent form of every text, changed or not."""
     texts = [df.select(F.lit(name).alias("table_name"), F.col(key).cast("long").alias("rec_id"), F.col(text).alias("text")) for df, key, text, name in _reading_sources(spark, sf)]
@@ -151,9 +155,38 @@ def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.statistics(docs, _t(spark, sf, "common_words"), mojibake.fit(docs, rows=2000))
 
 
+def p9_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The length of each text and its lines that aren't blank."""
+    return quality.statistics(_t(spark, sf, "documents"), _t(spark, sf, "common_words")).select("doc_id", "n_chars", "n_lines")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_rates, p2_evidence, p3_found, p3_forms, p5_found, p5_classes, p5_class_pairs, p5_shares, p5_cleaned, p7_pack, p7_fill, p7_summary, p8_mix, p8_shares, p8_exact, p8_exact_shares, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_rates, p2_evidence, p3_found, p3_forms, p3_classes, p5_found, p5_classes, p5_class_pairs, p5_shares, p5_cleaned, p7_pack, p7_fill, p7_summary, p8_mix, p8_shares, p8_exact, p8_exact_shares, p9_found, p9_statistics, p9_counts)}
+
+
+# --- SQL ---
+
+_TABLES = (("documents", "doc_id", "text"), ("citations", "citation_id", "cited_text"))
+
+
+def _p5(select: str) -> str:
+    """Over every 200-gram of every distinct text. ``select`` is for each table: x_ its records and texts, t_ its distinct texts, g_ their grams, l_ the links of texts."""
+    ctes = ", ".join(
+        f"""x_{n} AS (SELECT DISTINCT {k} AS rec, {t} AS c FROM {n} WHERE {k} IS NOT NULL AND {t} IS NOT NULL), t_{n} AS (SELECT c, min(rec) AS class_id, count(*) AS n_copies FROM x_{n} WHERE length(c) >= 200 GROUP BY 1),
+    g_{n} AS (SELECT class_id, i, hash(substr(c, i, 200)) AS g FROM t_{n}, unnest(range(1, length(c) - 198)) AS r(i)), d_{n} AS (SELECT DISTINCT class_id, g FROM g_{n}), l_{n} AS (SELECT DISTINCT a.class_id AS a, b.class_id AS b FROM d_{n} a JOIN d_{n} b USING (g) WHERE a.class_id <> b.class_id)"""
+        for n, k, t in _TABLES
+    )
+    return f"WITH {ctes} " + " UNION ALL ".join(select.replace("{n}", n) for n, _, _ in _TABLES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p9_counts": "SELECT doc_id, length(text) AS n_chars, len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_full_match(x, '[\\s\\p{Z}\\x{1c}-\\x{1f}\\x{85}]*'))) AS n_lines FROM documents",
+        "p5_found": _p5("SELECT DISTINCT '{n}' AS table_name, least(a.rec, b.rec) AS rec_a, greatest(a.rec, b.rec) AS rec_b FROM (SELECT a, b FROM l_{n} UNION ALL SELECT class_id, class_id FROM t_{n} WHERE n_copies > 1) l JOIN t_{n} ta ON ta.class_id = l.a JOIN t_{n} tb ON tb.class_id = l.b JOIN x_{n} a ON a.c = ta.c JOIN x_{n} b ON b.c = tb.c WHERE a.rec <> b.rec"),
+        "p5_class_pairs": _p5("SELECT '{n}' AS table_name, a AS class_a, b AS class_b FROM l_{n} WHERE a < b"),
+        "p5_classes": _p5("SELECT '{n}' AS table_name, rec, class_id, n_copies, (SELECT count(*) FROM l_{n} WHERE a = class_id) AS n_links FROM x_{n} JOIN t_{n} USING (c)"),
+        "p5_shares": _p5(
+            """SELECT '{n}' AS table_name, rec, length(c) AS n_chars, CASE WHEN n_copies > 1 THEN length(c) ELSE coalesce(cover, 0) END::bigint AS shared_chars, round(CASE WHEN n_copies > 1 THEN length(c) ELSE coalesce(cover, 0) END / length(c), 6) AS shared_share FROM x_{n} LEFT JOIN t_{n} USING (c)
+      LEFT JOIN (SELECT class_id, sum(least(200, coalesce(i - before, 200))) AS cover FROM (SELECT class_id, i, lag(i) OVER (PARTITION BY class_id ORDER BY i) AS before FROM g_{n} WHERE g IN (SELECT g FROM d_{n} GROUP BY 1 HAVING count(*) > 1)) GROUP BY 1) USING (class_id) WHERE length(c) > 0"""
+        ),
+    }

@@ -83,3 +83,10 @@ def test_forms_of_every_text_of_all_tables(spark, sf):
     form = {(r.table_name, r.rec_id): r.normal_text for r in forms.collect()}
     for r in queries.p3_found(spark, sf).collect():
         assert form[r.table_name, r.rec_a] == form[r.table_name, r.rec_b]
+
+
+def test_classes(spark):
+    rows = [(1, "ab c"), (2, "ａb c"), (3, "ab c"), (3, "ab c"), (4, "other"), (5, None), (6, "a​b c")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = {r.rec_id: (r.class_id, r.n_records, r.n_variants, r.n_links) for r in X.classes(X.forms([(df, "id", "t", "x")])).collect()}
+    assert got == {1: (1, 4, 3, 2), 2: (1, 4, 3, 3), 3: (1, 4, 3, 2), 6: (1, 4, 3, 3), 4: (4, 1, 1, 0)}
