@@ -23,10 +23,12 @@ around the run, 200 to either side, is compared code point by code point, which
 ``classes`` gives one row for each record: its class of equal texts and how many other classes it shares a span with;
 ``class_pairs`` those links, without expanding copies.
 
-``shares`` and ``cleaned`` follow the grams and not the pairs, so that their work is proportional to the text that is
-shared, however many records share it: every 200-gram that holds a shared run meets its like, and the places of those
-that another text has too are the cover of all maximal common spans; copies are covered whole. ``cleaned`` leaves out
-what a non-first repeated span covers.
+``shares`` and ``cleaned`` never pair the texts of a hot run: every 200-gram that holds one meets its like, and the
+places of those that another text has too are covered, so that work follows the text that is shared, however many
+records share it. Pairs that meet by a run of few occurrences, at most ``HOT`` for each occurrence, are laid side by
+side, and every place of every common 200-gram is covered. Every common span holds a run of one kind or the other, so
+both together are the cover of all maximal common spans; copies are covered whole. ``cleaned`` leaves out what a
+non-first repeated span covers.
 
 Defined results: null texts and texts under the least length are left out; repeated rows of one id count once, and a
 repeat inside one record is no pair.
@@ -253,11 +255,8 @@ def _look_up(least: int):
     return run
 
 
-def _text_pairs(texts: DataFrame, least: int, hot: int = HOT) -> DataFrame:
-    """t_a, t_b: the numbers of each two different texts with a common span of at least ``least`` code points. ``texts``: see ``_distinct``."""
-    if least < WINDOW + RUN + WINDOW + GRAM:
-        raise ValueError("runs are too long for spans that short")
-    runs = _shared(texts, least)
+def _by_few(texts: DataFrame, runs: DataFrame, least: int, hot: int, grams: bool) -> tuple[DataFrame, DataFrame]:
+    """(t_a, t_b: each two texts whose common span holds a run of few occurrences, both ways round or not; rec, g: the grams around the hot runs, if they are asked for)"""
     # runs of few occurrences: the pairs within each, by diagonal
     groups = runs.where(F.col("n") <= hot).groupBy("h").agg(F.array_sort(F.collect_set(F.struct("rec", "a", "b", "before", "after"))).alias("at"))
     left = groups.select(F.posexplode("at").alias("i", "x"), "at")
@@ -277,15 +276,29 @@ def _text_pairs(texts: DataFrame, least: int, hot: int = HOT) -> DataFrame:
     open_ = judged.where(F.col("best") < least).select("rec_a", "rec_b", F.explode("lines").alias("l")).select("rec_a", "rec_b", "l.d", F.explode("l.at").alias("r")).select("rec_a", "rec_b", F.col("r.a").alias("a"), F.col("r.b").alias("b"), (F.col("r.a") - F.col("d")).alias("a2"), (F.col("r.b") - F.col("d")).alias("b2"))
     # one reading of the texts for all that is asked of them
     cold = F.lit(False).alias("hot")
-    asked = open_.select(F.col("rec_a").alias("rec"), "a", "b", cold).union(open_.select("rec_b", "a2", "b2", cold)).union(runs.where(F.col("n") > hot).select("rec", "a", "b", F.lit(True)))
+    asked = open_.select(F.col("rec_a").alias("rec"), "a", "b", cold).union(open_.select("rec_b", "a2", "b2", cold))
+    if grams:
+        asked = asked.union(runs.where(F.col("n") > hot).select("rec", "a", "b", F.lit(True)))
     wanted = asked.groupBy("rec").agg(F.collect_set(F.struct("a", "b", "hot")).alias("wanted"))
     answers = cut(texts.join(wanted, "rec").mapInArrow(_look_up(least), "rec long, a int, left int, near string, g long").distinct())
     near = answers.where("near is not null").select("rec", "a", "left", "near")
     one = near.select(F.col("rec").alias("rec_a"), "a", F.col("left").alias("left_a"), F.col("near").alias("near_a"))
     two = near.select(F.col("rec").alias("rec_b"), F.col("a").alias("a2"), F.col("left").alias("left_b"), F.col("near").alias("near_b"))
     checked = open_.join(one, ["rec_a", "a"]).join(two, ["rec_b", "a2"]).withColumn("length", F.col("b") - F.col("a")).mapInArrow(_settle(least), "rec_a long, rec_b long")
+    few = proven.union(checked).select(F.least("rec_a", "rec_b").alias("t_a"), F.greatest("rec_a", "rec_b").alias("t_b")).distinct()
+    return few, answers.where("g is not null").select("rec", "g")
+
+
+def _runs_of(texts: DataFrame, least: int) -> DataFrame:
+    if least < WINDOW + RUN + WINDOW + GRAM:
+        raise ValueError("runs are too long for spans that short")
+    return _shared(texts, least)
+
+
+def _text_pairs(texts: DataFrame, least: int, hot: int = HOT) -> DataFrame:
+    """t_a, t_b: the numbers of each two different texts with a common span of at least ``least`` code points. ``texts``: see ``_distinct``."""
+    few, grams = _by_few(texts, _runs_of(texts, least), least, hot, True)
     # runs of many occurrences: classes of equal grams
-    grams = answers.where("g is not null").select("rec", "g")
     twice = grams.groupBy("g").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi")).where("lo <> hi").select("g")
     classed = cut(grams.join(twice, "g", "left_semi").groupBy("rec").agg(F.array_sort(F.collect_set("g")).alias("gs")).withColumn("c", F.xxhash64("gs")))
     member = classed.select("rec", "c")
@@ -294,7 +307,7 @@ def _text_pairs(texts: DataFrame, least: int, hot: int = HOT) -> DataFrame:
     left, right = member.select(F.col("rec").alias("rec_a"), F.col("c").alias("c_a")), member.select(F.col("rec").alias("rec_b"), F.col("c").alias("c_b"))
     within = left.join(right, F.col("c_a") == F.col("c_b")).where("rec_a < rec_b").select("rec_a", "rec_b")
     across = meet.join(left, "c_a").join(right, "c_b").select("rec_a", "rec_b")
-    return proven.union(checked).union(within).union(across).select(F.least("rec_a", "rec_b").alias("t_a"), F.greatest("rec_a", "rec_b").alias("t_b")).distinct()
+    return few.toDF("rec_a", "rec_b").union(within).union(across).select(F.least("rec_a", "rec_b").alias("t_a"), F.greatest("rec_a", "rec_b").alias("t_b")).distinct()
 
 
 def pairs(df: DataFrame, key: str, text: str, least: int = LEAST, hot: int = HOT) -> DataFrame:
@@ -343,43 +356,74 @@ def _gram_places(least: int):
     return run
 
 
-def _cover(least: int):
-    """The union of the spans that begin at the places of a text, as ranges, and its length."""
+def _common_ranges(least: int):
+    """Where two texts are covered by their common spans of at least ``least``: both ways round."""
+
+    def ranges(here: np.ndarray, there: np.ndarray) -> list[dict]:
+        hit = np.concatenate([[False], np.isin(here, there), [False]])
+        edge = np.nonzero(hit[1:] != hit[:-1])[0].tolist()
+        return [{"a": x, "b": y - 1 + least} for x, y in zip(edge[::2], edge[1::2], strict=True)]  # starts of common grams from x to y
+
+    def grams(t: str) -> np.ndarray:
+        at = np.arange(len(t) - least + 1)
+        return Hashed(t).of(at, at + least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         for b in batches:
-            ranges = []
-            for places in b.column("places").to_pylist():
-                a = np.array(sorted(places), np.int64)
-                new = np.concatenate([[True], a[1:] > a[:-1] + least])
-                first = np.nonzero(new)[0]
-                last = np.append(first[1:] - 1, len(a) - 1)
-                ranges.append([{"a": x, "b": y} for x, y in zip(a[first].tolist(), (a[last] + least).tolist(), strict=True)])
-            total = [sum(r["b"] - r["a"] for r in x) for x in ranges]
-            yield pa.RecordBatch.from_arrays([b.column("t"), pa.array(ranges, at), pa.array(total, pa.int64())], names=["t", "at", "shared_chars"])
+            col = lambda n: b.column(n).to_pylist()  # noqa: B023, E731
+            t, other, found = [], [], []
+            for t_a, t_b, x, y in zip(col("t_a"), col("t_b"), col("x"), col("y"), strict=True):
+                x, y = grams(x), grams(y)
+                t += [t_a, t_b]
+                other += [t_b, t_a]
+                found += [ranges(x, y), ranges(y, x)]
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(other, pa.int64()), pa.array(found, at)], names=["t", "other", "at"])
 
     return run
 
 
-def _covered(texts: DataFrame, owners: DataFrame, least: int, earlier: bool) -> DataFrame:
+def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The union of a text's ranges, as ranges that don't meet, and its length."""
+    at = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    for batch in batches:
+        ranges = []
+        for given in batch.column("given").to_pylist():
+            out: list[dict] = []
+            for r in sorted(given, key=lambda r: r["a"]):
+                if out and r["a"] <= out[-1]["b"]:
+                    out[-1]["b"] = max(out[-1]["b"], r["b"])
+                else:
+                    out.append(r)
+            ranges.append(out)
+        total = [sum(r["b"] - r["a"] for r in x) for x in ranges]
+        yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(ranges, at), pa.array(total, pa.int64())], names=["t", "at", "shared_chars"])
+
+
+def _covered(texts: DataFrame, owners: DataFrame, least: int, earlier: bool, hot: int = HOT) -> DataFrame:
     """t, at, shared_chars: the ranges of each text that are in spans of at least ``least`` which another text has too; ``earlier``: one with an earlier first record.
 
     A text's places are at most its length, so the list of them is its own size.
     """
-    ranges = _shared(texts, least).groupBy("rec").agg(F.collect_set(F.struct("a", "b")).alias("at"))
-    grams = texts.join(ranges, "rec").select("rec", "text", "at").mapInArrow(_gram_places(least), "t long, g long, a int")
-    grams = stored(grams.join(owners.select("t", "owner"), "t"))
+    runs, owner = _runs_of(texts, least), owners.select("t", "owner")
+    few, _ = _by_few(texts, runs, least, hot, False)
+    one, two = texts.toDF("t_a", "x"), texts.toDF("t_b", "y")
+    beside = few.join(one, "t_a").join(two, "t_b").select("t_a", "t_b", "x", "y").mapInArrow(_common_ranges(least), "t long, other long, at array<struct<a: int, b: int>>")
+    if earlier:
+        beside = beside.join(owner, "t").join(owner.toDF("other", "other_owner"), "other").where("other_owner < owner")
+    around = runs.where(F.col("n") > hot).groupBy("rec").agg(F.collect_set(F.struct("a", "b")).alias("at"))
+    grams = stored(texts.join(around, "rec").select("rec", "text", "at").mapInArrow(_gram_places(least), "t long, g long, a int").join(owner, "t"))
     by = grams.groupBy("g").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.min("owner").alias("first")).where("lo <> hi").select("g", "first")
     kept = grams.join(by, "g").where(F.col("first") < F.col("owner") if earlier else F.lit(True))
-    return kept.groupBy("t").agg(F.collect_list("a").alias("places")).mapInArrow(_cover(least), "t long, at array<struct<a: int, b: int>>, shared_chars long")
+    given = beside.select("t", F.explode("at").alias("r")).union(kept.select("t", F.struct(F.col("a"), (F.col("a") + least).alias("b"))))
+    return given.groupBy("t").agg(F.collect_set("r").alias("given")).mapInArrow(_cover, "t long, at array<struct<a: int, b: int>>, shared_chars long")
 
 
-def shares(df: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
+def shares(df: DataFrame, key: str, text: str, least: int = LEAST, hot: int = HOT) -> DataFrame:
     """rec, n_chars, shared_chars, shared_share: how much of each record lies in spans of at least ``least`` code points that other records have too. Records under ``least`` share nothing; empty and null texts have no row."""
     texts, holders = _distinct(_texts(df, key, text, least))
     owners = cut(_owners(holders))
-    by_text = owners.join(_covered(texts, owners, least, False), "t", "left").select("t", "n", "shared_chars")
+    by_text = owners.join(_covered(texts, owners, least, False, hot), "t", "left").select("t", "n", "shared_chars")
     shared = holders.join(by_text, "t").select("rec", "n", "shared_chars")
     sizes = _texts(df, key, text, 1).select("rec", F.length("text").cast("long").alias("n_chars")).groupBy("rec").agg(F.max("n_chars").alias("n_chars"))
     out = sizes.join(shared.groupBy("rec").agg(F.max("n").alias("n"), F.max("shared_chars").alias("shared_chars")), "rec", "left")
@@ -387,11 +431,11 @@ def shares(df: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
     return out.select("rec", "n_chars", "shared_chars", F.round(F.col("shared_chars") / F.col("n_chars"), 6).alias("shared_share"))
 
 
-def cleaned(df: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
+def cleaned(df: DataFrame, key: str, text: str, least: int = LEAST, hot: int = HOT) -> DataFrame:
     """rec, text: each record without the stretches that a span of at least ``least`` code points covers which another, earlier record (lesser id) has too. A copy of an earlier record is empty."""
     texts, holders = _distinct(_texts(df, key, text, least))
     owners = cut(_owners(holders))
-    cuts = _covered(texts, owners, least, True).join(owners, "t").select(F.col("owner").alias("rec"), F.col("at").alias("cut"))
+    cuts = _covered(texts, owners, least, True, hot).join(owners, "t").select(F.col("owner").alias("rec"), F.col("at").alias("cut"))
     copies = holders.join(owners.where("n > 1"), "t").where("owner < rec").select("rec", F.lit(True).alias("copy")).distinct()
     all_ = _texts(df, key, text, 0).dropDuplicates(["rec"]).join(cuts, "rec", "left").join(copies, "rec", "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

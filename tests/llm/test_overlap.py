@@ -110,7 +110,8 @@ def test_shares_and_cleaning(spark):
     assert c[1] == shared and c[3] == rows[2][1] and rest in c[2][: len(rest) + 1] and len(c[2]) < len(rest) + 0.15 * len(shared)
 
 
-def test_shares_and_cleaning_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [X.HOT, 2, 1])
+def test_shares_and_cleaning_against_brute_force(spark, hot):
     rng = random.Random(17)
     rows = dict(list(corpus(5).items())[40:110])
     span, sentence = words(rng, 60)[:200], words(rng, 20)[:80]
@@ -121,10 +122,10 @@ def test_shares_and_cleaning_against_brute_force(spark):
         hit = [t[k : k + 200] in grams for k in range(max(0, len(t) - 199))]
         return [any(hit[max(0, k - 199) : k + 1]) for k in range(len(t))]
 
-    s = {r.rec: (r.n_chars, r.shared_chars) for r in X.shares(frame(spark, rows), "id", "body").collect()}
+    s = {r.rec: (r.n_chars, r.shared_chars) for r in X.shares(frame(spark, rows), "id", "body", 200, hot).collect()}
     assert s == {i: (len(t), sum(cover(i, [u for j, u in rows.items() if j != i]))) for i, t in rows.items()}
     assert s[201][1] == 400 and s[202][1] == s[203][1] == 0
-    c = {r.rec: r.text for r in X.cleaned(frame(spark, rows), "id", "body").collect()}
+    c = {r.rec: r.text for r in X.cleaned(frame(spark, rows), "id", "body", 200, hot).collect()}
     assert c == {i: "".join(x for x, gone in zip(t, cover(i, [u for j, u in rows.items() if j < i]), strict=True) if not gone) for i, t in rows.items()}
 
 
