@@ -127,6 +127,16 @@ def parse(doc: dict) -> Config:
     return Config(entities, owned, questions, tuple(d.get("recommendation_intents") or ("recommendation",)), engines, d["repeats"], prompts["version"])
 
 
+def selected_engines(config: Config, requested: str | None) -> tuple[str, ...]:
+    """The engines of a list with commas in order of the configuration; all without a list."""
+    if not requested:
+        return config.engines
+    names = {n.strip() for n in requested.split(",") if n.strip()}
+    if unknown := names - set(config.engines):
+        raise ConfigError(f"not configured: {', '.join(sorted(unknown))}")
+    return tuple(e for e in config.engines if e in names)
+
+
 def load(path: str | Path) -> Config:
     text = Path(path).read_text(encoding="utf-8")
     if str(path).endswith((".yaml", ".yml")):

@@ -89,6 +89,23 @@ def completeness(settled: DataFrame) -> DataFrame:
     return settled.where("planned > 0").groupBy("run_id").agg(F.count("*").alias("engines"), F.count_if(full).alias("engines_whole"), F.sum("planned").alias("planned"), F.sum("done").alias("done"), F.bool_and(full).alias("whole"))
 
 
+def asked_engines(manifests: DataFrame) -> DataFrame:
+    """run_id, engine, ask_status, planned, done, failed as the manifests note them, a row for each engine of a run."""
+    m = manifests.dropDuplicates(["run_id"]).where("engines is not null")
+    return m.select("run_id", F.explode("engines").alias("engine", "e")).select("run_id", "engine", "e.ask_status", "e.planned", "e.done", "e.failed")
+
+
+def notices(manifests: DataFrame) -> DataFrame:
+    """By run: how many calls are planned and done, and which engines were not asked, as noted."""
+    skipped = F.coalesce(F.col("ask_status").startswith("skipped"), F.lit(False))
+    return asked_engines(manifests).groupBy("run_id").agg(F.sum("planned").alias("planned"), F.sum("done").alias("done"), F.array_join(F.array_sort(F.collect_set(F.when(skipped, F.col("engine")))), ",").alias("not_asked"))
+
+
+def with_metrics(manifests: DataFrame, counted: DataFrame) -> DataFrame:
+    """Every engine of every run with its counts (run_id, engine, ...): one that gave no answer has null and not 0."""
+    return asked_engines(manifests).select("run_id", "engine").join(counted, ["run_id", "engine"], "left")
+
+
 def changed_prompts(manifests: DataFrame, same: Iterable[str] = ("brand", "v")) -> DataFrame:
     """run_id, n_earlier, earlier: live runs whose prompt set has the version (v) of earlier live runs of the brand, but another hash than theirs; how many, and the first.
 

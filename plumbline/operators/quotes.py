@@ -6,7 +6,7 @@ found, by an ordered list of reasons.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
@@ -96,6 +96,17 @@ def gap_rows(answers: DataFrame, citations: DataFrame, pages: DataFrame) -> Data
     return rows.select("citation_id", "answer_id", "platform", "domain", "corpus", "fetch_status", why.isNull().alias("comparable"), why.alias("not_comparable_reason"), "cited_text_len", "fetched_text_len", F.round(delay, 3).alias("fetch_delay_seconds"))
 
 
+#: quotes that stand on their pages: if these don't match, no 'not found' can be believed
+CONTROLS = (("zh", "水壶非常耐用", "测评：这款水壶非常耐用，值得推荐。"), ("en", "a three year warranty", "Every kettle comes with a three year warranty."))
+
+
+def controls(spark: SparkSession) -> DataFrame:
+    """label, exact_match, score of the known good pairs."""
+    rows = spark.createDataFrame(CONTROLS, "label string, quote string, page string")
+    scores = window_scores(rows.select("label", "quote", F.col("label").alias("at")), rows.select(F.col("label").alias("at"), "page"), "label", "quote", "at", "page")
+    return rows.select("label", F.contains("page", "quote").alias("exact_match")).join(scores, "label")
+
+
 def window_scores(quotes: DataFrame, pages: DataFrame, key: str, quote: str, at: str, page: str) -> DataFrame:
     """key, score: the largest share of a quote's words found, as a multiset, in any window of its page (the one with the same ``at``) as long as the quote.
 

@@ -8,12 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import folding, hosts, stats
+from plumbline.functions import folding, hosts, requests, stats
 from plumbline.functions import text as tx
 from plumbline.functions.html import visible_text
-from plumbline.operators import evidence, lineage, mentions, payloads, planning, quotes, rates, spans
+from plumbline.operators import evidence, fixtures, lineage, mentions, payloads, planning, quotes, rates, spans
 from plumbline.operators.mentions import Entity
 from plumbline.plans import payload_sql
+from plumbline.sources import records
 from plumbline.streaming import answers as streaming
 
 RECOMMENDATION = ("recommendation",)
@@ -466,6 +467,52 @@ def fixture_answers(spark, sf):
     return r.select("query_text", "engine", "repeat_no", F.get("variants", F.pmod("repeat_no", F.size("variants"))).alias("n_chars"))
 
 
+_ENGINES = ("anthropic", "google", "openai")
+
+
+@query(f"""WITH a AS (SELECT DISTINCT ON (query_text, engine, repeat_no) query_text, engine, repeat_no, answer_id, length(answer_text) AS n, token_usage.input_tokens AS tok FROM ({_A}) WHERE NOT coalesce(params.no_fixture, false) ORDER BY query_text, engine, repeat_no, answer_id), v AS (SELECT query_text, engine, list({{'id': answer_id, 'n': n, 'tok': tok}} ORDER BY repeat_no) AS variants FROM a GROUP BY 1, 2),
+  asked AS (SELECT query_text, engine, r.repeat_no::int AS repeat_no FROM (SELECT DISTINCT query_text FROM answers), unnest({list(_ENGINES)!r}) AS e(engine), unnest(range(4)) AS r(repeat_no)),
+  c AS (SELECT *, coalesce(is_cited, false) AS cited, row_number() OVER (PARTITION BY answer_id ORDER BY citation_index, citation_id) AS no, sum(coalesce(is_cited, false)::int) OVER (PARTITION BY answer_id ORDER BY citation_index, citation_id) - 1 AS ordinal FROM ({_C})), o AS (SELECT answer_id, string_agg(CASE WHEN cited THEN ordinal::varchar ELSE '-' END, ',' ORDER BY no) AS cited_order FROM c GROUP BY 1),
+  x AS (SELECT query_text, engine, repeat_no, variants IS NULL AS no_fixture, variants[repeat_no % len(variants) + 1] AS v FROM asked LEFT JOIN v USING (query_text, engine))
+  SELECT query_text, engine, repeat_no, no_fixture, v.id AS answer_id, v.n::int AS n_chars, v.tok AS input_tokens, cited_order FROM x LEFT JOIN o ON o.answer_id = v.id""")
+def fixture_replay(spark, sf):
+    """Every question put to every engine four times, answered from what is recorded; placeholders where nothing is."""
+    a = _t(spark, sf, "answers")
+    recorded = rates.latest_of(a.where(~rates.is_placeholder()), ["answer_id"], "query_text", "engine", "repeat_no", F.length("answer_text").alias("n_chars"), F.col("token_usage.input_tokens").alias("input_tokens"))
+    asked = a.select("query_text").distinct().withColumn("engine", F.explode(F.array(*map(F.lit, _ENGINES)))).withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    orders = fixtures.cited_order(rates.latest_of(_t(spark, sf, "citations"), ["citation_id"], "answer_id", "citation_index", "is_cited"))
+    return fixtures.replay(asked, recorded, "answer_id", "n_chars", "input_tokens").join(orders, "answer_id", "left")
+
+
+_TURN = "[{'role': 'user', 'content': query_text}]"
+
+
+@query(f"""SELECT DISTINCT engine, CASE engine WHEN 'anthropic' THEN '{{"model":' || to_json(model_requested) || ',"max_tokens":{requests.MOST_TOKENS},"tools":{requests.ANTHROPIC_SEARCH},"messages":' || to_json({_TURN}) || '}}'
+  WHEN 'openai' THEN '{{"model":' || to_json(model_requested) || ',"tools":{requests.OPENAI_SEARCH},"input":' || to_json({_TURN}) || '}}'
+  WHEN 'google' THEN '{{"contents":' || to_json([{{'role': 'user', 'parts': [{{'text': query_text}}]}}]) || ',"tools":{requests.GOOGLE_SEARCH}}}' END AS body FROM answers WHERE model_requested IS NOT NULL AND query_text IS NOT NULL""")
+def request_bodies(spark, sf):
+    a = _t(spark, sf, "answers").where("model_requested is not null and query_text is not null").select("engine", "model_requested", "query_text").distinct()
+    return a.select("engine", requests.request_body(F.col("engine"), F.col("model_requested"), F.col("query_text")).alias("body")).distinct()
+
+
+@query("SELECT * FROM (VALUES ('zh', true, 1.0), ('en', true, 1.0)) t(label, exact_match, score)")
+def instrument_controls(spark, sf):
+    """Known good pairs of quote and page."""
+    return quotes.controls(spark)
+
+
+@query("WITH m AS (SELECT DISTINCT ON (run_id) run_id, engines FROM run_manifests), e AS (SELECT run_id, unnest(map_entries(engines)) AS x FROM m) SELECT run_id, sum(x.value.planned)::bigint AS planned, sum(x.value.done)::bigint AS done, coalesce(string_agg(DISTINCT x.key, ',' ORDER BY x.key) FILTER (x.value.ask_status LIKE 'skipped%'), '') AS not_asked FROM e GROUP BY 1")
+def run_notices(spark, sf):
+    return planning.notices(_t(spark, sf, "run_manifests"))
+
+
+@query(f"WITH m AS (SELECT DISTINCT ON (run_id) run_id, engines FROM run_manifests), e AS (SELECT run_id, unnest(map_keys(engines)) AS engine FROM m), n AS (SELECT run_id, engine, count(*) AS answers, count(*) FILTER (intent = 'recommendation') AS recommendations FROM ({_A}) WHERE NOT coalesce(params.no_fixture, false) GROUP BY 1, 2) SELECT run_id, engine, answers, recommendations FROM e LEFT JOIN n USING (run_id, engine)")
+def configured_engines(spark, sf):
+    """Every engine of every run with what it gave: null, and not 0, for one that gave nothing."""
+    a = rates.latest_of(_t(spark, sf, "answers").where(~rates.is_placeholder()), ["answer_id"], "run_id", "engine", "intent")
+    return planning.with_metrics(_t(spark, sf, "run_manifests"), a.groupBy("run_id", "engine").agg(F.count("*").alias("answers"), F.count_if(F.col("intent") == "recommendation").alias("recommendations")))
+
+
 @query(f"SELECT engine, count(*) FILTER (contains(lower(answer_text), 'kettle')) AS c, count(*) AS n FROM ({_A}) WHERE NOT coalesce(params.no_fixture, false) GROUP BY 1")
 def arriving_answer_counts(spark, sf):
     """The engines' counts after a stream of answer files has been read to its end; re-deliveries count once."""
@@ -513,6 +560,16 @@ def payload_searches(spark, sf):
     return _parsed(spark, sf)["searches"]
 
 
+@query(payload_sql.RECORDS.replace("{_A}", _A))
+def answer_records(spark, sf):
+    """The stored record of each payload that was read, for the call that its answer belongs to."""
+    p = rates.latest(_t(spark, sf, "raw_payloads"), ["payload_id"])
+    calls = rates.latest_of(_t(spark, sf, "answers"), ["answer_id"], "run_id", "engine", "query_index", "repeat_no", "model_requested", "query_text", "intent", "requested_at", "observed_at", "prompt_set_version", "prompt_set_hash")
+    r = records.answer_records(p.select("payload_id", "answer_id", "payload").join(calls, "answer_id"), payloads.parse(p))
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).cast("long").alias(f"n_{c}")
+    return r.select("payload_id", "schema", "run_id", "engine", "query_index", "repeat_no", "model", "model_reported_by_platform", "stop_reason", "prompt_set_version", size("citations"), size("spans"), F.col("usage.output_tokens").alias("output_tokens"), "raw_status", "raw_sha256", "raw_bytes")
+
+
 @query(payload_sql.VERIFIED)
 def verified_platforms(spark, sf):
     return payloads.verified(_parsed(spark, sf))

@@ -1,10 +1,11 @@
+import json
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import addresses, folding, hosts, html, stats
+from plumbline.functions import addresses, folding, hosts, html, requests, robots, stats
 from plumbline.functions import text as tx
 
 
@@ -117,3 +118,25 @@ def test_markdown_cell(spark):
 
 def test_rates_never_divide_by_zero(spark):
     assert math.isfinite(one(spark, stats.metric("m", F.lit(1), F.lit(1))[2].alias("x")).x)
+
+
+def test_robots(spark):
+    rules = "User-agent: *\nDisallow: /private\n\nUser-agent: reader\nAllow: /\n"
+    assert robots.allows("https://a.example/private/x", 200, rules, "other") is False and robots.allows("https://a.example/private/x", 200, rules, "reader") is True
+    assert robots.allows("https://a.example/", 503, None, "other") is False and robots.allows("https://a.example/", 404, "Disallow", "other") is True
+    assert robots.allows("https://a.example/", None, None, "other") is True and robots.allows(None, 200, rules, "other") is None
+    urls = spark.createDataFrame([("https://a.example/private/1", 1), ("https://b.example/x", 2), ("https://c.example/", 3), (None, 4)], "url string, _body2 int")
+    sites = spark.createDataFrame([("https://a.example", 200, rules), ("https://b.example", 500, None)], "origin string, http_status int, body string")
+    assert {r.url: r.may_fetch for r in robots.allowed(urls, sites, "other").collect()} == {"https://a.example/private/1": False, "https://b.example/x": False, "https://c.example/": True, None: None}
+
+
+def test_request_bodies(spark):
+    df = spark.createDataFrame([(p, 'quote " and \\ and 你') for p in ("anthropic", "openai", "google", "xai", "perplexity", "other")], "p string, q string")
+    got = {r.p: r.b and json.loads(r.b) for r in df.select("p", requests.request_body(F.col("p"), F.lit("m-1"), F.col("q")).alias("b")).collect()}
+    turn = [{"role": "user", "content": 'quote " and \\ and 你'}]
+    assert got["other"] is None and got["perplexity"] == {"model": "m-1", "messages": turn}
+    assert got["anthropic"]["messages"] == got["openai"]["input"] == got["xai"]["messages"] == turn
+    assert got["google"] == {"contents": [{"role": "user", "parts": [{"text": turn[0]["content"]}]}], "tools": [{"google_search": {}}]}
+    assert got["anthropic"]["tools"][0]["allowed_callers"] == ["direct"] and got["xai"]["search_parameters"]["return_citations"] is True
+    plain = df.select("p", requests.request_body(F.col("p"), F.lit("m-1"), F.col("q"), False).alias("b")).where("p = 'google'").first()
+    assert "tools" not in json.loads(plain.b)

@@ -1,7 +1,10 @@
 import json
 
-from plumbline.operators import rates
-from plumbline.sources import runs
+import pytest
+from pyspark.sql import functions as F
+
+from plumbline.operators import fixtures, payloads, rates
+from plumbline.sources import records, runs
 from plumbline.streaming import answers as stream
 
 
@@ -56,3 +59,32 @@ def test_stream_counts_each_answer_once(spark, sf, tmp_path):
     want = {r.engine: r["count"] for r in table.dropDuplicates(["answer_id"]).where("not coalesce(params.no_fixture, false)").groupBy("engine").count().collect()}
     assert got == want
     assert {r.mention_n for r in stream.rates(spark.table("counts")).collect()} == set(want.values())
+
+
+def test_manifests_and_run_ids(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        records.read_manifest(tmp_path)
+    records.write_manifest(tmp_path, {"run_id": "r", "brand": "é"})
+    assert records.read_manifest(tmp_path) == {"schema": "manifest-1", "run_id": "r", "brand": "é"} and [f.name for f in tmp_path.iterdir()] == ["manifest.json"]
+    assert spark.sql("select timestamp'2026-03-04 05:06:07' as started_at").select(records.run_id().alias("x")).first().x == "20260304T050607Z"
+
+
+def test_records_are_written_and_read_back(spark, tmp_path):
+    payload = json.dumps({"model": "m", "content": [{"type": "text", "text": "Hi 你", "citations": [{"url": "https://a.example/x"}]}, {"type": "web_search_tool_result", "content": []}], "usage": {"input_tokens": 3}})
+    calls = spark.createDataFrame([(1, "r", "anthropic", 0, 2, "m-0", "q?", "i", "2026-01-01", "2026-01-02", 1, "h", payload)], "payload_id long, run_id string, engine string, query_index int, repeat_no int, model_requested string, query_text string, intent string, requested_at string, observed_at string, prompt_set_version int, prompt_set_hash string, payload string")
+    parsed = payloads.parse(calls.select("payload_id", F.col("engine").alias("platform"), "payload"))
+    rows = records.answer_records(calls, parsed)
+    r = rows.first()
+    assert (r.answer_text, r.model, r.citations[0].url, r.citations[0].position, r.spans[0].end, r.searches, r.usage.input_tokens, r.raw_status) == ("Hi 你", "m", "https://a.example/x", 0, 4, None, 3, "kept")
+    for _ in range(2):
+        records.write_records(rows, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 1
+    failed = spark.createDataFrame([("r", "anthropic", 0, 2, "t", "Timeout", None), ("r", "anthropic", 1, 0, "t", "Timeout", "m"), ("r", "anthropic", 1, 0, "t", "Timeout", "m")], "run_id string, engine string, query_index int, repeat_no int, requested_at string, error_type string, error_message string")
+    assert [(e.query_index, e.schema, e.message) for e in records.still_failed(records.error_records(failed), rows).collect()] == [(1, "error-1", "m")]
+
+
+def test_replay_of_recorded_answers(spark):
+    recorded = spark.createDataFrame([("q", "e", 0, 5, 10), ("q", "e", 0, 6, 11), ("q", "e", 3, 7, 12)], "query_text string, engine string, repeat_no int, answer_id long, n int")
+    asked = spark.createDataFrame([("q", "e", i) for i in range(3)] + [("other", "e", 0)], "query_text string, engine string, repeat_no int")
+    got = {(r.query_text, r.repeat_no): (r.no_fixture, r.answer_id, r.n) for r in fixtures.replay(asked, recorded, "answer_id", "n").collect()}
+    assert got == {("q", 0): (False, 5, 10), ("q", 1): (False, 7, 12), ("q", 2): (False, 5, 10), ("other", 0): (True, None, None)}
