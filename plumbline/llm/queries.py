@@ -185,6 +185,10 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": _p5("SELECT DISTINCT '{n}' AS table_name, least(a.rec, b.rec) AS rec_a, greatest(a.rec, b.rec) AS rec_b FROM (SELECT a, b FROM l_{n} UNION ALL SELECT class_id, class_id FROM t_{n} WHERE n_copies > 1) l JOIN t_{n} ta ON ta.class_id = l.a JOIN t_{n} tb ON tb.class_id = l.b JOIN x_{n} a ON a.c = ta.c JOIN x_{n} b ON b.c = tb.c WHERE a.rec <> b.rec"),
         "p5_class_pairs": _p5("SELECT '{n}' AS table_name, a AS class_a, b AS class_b FROM l_{n} WHERE a < b"),
         "p5_classes": _p5("SELECT '{n}' AS table_name, rec, class_id, n_copies, (SELECT count(*) FROM l_{n} WHERE a = class_id) AS n_links FROM x_{n} JOIN t_{n} USING (c)"),
+        "p5_cleaned": _p5(
+            """SELECT '{n}' AS table_name, rec, CASE WHEN class_id < rec THEN '' ELSE coalesce(kept, '') || coalesce(substr(c, reach + 1), c) END AS text FROM x_{n} LEFT JOIN t_{n} USING (c)
+      LEFT JOIN (SELECT class_id, string_agg(substr(c, before + 1, i - 1 - before), '' ORDER BY i) FILTER (i > before) AS kept, max(i + 199) AS reach FROM (SELECT class_id, i, coalesce(lag(i + 199) OVER (PARTITION BY class_id ORDER BY i), 0) AS before FROM g_{n} JOIN (SELECT g, min(class_id) AS first FROM d_{n} GROUP BY 1) f USING (g) WHERE first < class_id) JOIN t_{n} USING (class_id) GROUP BY 1) USING (class_id)"""
+        ),
         "p5_shares": _p5(
             """SELECT '{n}' AS table_name, rec, length(c) AS n_chars, CASE WHEN n_copies > 1 THEN length(c) ELSE coalesce(cover, 0) END::bigint AS shared_chars, round(CASE WHEN n_copies > 1 THEN length(c) ELSE coalesce(cover, 0) END / length(c), 6) AS shared_share FROM x_{n} LEFT JOIN t_{n} USING (c)
       LEFT JOIN (SELECT class_id, sum(least(200, coalesce(i - before, 200))) AS cover FROM (SELECT class_id, i, lag(i) OVER (PARTITION BY class_id ORDER BY i) AS before FROM g_{n} WHERE g IN (SELECT g FROM d_{n} GROUP BY 1 HAVING count(*) > 1)) GROUP BY 1) USING (class_id) WHERE length(c) > 0"""
