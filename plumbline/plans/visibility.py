@@ -13,7 +13,7 @@ from plumbline.functions import text as tx
 from plumbline.functions.html import visible_text
 from plumbline.operators import evidence, fixtures, lineage, mentions, payloads, planning, quotes, rates, spans
 from plumbline.operators.mentions import Entity
-from plumbline.plans import payload_sql
+from plumbline.plans import mention_sql, payload_sql
 from plumbline.sources import records
 from plumbline.streaming import answers as streaming
 
@@ -159,7 +159,7 @@ def alias_occurrences(spark, sf):
     return each.groupBy("x.needle").agg(F.count("*").alias("n_answers"), F.sum("x.found").alias("n_found"))
 
 
-@query()
+@query(mention_sql.mentions(_A, ENTITIES, _folded))
 def entity_mentions(spark, sf):
     return mentions.mentions(_t(spark, sf, "answers"), ["answer_id"], "answer_text", ENTITIES)
 
@@ -175,7 +175,7 @@ def unknown_entities(spark, sf):
     return mentions.unknown_entities(_t(spark, sf, "answers"), ["answer_id"], "answer_text", ENTITIES).distinct()
 
 
-@query()
+@query(mention_sql.sentences(_A, ENTITIES, _folded, "[\\s\\p{Z}\\x{85}]"))
 def brand_sentences(spark, sf):
     s = mentions.sentences(_t(spark, sf, "answers"), ["answer_id"], "answer_text", ENTITIES).where("sentence is not null")
     return rates.latest(s, ["answer_id"]).select("answer_id", "sentence", F.size("highlights").alias("n_highlights"), F.size(mentions.segments(F.col("sentence"), F.col("highlights"))).alias("n_segments"))
@@ -267,10 +267,15 @@ def recorded_statuses(spark, sf):
     return a.groupBy("engine", spans.spans_status(F.col("spans")).alias("spans_status"), spans.searches_status(F.col("searches"), F.col("params.search_ran")).alias("searches_status")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT answer_id, octet_length(encode(answer_text)) AS n_bytes, length(answer_text) AS n_points FROM ({_A})")
+@query(f"""WITH t AS (SELECT answer_id, answer_text AS t, octet_length(encode(answer_text)) AS n FROM ({_A}) WHERE answer_text IS NOT NULL), b AS (SELECT answer_id, n, list_transform(range(0, length(t) + 1), lambda i: octet_length(encode(left(t, i)))) AS starts FROM t)
+  SELECT DISTINCT answer_id, (n * r.k // 16)::bigint AS byte_at, (list_position(starts, n * r.k // 16) - 1)::bigint AS point_at FROM b, unnest(range(17)) AS r(k)""")
 def byte_to_code_point(spark, sf):
-    n = F.octet_length("answer_text")
-    return rates.latest_of(_t(spark, sf, "answers"), ["answer_id"], n.cast("long").alias("n_bytes"), tx.byte_to_code_point(F.col("answer_text"), n).cast("long").alias("n_points"))
+    """Seventeen byte offsets of each answer as code points; null inside a character."""
+    n = F.octet_length("answer_text").cast("long")
+    at = F.transform(F.sequence(F.lit(0), F.lit(16)), lambda k: F.floor(n * k / 16))
+    points = F.transform(F.array_distinct(at), lambda b: F.struct(b.alias("byte_at"), tx.byte_to_code_point(F.col("answer_text"), b.cast("int")).cast("long").alias("point_at")))
+    a = rates.latest_of(_t(spark, sf, "answers").where("answer_text is not null"), ["answer_id"], points.alias("p"))
+    return a.select("answer_id", F.explode("p").alias("p")).select("answer_id", "p.byte_at", "p.point_at")
 
 
 # --- quotes ---
