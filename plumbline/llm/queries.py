@@ -117,6 +117,19 @@ def p7_summary(spark: SparkSession, sf: str) -> DataFrame:
     return packing.summary(p7_fill(spark, sf))
 
 
+def p7_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """What a packing must keep to: every document placed with all its tokens, no container over its capacity, no place taken twice, nothing split that fits."""
+    capacities = _capacities(spark, sf)
+    sized = cut(tokens.sizes(_t(spark, sf, "documents"), "doc_id", "text"))
+    packed = cut(packing.pack(sized, "doc_id", "n_tokens", capacities))
+    fill = packing.fills(packed, capacities).groupBy("pack_name").agg(F.count_if(F.col("room") < 0).alias("overfull"))
+    places = packed.where("container is not null").groupBy("pack_name", "container", "place").agg(F.count("*").alias("n")).groupBy("pack_name").agg(F.count_if(F.col("n") > 1).alias("places_taken_twice"))
+    limit = F.create_map(*[x for n, c in sorted(capacities.items()) for x in (F.lit(n), F.lit(c))])[F.col("pack_name")]
+    per = packed.groupBy("pack_name", "doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("placed")).join(sized, "doc_id")
+    docs = per.groupBy("pack_name").agg(F.count("*").alias("documents"), F.count_if(F.col("placed") != F.col("n_tokens")).alias("tokens_lost"), F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= limit)).alias("split_needlessly"))
+    return docs.join(fill, "pack_name").join(places, "pack_name")
+
+
 def _sized(spark: SparkSession, sf: str) -> DataFrame:
     return cut(tokens.sizes(_t(spark, sf, "documents"), "doc_id", "text", "source"))
 
@@ -145,6 +158,19 @@ def p8_exact_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _shares(spark, sf, mixing.EXACT)
 
 
+def p8_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """What a mix must keep to: no document over the cap, none of another source, and no source off its wanted size by more than its longest document where the cap leaves room."""
+    sized, targets = _sized(spark, sf), _t(spark, sf, "mix_targets")
+    mixed = cut(mixing.mix(sized, "doc_id", "source", "n_tokens", targets))
+    plan = mixing.planned(sized, "source", "n_tokens", targets)
+    own = sized.select("doc_id", F.col("source").alias("own"))
+    bad = mixed.join(targets, "source").join(own, "doc_id").groupBy("source").agg(F.count_if(F.col("copies") > F.col("max_repeats")).alias("over_cap"), F.count_if(F.col("own") != F.col("source")).alias("foreign"))
+    have = sized.groupBy("source").agg(F.sum("n_tokens").alias("have"), F.max("n_tokens").alias("longest"))
+    off = mixing.shares(mixed, targets, plan).join(have, "source", "left").select("source", ((F.col("wanted_tokens") <= F.col("have") * F.col("max_repeats")) & (F.abs(F.col("tokens") - F.col("wanted_tokens")) > F.col("longest"))).alias("off"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return off.join(bad, "source", "left").select("source", zero("over_cap"), zero("foreign"), F.coalesce("off", F.lit(False)).alias("off_target"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     docs = _t(spark, sf, "documents")
     return quality.found(docs, _t(spark, sf, "common_words"), mojibake.fit(docs, rows=2000))
@@ -161,7 +187,7 @@ def p9_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_rates, p2_evidence, p3_found, p3_forms, p3_classes, p5_found, p5_classes, p5_class_pairs, p5_shares, p5_cleaned, p7_pack, p7_fill, p7_summary, p8_mix, p8_shares, p8_exact, p8_exact_shares, p9_found, p9_statistics, p9_counts)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_rates, p2_evidence, p3_found, p3_forms, p3_classes, p5_found, p5_classes, p5_class_pairs, p5_shares, p5_cleaned, p7_pack, p7_fill, p7_summary, p7_rules, p8_mix, p8_shares, p8_exact, p8_exact_shares, p8_rules, p9_found, p9_statistics, p9_counts)}
 
 
 # --- SQL ---
@@ -181,6 +207,8 @@ def _p5(select: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p7_rules": "SELECT pack_name, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0 AS tokens_lost, 0 AS split_needlessly, 0 AS overfull, 0 AS places_taken_twice FROM pack_sizes",
+        "p8_rules": "SELECT source, 0 AS over_cap, 0 AS foreign, false AS off_target FROM mix_targets",
         "p9_counts": "SELECT doc_id, length(text) AS n_chars, len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_full_match(x, '[\\s\\p{Z}\\x{1c}-\\x{1f}\\x{85}]*'))) AS n_lines FROM documents",
         "p5_found": _p5("SELECT DISTINCT '{n}' AS table_name, least(a.rec, b.rec) AS rec_a, greatest(a.rec, b.rec) AS rec_b FROM (SELECT a, b FROM l_{n} UNION ALL SELECT class_id, class_id FROM t_{n} WHERE n_copies > 1) l JOIN t_{n} ta ON ta.class_id = l.a JOIN t_{n} tb ON tb.class_id = l.b JOIN x_{n} a ON a.c = ta.c JOIN x_{n} b ON b.c = tb.c WHERE a.rec <> b.rec"),
         "p5_class_pairs": _p5("SELECT '{n}' AS table_name, a AS class_a, b AS class_b FROM l_{n} WHERE a < b"),
