@@ -95,4 +95,7 @@ ANSWERS = f"""{_CTES},
 RECORDS = f"""SELECT payload_id, 'answer-2' AS schema, run_id, engine, query_index, repeat_no, coalesce(f.model, model_requested) AS model, f.model IS NOT NULL AS model_reported_by_platform, f.stop_reason, prompt_set_version, n_sources AS n_citations, CASE WHEN spans_recorded THEN n_spans END AS n_spans, output_tokens, 'kept' AS raw_status, sha256(payload) AS raw_sha256, octet_length(encode(payload)) AS raw_bytes
   FROM ({ANSWERS}) f JOIN (SELECT DISTINCT ON (payload_id) payload_id, answer_id, payload FROM raw_payloads) USING (payload_id) JOIN ({{_A}}) a USING (answer_id)"""
 
+STORED = f"""SELECT run_id, engine, count(*) AS records, sum(n_chars)::bigint AS n_chars, sum(n_sources)::bigint AS citations, count(*) FILTER (spans_recorded) AS with_spans, sum(octet_length(encode(payload)))::bigint AS raw_bytes, min(query_text) AS first_question
+  FROM ({ANSWERS}) f JOIN (SELECT DISTINCT ON (payload_id) payload_id, answer_id, payload FROM raw_payloads) USING (payload_id) JOIN ({{_A}}) a USING (answer_id) GROUP BY 1, 2"""
+
 VERIFIED = f"{_CTES}, known AS (SELECT * FROM r WHERE json_exists(p, '$.content') OR json_exists(p, '$.output') OR json_exists(p, '$.candidates')) SELECT platform, max(length(coalesce(t, '')) > 0 AND EXISTS (SELECT 1 FROM ci WHERE ci.payload_id = known.payload_id AND is_cited)) AS is_verified FROM known LEFT JOIN full_text USING (payload_id) GROUP BY 1"

@@ -565,14 +565,27 @@ def payload_searches(spark, sf):
     return _parsed(spark, sf)["searches"]
 
 
+def _records(spark, sf):
+    p = rates.latest(_t(spark, sf, "raw_payloads"), ["payload_id"])
+    calls = rates.latest_of(_t(spark, sf, "answers"), ["answer_id"], "run_id", "engine", "query_index", "repeat_no", "model_requested", "query_text", "intent", "requested_at", "observed_at", "prompt_set_version", "prompt_set_hash")
+    return records.answer_records(p.select("payload_id", "answer_id", "payload").join(calls, "answer_id"), payloads.parse(p))
+
+
 @query(payload_sql.RECORDS.replace("{_A}", _A))
 def answer_records(spark, sf):
     """The stored record of each payload that was read, for the call that its answer belongs to."""
-    p = rates.latest(_t(spark, sf, "raw_payloads"), ["payload_id"])
-    calls = rates.latest_of(_t(spark, sf, "answers"), ["answer_id"], "run_id", "engine", "query_index", "repeat_no", "model_requested", "query_text", "intent", "requested_at", "observed_at", "prompt_set_version", "prompt_set_hash")
-    r = records.answer_records(p.select("payload_id", "answer_id", "payload").join(calls, "answer_id"), payloads.parse(p))
     size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).cast("long").alias(f"n_{c}")
-    return r.select("payload_id", "schema", "run_id", "engine", "query_index", "repeat_no", "model", "model_reported_by_platform", "stop_reason", "prompt_set_version", size("citations"), size("spans"), F.col("usage.output_tokens").alias("output_tokens"), "raw_status", "raw_sha256", "raw_bytes")
+    return _records(spark, sf).select("payload_id", "schema", "run_id", "engine", "query_index", "repeat_no", "model", "model_reported_by_platform", "stop_reason", "prompt_set_version", size("citations"), size("spans"), F.col("usage.output_tokens").alias("output_tokens"), "raw_status", "raw_sha256", "raw_bytes")
+
+
+@query(payload_sql.STORED.replace("{_A}", _A))
+def record_store(spark, sf):
+    """The records written to a store and read back from it: what each run and engine has there."""
+    r = _records(spark, sf)
+    path = f"{lineage.folder(spark)}/records_{uuid.uuid4().hex}"
+    records.write_records(r, path)
+    back = records.read_records(spark, path, r.schema)
+    return back.groupBy("run_id", "engine").agg(F.count("*").alias("records"), F.sum(F.length("answer_text")).alias("n_chars"), F.sum(F.size("citations")).cast("long").alias("citations"), F.count("spans").alias("with_spans"), F.sum("raw_bytes").alias("raw_bytes"), F.min("query_text").alias("first_question"))
 
 
 @query(payload_sql.VERIFIED)

@@ -9,8 +9,9 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plumbline.operators.payloads import ID, Tables
 from plumbline.operators.planning import KEY
@@ -73,6 +74,11 @@ def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "engine").json(path)
 
 
+def read_records(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """What a store holds; a run or an engine that is asked for is read alone."""
+    return spark.read.schema(schema).json(path)
+
+
 def write_json(path: str | Path, document: dict) -> None:
     """A small document of the driver, there whole or not at all."""
     path = Path(path)
