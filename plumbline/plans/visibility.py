@@ -8,13 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import folding, hosts, requests, stats
+from plumbline.functions import addresses, folding, hosts, requests, robots, stats
 from plumbline.functions import text as tx
 from plumbline.functions.html import visible_text
 from plumbline.operators import evidence, fixtures, lineage, mentions, payloads, planning, quotes, rates, spans
 from plumbline.operators.mentions import Entity
 from plumbline.plans import mention_sql, payload_sql
-from plumbline.sources import records
+from plumbline.sources import records, runs
 from plumbline.streaming import answers as streaming
 
 RECOMMENDATION = ("recommendation",)
@@ -131,6 +131,13 @@ def low_sample_status(spark, sf):
     return m.select("engine", "query_index", *[c for c in m.columns if c.startswith("mention_")])
 
 
+@query(f"SELECT engine, 'not_measured' AS named_in_rec_status, 'not_measured' AS owned_cited_status, 0::bigint AS owned_cited_n FROM ({_A}) WHERE NOT coalesce(params.no_fixture, false) GROUP BY 1")
+def not_measured(spark, sf):
+    """Without an intent for recommendations and without an owned site these rates have no number."""
+    rows = rates.analysed(_t(spark, sf, "answers"), ENTITIES, (), _t(spark, sf, "citations"), ())
+    return rates.engine_metrics(rows, recommendation=False, owned=False).select("engine", "named_in_rec_status", "owned_cited_status", "owned_cited_n")
+
+
 @query(f"WITH g AS (SELECT l_linestatus, count(*) FILTER (l_returnflag = 'R') AS c, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_linestatus, {_metric('returned', 'c', 'n')} FROM g")
 def wilson_returnflag(spark, sf):
     g = _t(spark, sf, "lineitem").groupBy("l_linestatus").agg(F.count_if(F.col("l_returnflag") == "R").alias("c"), F.count("*").alias("n"))
@@ -211,6 +218,43 @@ def fetch_status_map(spark, sf):
     return p.groupBy(F.coalesce("http_status", F.lit(-1)).alias("http_status"), "fetch_status", hosts.fetch_status(F.col("http_status")).alias("by_code")).agg(F.count("*").alias("n"))
 
 
+_SOCIAL = f"regexp_replace({_NETLOC}, '^www\\.', '') IN {hosts.SOCIAL!r}"
+
+
+@query(f"SELECT CASE WHEN {_SOCIAL} THEN 'x' ELSE 'web' END AS corpus, CASE WHEN {_SOCIAL} THEN 'social_post' ELSE 'web' END AS source_type, count(*) AS n FROM (SELECT DISTINCT url FROM citations WHERE url IS NOT NULL UNION ALL SELECT 'https://www.x.com/a/' || n FROM range(3) r(n)) GROUP BY 1, 2")
+def source_types(spark, sf):
+    """Urls by the corpus they belong to; three posts are added, as the tables may have none."""
+    urls = _t(spark, sf, "citations").select("url").where("url is not null").distinct()
+    posts = spark.range(3).select(F.concat(F.lit("https://www.x.com/a/"), F.col("id").cast("string")).alias("url"))
+    host = hosts.netloc(F.col("url"))
+    return urls.union(posts).groupBy(hosts.corpus(host).alias("corpus"), hosts.source_type(host).alias("source_type")).agg(F.count("*").alias("n"))
+
+
+_SITE = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+
+
+@query(f"WITH u AS (SELECT DISTINCT url, {_SITE} AS site FROM citations WHERE url IS NOT NULL) SELECT url, CASE length(site) % 4 WHEN 0 THEN NOT starts_with(substr(url, length(site) + 1), '/p/') WHEN 1 THEN false ELSE true END AS may_fetch FROM u")
+def robots_rules(spark, sf):
+    """Which cited urls may be read, if sites forbid a folder (every fourth length of a name), fail, have no rules, or can't be reached."""
+    urls = _t(spark, sf, "citations").select("url").where("url is not null").distinct()
+    sites = urls.select(robots.origin(F.col("url")).alias("origin")).distinct()
+    kind = F.length("origin") % 4
+    sites = sites.where(kind < 3).select("origin", F.when(kind == 0, 200).when(kind == 1, 503).otherwise(404).alias("http_status"), F.when(kind == 0, F.lit("User-agent: *\nDisallow: /p/\n")).alias("body"))
+    return robots.allowed(urls, sites, "reader")
+
+
+_ADDRESSES = (
+    ("93.184.216.34", "public"), ("2606:2800:220:1:248:1893:25c8:1946", "public"), ("0.0.0.0", "unspecified"), ("127.0.0.1", "loopback"), ("::1", "loopback"), ("169.254.169.254", "link_local"), ("fe80::1", "link_local"), ("224.0.0.1", "multicast"),
+    ("240.0.0.1", "reserved"), ("10.1.2.3", "private"), ("172.16.0.1", "private"), ("192.168.1.1", "private"), ("fd00::1", "private"), ("100.64.0.1", "not_global"), ("::ffff:127.0.0.1", "loopback"), ("::ffff:93.184.216.34", "public"), ("256.1.1.1", "invalid"), ("host.example", "invalid"),
+)
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(map(repr, _ADDRESSES))}) t(address, kind)")
+def address_kinds(spark, sf):
+    """Known addresses and whether a fetch may reach them."""
+    return spark.createDataFrame([(a,) for a, _ in _ADDRESSES], "address string").select("address", addresses.address_kind("address").alias("kind"))
+
+
 # --- citations: order and sets ---
 
 
@@ -449,6 +493,15 @@ def run_completeness(spark, sf):
     return planning.completeness(planning.on_disk(_t(spark, sf, "answers"), _t(spark, sf, "call_errors"), _t(spark, sf, "run_manifests")))
 
 
+@query(f"SELECT 'answer' AS kind, answer_id::varchar AS id, 'q' || lpad(query_index::varchar, 2, '0') || '_r' || repeat_no || '.json' AS name FROM ({_A}) UNION ALL SELECT DISTINCT 'page', url, left(sha256(url), 24) || '.json' FROM fetched_pages WHERE url IS NOT NULL UNION ALL SELECT DISTINCT 'run', run_id, strftime(started_at, '%Y%m%dT%H%M%SZ') FROM run_manifests")
+def stored_names(spark, sf):
+    """The names under which answers, pages and runs are stored."""
+    a = rates.latest_of(_t(spark, sf, "answers"), ["answer_id"], runs.answer_file("query_index", "repeat_no").alias("name"))
+    p = _t(spark, sf, "fetched_pages").where("url is not null").select(F.lit("page").alias("kind"), F.col("url").alias("id"), runs.page_file("url").alias("name")).distinct()
+    r = _t(spark, sf, "run_manifests").select(F.lit("run").alias("kind"), F.col("run_id").alias("id"), records.run_id("started_at").alias("name")).distinct()
+    return a.select(F.lit("answer").alias("kind"), F.col("answer_id").cast("string").alias("id"), "name").union(p).union(r)
+
+
 @query("WITH e AS (SELECT DISTINCT * FROM call_errors) SELECT engine, error_type, count(*) AS n, count(error_message) AS with_message, count(DISTINCT run_id) AS n_runs FROM e GROUP BY 1, 2")
 def error_summary(spark, sf):
     e = _t(spark, sf, "call_errors").distinct()
