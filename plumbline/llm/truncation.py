@@ -59,6 +59,11 @@ def _final_word(s: str) -> str:
     return m.group(1) if m and s.rstrip(CLOSERS).endswith(m.group(1)) else ""
 
 
+def _ends_number(last: str, before: str) -> bool:
+    """A number with a full stop on a line of its own that continues no list and can't begin one: the wrapped end of a sentence."""
+    return last[:-1].isdigit() and last[-1] == "." and int(last[:-1]) != 1 and before != "" and not ENTRY.match(before) and before[-1] not in TERMINAL + ":"
+
+
 def judge_end(tail: str | None) -> tuple[str, str]:
     """(form of the end, final token to be looked up: '' for none). ``tail``: the last lines of a text."""
     if tail is None or not tail.strip():
@@ -74,7 +79,7 @@ def judge_end(tail: str | None) -> tuple[str, str]:
     lines = [x.strip() for x in t.split("\n") if x.strip()]
     last, before = lines[-1], lines[-2] if len(lines) > 1 else ""
     word = _final_word(last)
-    if BARE_MARKER.match(last) and (not last[-1].isdigit() or before and not before[-1].isdigit() or ENTRY.match(before)):
+    if BARE_MARKER.match(last) and not _ends_number(last, before) and (not last[-1].isdigit() or before and not before[-1].isdigit() or ENTRY.match(before)):
         return OPEN, word
     if last.startswith("|"):
         return (WHOLE, "") if last.endswith("|") and len(last) > 1 and (not before.startswith("|") or last.count("|") >= before.count("|")) else (OPEN, word)

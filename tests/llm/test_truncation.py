@@ -6,7 +6,7 @@ from plumbline.llm import truncation as X
 
 @pytest.mark.parametrize(
     "text",
-    [None, "", "  \n", "A whole sentence.", "Really?", "“Quoted.”", "« Cité. »", "Er sagt „ja“.", "他说好。", "“好。”", "- item one, Town\n- item two, City", "1. **Name** (Town), 12\n2. **Other** (City), 34", "| a | b |\n|---|---|\n| c | 5 |", "See\n\nhttps://a.example/guide/12", "Fine. 👍", "Done. (✓)", "**A heading: of it 12**", "# Heading", "Name kettle Town: the handle 481"],
+    [None, "", "  \n", "A whole sentence.", "Really?", "“Quoted.”", "« Cité. »", "Er sagt „ja“.", "他说好。", "“好。”", "- item one, Town\n- item two, City", "1. **Name** (Town), 12\n2. **Other** (City), 34", "| a | b |\n|---|---|\n| c | 5 |", "See\n\nhttps://a.example/guide/12", "Fine. 👍", "Done. (✓)", "**A heading: of it 12**", "# Heading", "Name kettle Town: the handle 481", "It was sold with serial\n7799."],
 )
 def test_whole(text):
     assert X.judge_end(text)[0] in (X.WHOLE, X.FINISHED)
@@ -14,7 +14,7 @@ def test_whole(text):
 
 @pytest.mark.parametrize(
     "text",
-    ["A sentence that", "A sentence that…", "A whole sentence. …", "It ends [...]", "It ends...", "“It is good enough,”", "First. Then, in the", "1. **Name** (Town), 12\n2. **Oth", "1. **Name** (Town), 12\n2. **Other** (Ci", "1. **Name** (Town), 12\n2", "- a, b\n- c,", "| a | b |\n|---|---|\n| c | 5", "他们询问了铰链的情", "Ｆｉｒｓｔ． Then the"],
+    ["A sentence that", "A sentence that…", "A whole sentence. …", "It ends [...]", "It ends...", "“It is good enough,”", "First. Then, in the", "1. **Name** (Town), 12\n2. **Oth", "1. **Name** (Town), 12\n2. **Other** (Ci", "1. **Name** (Town), 12\n2", "1. **Name** (Town)\n2.", "Three of them:\n1.", "Whole.\n2.", "- a, b\n- c,", "| a | b |\n|---|---|\n| c | 5", "他们询问了铰链的情", "Ｆｉｒｓｔ． Then the"],
 )
 def test_cut(text):
     assert X.judge_end(text)[0] in (X.OPEN, X.MARKED)
