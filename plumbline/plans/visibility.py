@@ -577,7 +577,7 @@ def arriving_answer_counts(spark, sf):
     files = f"{sf}/answers.parque[t]"  # a stream reads a folder or a pattern
     source = spark.readStream.schema(_t(spark, sf, "answers").schema).parquet(files)
     name = f"arriving_{uuid.uuid4().hex}"
-    writer = streaming.mention_counts(source, "kettle", "10000 days").writeStream.outputMode("complete").format("memory").queryName(name)
+    writer = streaming.mention_counts(source, "kettle", "30 days").writeStream.outputMode("complete").format("memory").queryName(name)
     run = writer.option("checkpointLocation", f"{lineage.folder(spark)}/{name}").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)  # a row for each engine
