@@ -2,19 +2,24 @@
 
 Method: every candidate decoding (a chain of wrong-decoder/true-encoding pairs) is priced by its description
 length, i.e. its size after zstandard compression with a dictionary of one language, plus an escape price for
-code points that the language's sample never shows, plus the price of naming the chain. A chain is applied only
+code points that the language's texts hardly ever show, plus the price of naming the chain. A chain is applied only
 where it makes the description shorter; otherwise the text stays as it is.
 
 Candidates are looked for only in the stretches that a decoder could have made (a table of that decoder's lead
 and continuation characters), so clean text costs one scan. A stretch is priced with a margin of clean text on
 either side, as garbling may touch a single character.
 
-The only driver-side state is the language models: dictionaries of ``DICT_BYTES`` each, trained on a bounded
-sample (``SAMPLE_ROWS`` rows in all, ids picked by hash). Every row of the input is then judged by them.
+The only driver-side state is the language models: alphabets, known words and dictionaries of ``DICT_BYTES`` each. They
+are made of exact counts over every labelled text, from its first sign to its last: texts with a letter, texts with a
+word, and pieces (words, or windows where a script has no blanks). A letter or word is known by the share of its
+language's texts that show it, and a dictionary is trained on pieces in proportion to their counts, so what the driver
+sees is bounded by ``ROWS`` and ``PIECES`` and doesn't grow with the table. A first model is made of the
+texts that look sound by their signs alone, the second of all texts that the first leaves as they are; every row of the
+input is judged by the second.
 
 Defined results: a null text gives (false, null, ''); an empty text is clean; text with U+FFFD or C1 controls is
 garbled whether or not it can be restored; repeated ids give one row each per id in ``found``; extra columns are
-carried along untouched by ``repair``; without any sample (empty table) a neutral model is used.
+carried along untouched by ``repair``; without any labelled text (empty table) a neutral model is used.
 """
 
 from __future__ import annotations
@@ -30,16 +35,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE_ROWS = 4000  # rows collected to train the dictionaries, all languages together
-SAMPLE_CHARS = 65_536  # of each, so that the sample is bounded in size too
+from plumbline.operators.lineage import collect_bounded
+from plumbline.operators.lineage import cut as lineage_cut
+
+ROWS = 1000  # a letter is known if one in so many texts of its language shows it, and two at least; a Han sign if half as many do
+FIRST_WORDS, WORDS_OF = 100, 300  # a word likewise: fewer are known while garbled ones, which recur too, are among the counted
+PIECES = 100_000  # a dictionary is trained on the pieces that make one in so many of their language's at least
+WINDOW, LONG = 4, 24  # code points of a piece in scripts without blanks; longest word that is one piece
+FLUSH = 400_000  # counts that a task holds before it hands them on
+LANGUAGES = 1000  # more labels than that are refused, as a model of each goes to every worker
 DICT_BYTES = 48 * 1024
 MARGIN = 12  # code points of context on either side of a stretch
 ROUNDS = 3  # longest chain
 #: bytes for naming a chain: the rarer the mistake and the easier it is met by chance, the dearer
 CHAIN_COST = {"cp1252>utf-8": 1.5, "mac_roman>utf-8": 2.5, "cp850>utf-8": 2.5, "cp437>utf-8": 3.0, "cp1251>utf-8": 4.0, "koi8_r>utf-8": 6.0, "gbk>utf-8": 4.0, "cp1252>utf-8 (blank lost)": 2.0}
 LEGACY_COST = 8.0
-UNSEEN_ELSEWHERE = 2.0  # bytes for a code point that only another language's sample shows
-UNSEEN = 4.0  # bytes for a code point that no sample shows
+UNSEEN_ELSEWHERE = 2.0  # bytes for a code point that only another language knows
+UNSEEN = 4.0  # bytes for a code point that no language knows
 
 
 def _single_byte(codec: str, sloppy: bool = True) -> dict[int, str]:
@@ -77,6 +89,7 @@ class Decoder:
                     groups["four"].append(c)
         k = {g: "[" + "".join(map(re.escape, cs)) + "]" for g, cs in groups.items()}
         self.leads = frozenset(groups["two"] + groups["three"] + groups["four"])
+        self.pair = re.compile(f"{k['cont']}(?<=[{''.join(map(re.escape, groups['two'] + groups['three'] + groups['four']))}]{k['cont']})")  # in every match of utf8, and found sooner
         self.high = frozenset(groups["hi"])
         self.utf8 = re.compile(f"(?:{k['two']}{k['cont']}|{k['three']}{k['cont']}{{2}}|{k['four']}{k['cont']}{{3}})+")
         self.run = re.compile(f"{k['hi']}(?:[ ]?{k['hi']})*")
@@ -141,7 +154,7 @@ class LanguageModel:
         return cost
 
     def plausible(self, text: str, any_letter: bool = False) -> bool:
-        """No code point that is unassigned or private, and, unless ``any_letter`` leaves them to their price, no letter that no sample shows."""
+        """No code point that is unassigned or private, and, unless ``any_letter`` leaves them to their price, no letter that no language knows."""
         for c in text:
             if c > "\x7f" and c not in self.everywhere and not "一" <= c <= "鿿":
                 kind = unicodedata.category(c)
@@ -150,40 +163,121 @@ class LanguageModel:
         return True
 
 
-def _sample_model(rows: list[tuple[str, str]]) -> LanguageModel:
-    by: dict[str, list[str]] = defaultdict(list)
-    for lang, text in rows:
-        by[lang].append(text)
+TEXTS, LETTERS, WORDS, PIECE = "texts", "letters", "words", "pieces"  # what is counted, by language
+
+
+class Counts:
+    """What texts show, by language: texts and their pieces, texts with a letter, texts with a word that isn't ASCII, each piece."""
+
+    def __init__(self) -> None:
+        self.of: dict[tuple[str, str], Counter] = defaultdict(Counter)
+
+    def add(self, lang: str, text: str) -> None:
+        signs = set(text)
+        pieces = _pieces(text, max(signs))
+        self.of[lang, PIECE].update(pieces)
+        self.of[lang, TEXTS].update({"": 1, PIECE: len(pieces)})
+        if not text.isascii():
+            self.of[lang, LETTERS].update(c for c in signs if c > "\x7f")
+            # of other words nothing is asked
+            self.of[lang, WORDS].update(_foreign_words(text))
+
+    def __len__(self) -> int:
+        return sum(map(len, self.of.values()))
+
+    def rows(self, sign: int = 1) -> list[tuple[str, str, str, int]]:
+        return [(lang, kind, item, sign * n) for (lang, kind), counts in self.of.items() for item, n in counts.items()]
+
+
+def _foreign_words(text: str) -> set[str]:
+    """The words that aren't ASCII."""
+    return {w for w in set(_WORD.findall(" ".join(w for w in set(text.split()) if not w.isascii()).lower())) if not w.isascii()}
+
+
+def _pieces(text: str, top: str) -> list[str]:
+    """Every word; of one over ``LONG`` or in a script without blanks every window, or stretches if it is ASCII."""
+    words = text.split()
+    if top < "⺀" and max(map(len, words), default=0) <= LONG:
+        return words
+    out = []
+    for w in words:
+        if len(w) > LONG or max(w) >= "⺀":
+            width, step = (LONG, LONG) if w.isascii() else (WINDOW, 1)
+            out += [w[i : i + width] for i in range(0, max(1, len(w) - width + step), step)]
+        else:
+            out.append(w)
+    return out
+
+
+def _least(kind: str, texts: int, pieces: int, rows: int, words: int) -> tuple[int, int]:
+    """How often an item must have been counted to be part of a model, and a Han sign."""
+    if kind == PIECE:
+        n = max(1, -(-pieces // PIECES))
+        return n, n
+    if kind == WORDS:
+        n = max(2, -(-texts // words))
+        return n, n
+    two = min(2, texts)
+    return max(two, -(-texts // rows)), max(two, -(-texts // (2 * rows)))
+
+
+def _han(c: str) -> bool:
+    return "一" <= c <= "鿿"
+
+
+def _totals(rows: list[tuple[str, str, str, int]]) -> dict[str, tuple[int, int]]:
+    """Language -> texts and pieces, of languages with any text."""
+    n = {(lang, item): k for lang, _, item, k in rows}
+    return {lang: (n[lang, ""], n.get((lang, PIECE), 0)) for lang, item in sorted(n) if item == "" and n[lang, ""] > 0}
+
+
+def _model(totals: dict[str, tuple[int, int]], rows: list[tuple[str, str, str, int]]) -> LanguageModel:
+    """The model of items that are counted often enough."""
+    by: dict[tuple[str, str], list[tuple[int, str]]] = defaultdict(list)
+    for lang, kind, item, n in rows:
+        by[lang, kind].append((n, item))
     dictionaries, alphabets, words = {}, {}, {}
-    for lang, texts in by.items():
-        pieces = [p.encode() for t in texts for p in re.split(r"(?<=[.!?。！？\n])", t) if len(p) > 8]
+    for lang, (_, total) in totals.items():
+        pieces = [p for n, item in sorted(by[lang, PIECE]) for p in [f" {item}".encode("utf-8", "surrogatepass") if item < "⺀" else item.encode("utf-8", "surrogatepass")] * max(1, round(n * PIECES / max(total, PIECES)))]
         try:
             dictionaries[lang] = zstandard.train_dictionary(min(DICT_BYTES, max(1024, sum(map(len, pieces)) // 8)), pieces).as_bytes()
         except zstandard.ZstdError:  # too little text to train on: its words serve as the dictionary's content
-            dictionaries[lang] = b" ".join(pieces)[:DICT_BYTES] or lang.encode() * 8
-        seen = Counter(c for t in texts for c in set(t) if c > "\x7f")
-        letters = [c for c, n in seen.items() if n >= min(2, len(texts)) or "一" <= c <= "鿿"]
-        alphabets[lang] = frozenset(x for c in letters for x in (c, *c.upper(), *c.lower()) if x > "\x7f")  # a sample has few capitals
-        known = Counter(w for t in texts for w in set(_WORD.findall(t.lower())))
-        words[lang] = frozenset(w for w, n in known.items() if n >= 2)
+            dictionaries[lang] = b"".join(pieces)[-DICT_BYTES:] or lang.encode() * 8
+        alphabets[lang] = frozenset(x for _, c in by[lang, LETTERS] for x in (c, *c.upper(), *c.lower()) if x > "\x7f")  # capitals are rare
+        words[lang] = frozenset(w for _, w in by[lang, WORDS])
     return LanguageModel(dictionaries, alphabets, words)
 
 
+def _frequent(rows: list[tuple[str, str, str, int]], words: int) -> LanguageModel:
+    totals = _totals([r for r in rows if r[1] == TEXTS])
+    return _model(totals, [r for r in rows if r[1] != TEXTS and r[0] in totals and r[3] >= _least(r[1], *totals[r[0]], ROWS, words)[r[1] == LETTERS and _han(r[2])]])
+
+
+def _sound(text: str) -> bool:
+    return not _BROKEN.search(text) and not any(_strict(text))
+
+
 def train(rows: list[tuple[str | None, str | None]]) -> LanguageModel:
-    """Dictionaries from sampled (language, text) rows; texts the first model would change are left out of the second."""
+    """The model of all (language, text) rows but those that a model of the sound ones would change. ``fit`` gives the same for a table."""
     rows = [(lang, t) for lang, t in rows if lang and t]
-    rows = [(lang, t) for lang, t in rows if not _BROKEN.search(t) and not any(_strict(t))] or rows
-    first = _sample_model(rows)
-    clean = [(lang, t) for lang, t in rows if not inspect(t, lang, first)[2]]
-    return _sample_model(clean or rows)
+
+    def counted(rows: list[tuple[str, str]], words: int) -> LanguageModel:
+        counts = Counts()
+        for lang, t in rows:
+            counts.add(lang, t)
+        return _frequent(counts.rows(), words)
+
+    first = counted([(lang, t) for lang, t in rows if _sound(t)] or rows, FIRST_WORDS)
+    clean = [(lang, t) for lang, t in rows if not changes(t, lang, first)]
+    return counted(clean, WORDS_OF) if clean else first
 
 
 def _strict(text: str) -> Iterator[str]:
-    """Sure signs of UTF-8 read by another decoder: used only to keep the training sample clean."""
+    """Sure signs of UTF-8 read by another decoder: used only to keep them out of the first counts."""
     if not text.isascii():
         chars = set(text)
         for d in (DECODERS["cp1252"], DECODERS["mac_roman"], DECODERS["cp850"], DECODERS["cp1251"]):
-            if chars & d.leads:
+            if chars & d.leads and d.pair.search(text):
                 hits = d.utf8.findall(text)
                 if len(hits) > 1 or any(len(h) > 3 for h in hits):
                     yield d.name
@@ -213,7 +307,7 @@ def _to_utf8_from_gbk(s: str) -> str:
 def _gbk_regions(text: str, seen: frozenset[str]) -> list[tuple[int, int, str]]:
     """UTF-8 read as GBK: pairs of bytes became Han characters; odd bytes were lost or took the next ASCII one.
 
-    A run is cut to what reaches from its first to its last character that the language's sample doesn't show,
+    A run is cut to what reaches from its first to its last character that the language doesn't know,
     give or take two, whichever loses fewest bytes.
     """
     out = []
@@ -296,7 +390,7 @@ def _price(text: str, hits: list[tuple[int, int, str]], model: LanguageModel, la
 def _candidates(text: str, model: LanguageModel, lang: str | None) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
     chars = {c for c in set(text) if c > "\x7f"}
     for d in DECODERS.values():
-        if chars & d.leads and (hits := _utf8_regions(text, d, model)):
+        if chars & d.leads and d.pair.search(text) and (hits := _utf8_regions(text, d, model)):
             yield f"{d.name}>utf-8", hits
     seen = model.alphabets.get(lang, model.everywhere)
     known = model.words.get(lang, model.all_words)
@@ -310,7 +404,7 @@ def _candidates(text: str, model: LanguageModel, lang: str | None) -> Iterator[t
             continue
         if not strange & d.high:  # letters the language uses: only worth pricing if words are unknown
             if odd_words is None:
-                odd_words = sum(1 for w in _WORD.findall(text.lower()) if not w.isascii() and w not in known)
+                odd_words = any(w not in known for w in _foreign_words(text))
             if not odd_words:
                 continue
         if hits := _legacy_regions(text, d, true, model):
@@ -326,6 +420,8 @@ def _candidates(text: str, model: LanguageModel, lang: str | None) -> Iterator[t
 
 def _cyrillic(text: str) -> bool:
     """A good part of the letters is Cyrillic: single ones may only look like Latin letters."""
+    if not any("Ѐ" <= c <= "ӿ" for c in set(text)):
+        return False
     letters = sum(map(str.isalpha, text))
     return 4 * sum(1 for c in text if "Ѐ" <= c <= "ӿ") > letters
 
@@ -343,46 +439,99 @@ def _by_word(text: str, hits: list[tuple[int, int, str]], known: frozenset[str])
     return out
 
 
+def _savings(text: str, lang: str | None, langs: list[str], model: LanguageModel) -> Iterator[tuple[float, str, list[tuple[int, int, str]]]]:
+    """Bytes that each candidate saves, its name included."""
+    for name, hits in _candidates(text, model, lang):
+        saved, kept = _price(text, hits, model, langs, fold=name not in CHAIN_COST)
+        yield saved - CHAIN_COST.get(name, LEGACY_COST), name, kept
+
+
+def _asked(lang: str | None, model: LanguageModel) -> tuple[str | None, list[str]]:
+    lang = lang if lang in model.dictionaries else None
+    return lang, [lang] if lang else list(model.dictionaries) or [""]
+
+
 def inspect(text: str | None, lang: str | None, model: LanguageModel) -> tuple[str | None, str, bool]:
     """(restored text, chain, garbled)."""
     if not text or text.isascii():
         return text, "", False
-    lang = lang if lang in model.dictionaries else None
-    langs = [lang] if lang else list(model.dictionaries) or [""]
+    lang, langs = _asked(lang, model)
     chain: list[str] = []
     broken = bool(_BROKEN.search(text))
     for _ in range(ROUNDS):
-        best: tuple[float, str, list] = (0.0, "", [])
-        for name, hits in _candidates(text, model, lang):
-            saved, kept = _price(text, hits, model, langs, fold=name not in CHAIN_COST)
-            saved -= CHAIN_COST.get(name, LEGACY_COST)
-            if saved > best[0]:
-                best = (saved, name, kept)
-        if not best[1]:
+        best: tuple[float, str, list] = max(_savings(text, lang, langs, model), key=lambda x: x[0], default=(0.0, "", []))
+        if best[0] <= 0:
             break
         text = _apply(text, sorted(best[2]), 0, len(text))
         chain.append(best[1])
     return text, " | ".join(chain), broken or bool(chain)
 
 
+def changes(text: str, lang: str | None, model: LanguageModel) -> bool:
+    """Whether ``inspect`` calls the text garbled."""
+    return not text.isascii() and (bool(_BROKEN.search(text)) or any(x[0] > 0 for x in _savings(text, *_asked(lang, model), model)))
+
+
 # --- Spark ---
 
 
-def sample_rows(df: DataFrame, text: str, lang: str, key: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled texts, picked by a hash of their id so that any run picks the same ones; of a text over ``chars``, a stretch of that length from a place that the hash picks. Labels alone are counted, so the texts are read once."""
-    n = df.where(F.col(lang).isNotNull()).select(lang).count()
-    if not n:
-        return []
-    h = F.xxhash64(key)
-    share = min(1.0, 1.25 * rows / n)
-    picked = df.where(F.col(lang).isNotNull() & (F.pmod(h, F.lit(1_000_003)) < F.lit(max(1, int(share * 1_000_003)))) & F.col(text).isNotNull())
-    start = F.pmod(h, F.greatest(F.lit(1), F.length(text) - chars + 1)) + 1
-    rows_ = picked.select(F.col(lang).alias("l"), F.substring(F.col(text), start.cast("int"), F.lit(chars)).alias("t"), h.alias("_h")).orderBy("_h").limit(rows)
-    return [(r["l"], r["t"]) for r in rows_.collect()]
+COUNTED = "lang string, kind string, item string, n long"
+
 
+def _counted(df: DataFrame, only_sound: bool, first: LanguageModel | None = None, flush: int = FLUSH) -> DataFrame:
+    """Counts over (lang, text), partial ones; with ``first`` what to add to them: the texts it leaves that weren't counted, less those it would change that were."""
+    shared = df.sparkSession.sparkContext.broadcast(first)
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> LanguageModel:
-    return train(sample_rows(df, text, lang, key, rows))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, more, less = shared.value, Counts(), Counts()
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            rows = more.rows() + less.rows(-1)
+            for i in range(0, len(rows), 50_000):
+                columns = zip(*rows[i : i + 50_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "kind", "item", "n"])
+            more.of.clear()
+            less.of.clear()
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counted = not only_sound or _sound(text)
+                wanted = counted if model is None else not changes(text, lang, model)
+                if wanted != (counted and model is not None):
+                    (more if wanted else less).add(lang, text)
+                    if len(more) + len(less) > flush:
+                        yield from hand_on()
+        yield from hand_on()
+
+    return df.mapInArrow(run, COUNTED)
+
+
+def _known(counts: DataFrame, letters: int, words: int) -> tuple[dict[str, tuple[int, int]], LanguageModel]:
+    """Texts and pieces by language, and the model of what is counted often enough: the driver sees that only."""
+    totals = _totals([tuple(r) for r in collect_bounded(counts.where(F.col("kind") == TEXTS).select("lang", "kind", "item", "n"), 2 * LANGUAGES, "numbers of texts")])
+    if not totals:
+        return totals, _model(totals, [])
+    least = [(lang, kind, *_least(kind, *n, letters, words)) for lang, n in totals.items() for kind in (LETTERS, WORDS, PIECE)]
+    bound = F.broadcast(counts.sparkSession.createDataFrame(least, "lang string, kind string, least long, least_han long"))
+    han = (F.col("kind") == LETTERS) & F.col("item").between("一", "鿿")
+    rows = counts.join(bound, ["lang", "kind"]).where(F.col("n") >= F.when(han, F.col("least_han")).otherwise(F.col("least"))).select("lang", "kind", "item", "n").collect()
+    return totals, _model(totals, [tuple(r) for r in rows])
+
+
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROWS) -> LanguageModel:
+    """The model of every labelled text but those that a model of the sound ones would change. A letter is known if one in ``rows`` texts shows it."""
+    texts = df.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang <> '' and text <> ''")
+    summed = lambda c: lineage_cut(c.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")))
+    for only_sound in (True, False):  # where no text is sound, all count
+        counts = summed(_counted(texts, only_sound))
+        totals, first = _known(counts, rows, FIRST_WORDS)
+        if totals:
+            break
+    else:
+        return first
+    changed = _counted(texts.where(F.col("text").rlike("[^\\x00-\\x7F]")), only_sound, first)
+    totals, second = _known(summed(counts.unionByName(changed)), rows, WORDS_OF)
+    return second if totals else first
 
 
 def repair(df: DataFrame, model: LanguageModel, text: str = "text", lang: str | None = None, spark: SparkSession | None = None) -> DataFrame:

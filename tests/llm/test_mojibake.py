@@ -90,3 +90,38 @@ def test_letters_that_no_sample_shows_pay_their_price(model):
         assert found and sound in restored and chain
     # a Cyrillic letter that looks like a Latin one, before a blank that doesn't break, is no garbled text
     assert M.inspect("Diе\xa0Stadt istа\xa0in der Liste.", "de", model)[2] is False
+
+
+def test_fit_counts_every_text_to_its_end(spark):
+    long = "ő " + "der Kessel war gut " * 8000 + "ű"
+    rows = [(0, long, "de"), (1, long, "de")] + [(i, f"Der Kessel {i} war gut.", "de") for i in range(2, 1000)]
+    model = M.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {"ő", "ű"} <= model.alphabets["de"]
+
+
+def test_fit_is_the_model_of_all_rows(spark):
+    rng = random.Random(2)
+    rows = [(lang, f"{rng.choice(s)} {i} {rng.choice(s)}") for i in range(1000) for lang, s in SENTENCES.items()]
+    rows += [("fr", garble(rng.choice(SENTENCES["fr"]), "utf-8", "latin-1")) for _ in range(20)] + [("ru", garble(rng.choice(SENTENCES["ru"]), "koi8_r", "cp1251")) for _ in range(12)] + [("it", "Così è più facile.")]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)] + [(-1, None, "en"), (-2, "sans étiquette", None), (-3, "", "fr")], "doc_id long, text string, lang string")
+    one, all_ = M.fit(df.repartition(7)), M.train(rows)
+    assert (one.alphabets, one.words, one.dictionaries) == (all_.alphabets, all_.words, all_.dictionaries)
+    assert "сто" in one.words["ru"] and not one.alphabets["fr"] & set("Ã©") and "ì" in one.alphabets["it"]
+
+
+def test_a_letter_is_known_by_its_share_of_all_texts(spark):
+    rows = [(i, f"Der Kessel {i} war gut" + " ő" * (i % 1000 == 0) + " ű" * (i % 1000 == 7 and i > 1000), "de") for i in range(6000)]
+    model = M.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert "ő" in model.alphabets["de"] and "ű" not in model.alphabets["de"]
+
+
+def test_counts_handed_on_in_parts_are_the_same(spark):
+    rows = [(lang, s * k) for lang, ss in SENTENCES.items() for s in ss for k in range(1, 9) if M._sound(s * k)]
+    whole = M.Counts()
+    for lang, t in rows:
+        whole.add(lang, t)
+    parts = M._counted(spark.createDataFrame(rows, "lang string, text string"), True, flush=20).collect()
+    summed: dict = {}
+    for *key, n in map(tuple, parts):
+        summed[tuple(key)] = summed.get(tuple(key), 0) + n
+    assert len(parts) > len(summed) and summed == {(lang, kind, item): n for lang, kind, item, n in whole.rows()}
