@@ -203,11 +203,11 @@ def _one_to_one() -> dict[int, str]:
 
 def skeleton(text: str) -> str:
     """For word lists: text with its foreign signs folded, where most of its letters are Latin; texts with Han letters as they are."""
-    if text.isascii() or not _dirty().search(text) or re.search("[㐀-鿿]", text):
+    if text.isascii() or not _dirty().search("".join(set(text))) or re.search("[㐀-鿿]", text):  # each sign is looked up once
         return text
-    letters = [c for c in text if c.isalpha()]
-    cyrillic = sum(1 for c in letters if "Ѐ" <= c <= "ӿ")
-    return normalise_text(text) if 3 * cyrillic < len(letters) else text.translate(_one_to_one())
+    letters = {c: text.count(c) for c in set(text) if c.isalpha()}
+    cyrillic = sum(n for c, n in letters.items() if "Ѐ" <= c <= "ӿ")
+    return normalise_text(text) if 3 * cyrillic < sum(letters.values()) else text.translate(_one_to_one())
 
 
 _CYRILLIC_WORD = re.compile("[A-Za-zЀ-ӿ]*[Ѐ-ӿ][A-Za-zЀ-ӿ]*")

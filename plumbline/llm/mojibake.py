@@ -28,6 +28,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -173,30 +174,29 @@ class Counts:
         self.of: dict[tuple[str, str], Counter] = defaultdict(Counter)
 
     def add(self, lang: str, text: str) -> None:
-        signs = set(text)
-        pieces = _pieces(text, max(signs))
+        signs, words = set(text), text.split()
+        pieces = _pieces(words, max(signs))
         self.of[lang, PIECE].update(pieces)
         self.of[lang, TEXTS].update({"": 1, PIECE: len(pieces)})
         if not text.isascii():
             self.of[lang, LETTERS].update(c for c in signs if c > "\x7f")
             # of other words nothing is asked
-            self.of[lang, WORDS].update(_foreign_words(text))
+            self.of[lang, WORDS].update(_foreign_words(words))
 
     def __len__(self) -> int:
         return sum(map(len, self.of.values()))
 
-    def rows(self, sign: int = 1) -> list[tuple[str, str, str, int]]:
-        return [(lang, kind, item, sign * n) for (lang, kind), counts in self.of.items() for item, n in counts.items()]
+    def rows(self) -> list[tuple[str, str, str, int]]:
+        return [(lang, kind, item, n) for (lang, kind), counts in self.of.items() for item, n in counts.items()]
 
 
-def _foreign_words(text: str) -> set[str]:
-    """The words that aren't ASCII."""
-    return {w for w in set(_WORD.findall(" ".join(w for w in set(text.split()) if not w.isascii()).lower())) if not w.isascii()}
+def _foreign_words(words: list[str]) -> set[str]:
+    """The words that aren't ASCII, of a text that was split at blanks."""
+    return {w for w in set(_WORD.findall(" ".join(w for w in set(words) if not w.isascii()).lower())) if not w.isascii()}
 
 
-def _pieces(text: str, top: str) -> list[str]:
+def _pieces(words: list[str], top: str) -> list[str]:
     """Every word; of one over ``LONG`` or in a script without blanks every window, or stretches if it is ASCII."""
-    words = text.split()
     if top < "⺀" and max(map(len, words), default=0) <= LONG:
         return words
     out = []
@@ -272,12 +272,19 @@ def train(rows: list[tuple[str | None, str | None]]) -> LanguageModel:
     return counted(clean, WORDS_OF) if clean else first
 
 
+@lru_cache(maxsize=1)
+def _paired(text: str) -> frozenset[str]:
+    """The decoders that may have made a part of the text: it is asked more than once."""
+    chars = set(text)
+    return frozenset(d.name for d in DECODERS.values() if chars & d.leads and d.pair.search(text))
+
+
 def _strict(text: str) -> Iterator[str]:
     """Sure signs of UTF-8 read by another decoder: used only to keep them out of the first counts."""
     if not text.isascii():
-        chars = set(text)
+        paired = _paired(text)
         for d in (DECODERS["cp1252"], DECODERS["mac_roman"], DECODERS["cp850"], DECODERS["cp1251"]):
-            if chars & d.leads and d.pair.search(text):
+            if d.name in paired:
                 hits = d.utf8.findall(text)
                 if len(hits) > 1 or any(len(h) > 3 for h in hits):
                     yield d.name
@@ -389,8 +396,9 @@ def _price(text: str, hits: list[tuple[int, int, str]], model: LanguageModel, la
 
 def _candidates(text: str, model: LanguageModel, lang: str | None) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
     chars = {c for c in set(text) if c > "\x7f"}
+    paired = _paired(text)
     for d in DECODERS.values():
-        if chars & d.leads and d.pair.search(text) and (hits := _utf8_regions(text, d, model)):
+        if d.name in paired and (hits := _utf8_regions(text, d, model)):
             yield f"{d.name}>utf-8", hits
     seen = model.alphabets.get(lang, model.everywhere)
     known = model.words.get(lang, model.all_words)
@@ -404,7 +412,7 @@ def _candidates(text: str, model: LanguageModel, lang: str | None) -> Iterator[t
             continue
         if not strange & d.high:  # letters the language uses: only worth pricing if words are unknown
             if odd_words is None:
-                odd_words = any(w not in known for w in _foreign_words(text))
+                odd_words = any(w not in known for w in _foreign_words(text.split()))
             if not odd_words:
                 continue
         if hits := _legacy_regions(text, d, true, model):
@@ -420,10 +428,9 @@ def _candidates(text: str, model: LanguageModel, lang: str | None) -> Iterator[t
 
 def _cyrillic(text: str) -> bool:
     """A good part of the letters is Cyrillic: single ones may only look like Latin letters."""
-    if not any("Ѐ" <= c <= "ӿ" for c in set(text)):
-        return False
-    letters = sum(map(str.isalpha, text))
-    return 4 * sum(1 for c in text if "Ѐ" <= c <= "ӿ") > letters
+    raw = text.encode("utf-8", "surrogatepass")
+    cyrillic = len(raw) - len(raw.translate(None, b"\xd0\xd1\xd2\xd3"))  # the first bytes of U+0400 to U+04FF
+    return cyrillic > 0 and (4 * cyrillic > len(text) or 4 * cyrillic > sum(map(str.isalpha, text)))
 
 
 def _by_word(text: str, hits: list[tuple[int, int, str]], known: frozenset[str]) -> list[tuple[int, int, str]]:
@@ -486,10 +493,10 @@ def _counted(df: DataFrame, only_sound: bool, first: LanguageModel | None = None
         model, more, less = shared.value, Counts(), Counts()
 
         def hand_on() -> Iterator[pa.RecordBatch]:
-            rows = more.rows() + less.rows(-1)
-            for i in range(0, len(rows), 50_000):
-                columns = zip(*rows[i : i + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "kind", "item", "n"])
+            for counts, sign in ((more, 1), (less, -1)):
+                for (lang, kind), of in counts.of.items():
+                    n = len(of)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, n), pa.repeat(kind, n), pa.array(of.keys(), pa.string(), size=n), pa.array([sign * k for k in of.values()], pa.int64())], names=["lang", "kind", "item", "n"])
             more.of.clear()
             less.of.clear()
 

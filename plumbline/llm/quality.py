@@ -43,13 +43,18 @@ SKETCH = 512  # smallest trigram hashes that are kept
 ENTRY = re.compile(r"\s*(?:[-*•‣◦–+·▪]|\(?\d{1,4}[.)]|\(?[^\W\d_][.)])\s+\S")
 TERMINAL = re.compile(r"[.!?。！？…][”\"»“’')\]*_\s]*$")
 SENTENCE = re.compile(r"[^\s.!?][)”»“’\"']?[.!?…](?=[\s”»“\"’)*]|$)|[。！？]")
+SENTENCE_END = re.compile(r"[.!?…](?<=[^\s.!?].)(?=[\s”»“\"’)*]|$)")  # as many as of SENTENCE where no full-width sign ends one, and found sooner
 MIDDLE_END = re.compile(r"[.!?] ")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+ASCII_WORD = re.compile(r"[a-z]+(?:'[a-z]+)*")  # the same in lower-case ASCII
 HAN = re.compile("[㐀-鿿぀-ヿ]")
-LONG_RUN = re.compile(r"\S{26,}")
+LONG_RUN = 26
 SYMBOL = re.compile(r"[^\w\s]|_")
 ASCII_SYMBOL = re.compile(r"[!-/:-@\[-`{-~]")
 NOISE = re.compile(r"[!#-'*+/:<-@\[-`{}~]")  # signs that are rare in rows of a table
+# the ASCII signs of these, deleted from UTF-8 to be counted
+_SYMBOLS, _ASCII_SYMBOLS, _NOISE = (bytes(i for i in range(128) if x.match(chr(i))) for x in (SYMBOL, ASCII_SYMBOL, NOISE))
+_ASCII = bytes(range(128))
 GAP = re.compile(r"\S {2,}(?=\S)")
 _CUT = re.compile(r"\n|[^\S\n](?=\S)")
 TIGHT = {";": re.compile(r";(?! )"), ",": re.compile(r",(?![ ”»“’])")}
@@ -195,20 +200,26 @@ def _sums(block: str, common: frozenset[str], common_chars: frozenset[str]) -> t
     """(counts over all code points and words, the words)"""
     c = dict.fromkeys(TEXT_SUMS, 0)
     c["chars"] = len(block)
-    words = WORD.findall(block.lower())
+    words = (ASCII_WORD if block.isascii() else WORD).findall(block.lower())
     c["words"], c["word_chars"] = len(words), sum(map(len, words))
     c["common"] = sum(1 for w in words if w in common)
-    if not block.isascii():
-        c["non_ascii"] = len(block) - len(block.encode("ascii", "ignore"))
-        han = HAN.findall(block)
-        if han:
-            c["han"] = len(han)
-            c["common"] += sum(1 for x in han if x in common_chars)
-    c["symbols"] = len(SYMBOL.findall(block))
-    c["ascii_symbols"] = len(ASCII_SYMBOL.findall(block))
-    c["noise"] = len(NOISE.findall(block))
-    c["sentences"] = len(SENTENCE.findall(block))
-    c["long_chars"] = sum(len(x) for x in LONG_RUN.findall(block) if not HAN.search(x) and "://" not in x)
+    raw = block.encode("utf-8", "surrogatepass")
+    without = lambda signs: len(raw) - len(raw.translate(None, signs))
+    c["symbols"], c["ascii_symbols"], c["noise"] = without(_SYMBOLS), without(_ASCII_SYMBOLS), without(_NOISE)
+    wide = False
+    if len(raw) > len(block):
+        foreign = raw.translate(None, _ASCII).decode("utf-8", "surrogatepass")
+        c["non_ascii"] = len(foreign)
+        signs = set(foreign)
+        c["symbols"] += sum(foreign.count(x) for x in signs if SYMBOL.match(x))
+        wide = not signs.isdisjoint("。！？")
+        if any(map(HAN.match, signs)):
+            c["han"] = len(HAN.findall(foreign))
+            c["common"] += sum(foreign.count(x) for x in signs if x in common_chars)
+    c["sentences"] = len((SENTENCE if wide else SENTENCE_END).findall(block))
+    runs = block.split()
+    if max(map(len, runs), default=0) >= LONG_RUN:
+        c["long_chars"] = sum(len(x) for x in runs if len(x) >= LONG_RUN and not HAN.search(x) and "://" not in x)
     return c, words
 
 

@@ -173,12 +173,12 @@ def p8_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     docs = _t(spark, sf, "documents")
-    return quality.found(docs, _t(spark, sf, "common_words"), mojibake.fit(docs, rows=2000))
+    return quality.found(docs, _t(spark, sf, "common_words"), mojibake.fit(docs))
 
 
 def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
     docs = _t(spark, sf, "documents")
-    return quality.statistics(docs, _t(spark, sf, "common_words"), mojibake.fit(docs, rows=2000))
+    return quality.statistics(docs, _t(spark, sf, "common_words"), mojibake.fit(docs))
 
 
 def p9_counts(spark: SparkSession, sf: str) -> DataFrame:

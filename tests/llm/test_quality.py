@@ -97,3 +97,30 @@ def test_long_garbled_text_is_restored_as_a_short_one(spark, sf):
     kinds = [[r.text_kind for r in Q.statistics(rows, words, model, chunk=c).collect()] for c in (len(text), len(text) // 4)]
     assert [r.text_kind for r in Q.statistics(rows, words).collect()] == ["junk"]
     assert kinds == [["prose"], ["prose"]]
+
+
+def test_the_query_restores_with_the_model_of_every_text(spark, tmp_path, monkeypatch):
+    from plumbline.llm import mojibake, queries
+
+    rows = [(i, f"Der Kessel {i} war gut" + " ő" * (i in (5, 2900)) + " ü" * (i % 900 == 0), "de") for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("de", "der")], "lang string, word string").write.parquet(f"{tmp_path}/common_words.parquet")
+    given = []
+    for name in ("found", "statistics"):
+        monkeypatch.setattr(Q, name, lambda docs, words, model: given.append(model))
+    queries.p9_found(spark, str(tmp_path))
+    queries.p9_statistics(spark, str(tmp_path))
+    model = mojibake.train([(lang, t) for _, t, lang in rows])
+    assert model.alphabets["de"] == {"ü", "Ü"}  # three in 3,000 texts show it, and two the other
+    assert [(m.alphabets, m.dictionaries) for m in given] == [(model.alphabets, model.dictionaries)] * 2
+
+
+def test_sums_are_those_of_the_plain_patterns():
+    rng = random.Random(5)
+    for i in range(3000):
+        t = "".join(rng.choice("aé.!?…。！ ”»“\"’')*\n\t的_-{;あ😀\x1c\x85\xa0 xX1٣") for _ in range(rng.randrange(14))) + "x" * rng.choice((0, 24, 30))
+        c, words = Q._sums(t, frozenset("a"), frozenset("的"))
+        han = Q.HAN.findall(t)
+        assert words == Q.WORD.findall(t.lower()) and c["common"] == words.count("a") + han.count("的") and c["han"] == len(han)
+        assert [c[k] for k in ("sentences", "symbols", "ascii_symbols", "noise")] == [len(p.findall(t)) for p in (Q.SENTENCE, Q.SYMBOL, Q.ASCII_SYMBOL, Q.NOISE)], t
+        assert c["long_chars"] == sum(len(x) for x in t.split() if len(x) >= 26 and not Q.HAN.search(x)) and c["non_ascii"] == sum(x > "\x7f" for x in t)
