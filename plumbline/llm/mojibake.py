@@ -36,8 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.operators.lineage import collect_bounded
-from plumbline.operators.lineage import cut as lineage_cut
+from plumbline.operators.lineage import collect_bounded, release, stored
 
 ROWS = 1000  # a letter is known if one in so many texts of its language shows it, and two at least; a Han sign if half as many do
 FIRST_WORDS, WORDS_OF = 100, 300  # a word likewise: fewer are known while garbled ones, which recur too, are among the counted
@@ -116,6 +115,7 @@ CYRILLIC_DECODERS = ("cp1251", "koi8_r")
 #: (wrong decoder, true encoding) where both are legacy encodings
 LEGACY = [("cp1252", "gbk"), ("cp1252", "cp1251"), ("cp1252", "koi8_r"), ("cp1251", "koi8_r")]
 _HAN = re.compile("[‐-♂　-ヿ㄀-ㄯ㈀-㏿一-鿿-︰-￥�]+")
+_FOREIGN = re.compile(r"[^\x00-\x7f]{2,}")
 _BROKEN = re.compile("[�\x80-\x9f]")
 _WORD = re.compile(r"[^\W\d_]+")
 #: a no-break space that was garbled with its lead byte and then became an ordinary blank
@@ -275,8 +275,9 @@ def train(rows: list[tuple[str | None, str | None]]) -> LanguageModel:
 @lru_cache(maxsize=1)
 def _paired(text: str) -> frozenset[str]:
     """The decoders that may have made a part of the text: it is asked more than once."""
-    chars = set(text)
-    return frozenset(d.name for d in DECODERS.values() if chars & d.leads and d.pair.search(text))
+    runs = " ".join(_FOREIGN.findall(text))
+    chars = set(runs)
+    return frozenset(d.name for d in DECODERS.values() if chars & d.leads and d.pair.search(runs))
 
 
 def _strict(text: str) -> Iterator[str]:
@@ -528,16 +529,20 @@ def _known(counts: DataFrame, letters: int, words: int) -> tuple[dict[str, tuple
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROWS) -> LanguageModel:
     """The model of every labelled text but those that a model of the sound ones would change. A letter is known if one in ``rows`` texts shows it."""
     texts = df.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang <> '' and text <> ''")
-    summed = lambda c: lineage_cut(c.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")))
+    summed = lambda c: stored(c.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")))
     for only_sound in (True, False):  # where no text is sound, all count
         counts = summed(_counted(texts, only_sound))
         totals, first = _known(counts, rows, FIRST_WORDS)
         if totals:
             break
+        release(counts)
     else:
         return first
     changed = _counted(texts.where(F.col("text").rlike("[^\\x00-\\x7F]")), only_sound, first)
-    totals, second = _known(summed(counts.unionByName(changed)), rows, WORDS_OF)
+    whole = summed(counts.unionByName(changed))
+    release(counts)
+    totals, second = _known(whole, rows, WORDS_OF)
+    release(whole)
     return second if totals else first
 
 

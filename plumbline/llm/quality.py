@@ -202,7 +202,7 @@ def _sums(block: str, common: frozenset[str], common_chars: frozenset[str]) -> t
     c["chars"] = len(block)
     words = (ASCII_WORD if block.isascii() else WORD).findall(block.lower())
     c["words"], c["word_chars"] = len(words), sum(map(len, words))
-    c["common"] = sum(1 for w in words if w in common)
+    c["common"] = sum(map(common.__contains__, words))
     raw = block.encode("utf-8", "surrogatepass")
     without = lambda signs: len(raw) - len(raw.translate(None, signs))
     c["symbols"], c["ascii_symbols"], c["noise"] = without(_SYMBOLS), without(_ASCII_SYMBOLS), without(_NOISE)
